@@ -4,21 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowloom.llm import url_rules
+from flowloom.llm.decontaminate import mark_contamination
+from flowloom.llm.language_id import train_and_identify
+from flowloom.llm.media import media_features, to_media
+from flowloom.llm.simhash import near_duplicate_groups
 from flowloom.llm.token_counts import count_tokens
 from flowloom.llm.tree_bpe import bpe_digests
 from flowloom.session import table
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return count_tokens(_texts(spark, sf_dir)).drop("text")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return bpe_digests(_texts(spark, sf_dir)).drop("text")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicate_groups(_texts(spark, sf_dir))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return train_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_contamination(_texts(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("text")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(to_media(_texts(spark, sf_dir)).drop("text"), codes=False).drop("media")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe)}
+_ALL = (
+    op1_token_counts,
+    op2_byte_bpe,
+    op4_simhash,
+    op6_url_filters,
+    op8_language_id,
+    op9_decontamination,
+    op10_media,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {}
+#: What DuckDB can say in SQL.
+ORACLES: dict[str, str] = {"op6_url_filters": url_rules.ORACLE}
