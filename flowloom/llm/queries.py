@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import url_rules
+from flowloom.llm import url_rules, warc
 from flowloom.llm.decontaminate import mark_contamination
 from flowloom.llm.language_id import train_and_identify
+from flowloom.llm.main_text import extract_main_text
 from flowloom.llm.media import media_features, to_media
 from flowloom.llm.simhash import near_duplicate_groups
+from flowloom.llm.suffix_tree_lm import score_texts
 from flowloom.llm.token_counts import count_tokens
 from flowloom.llm.tree_bpe import bpe_digests
 from flowloom.session import table
@@ -28,15 +30,27 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_texts(spark, sf_dir)).drop("text")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_texts(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(_texts(spark, sf_dir))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_digests(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return train_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -53,8 +67,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_token_counts,
     op2_byte_bpe,
+    op3_lm_scoring,
     op4_simhash,
+    op5_warc,
     op6_url_filters,
+    op7_main_text,
     op8_language_id,
     op9_decontamination,
     op10_media,
@@ -62,4 +79,4 @@ _ALL = (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: What DuckDB can say in SQL.
-ORACLES: dict[str, str] = {"op6_url_filters": url_rules.ORACLE}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op6_url_filters": url_rules.ORACLE}
