@@ -16,7 +16,8 @@ from flowloom.session import keep
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One contraction: ``small`` links smaller neighbours, else larger ones, to the least."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written, so that both sides of the join are plain shuffles and a hub's can be split
+    least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     linked = both.join(least, "u")
     if small:
         out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
