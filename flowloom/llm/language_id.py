@@ -24,7 +24,7 @@ from flowloom.llm.batches import add_columns, map_batches, slices
 DIMENSIONS = 512
 N = 3
 #: n-grams of which a worker keeps the vectors (512 bytes each); beyond it starts afresh.
-KEPT = 40_000
+KEPT = 30_000
 #: Languages that the prototypes may have: they are sent to every task, 4 KB each.
 LANGUAGES = 4096
 
@@ -57,7 +57,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
     return found, counts, True
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=8_192)
 def _letter(code: int, place: int) -> np.ndarray:
     base = np.random.default_rng([code, 20_240]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
     return np.roll(base, place).astype(np.int8)

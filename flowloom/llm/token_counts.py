@@ -26,7 +26,7 @@ from flowloom.llm.batches import add_columns, slices
 from flowloom.llm.chunks import LONG, Recent, cut
 
 #: Pre-tokens, and pieces of text, of which a worker keeps the counts in each of two generations.
-KEPT = 300_000
+KEPT = 200_000
 
 #: Ranges in which the Unicode versions of the libraries agree on letters,
 #: numbers and white space. Texts with other characters are split by the library.

@@ -34,9 +34,9 @@ from flowloom.llm.batches import add_columns
 from flowloom.llm.chunks import LONG, Recent, cut
 
 #: Pieces of text of which a worker keeps the ids in each of two generations.
-KEPT = 250_000
+KEPT = 120_000
 #: Parts of pre-tokens and pairs of tokens that a worker keeps; beyond it starts afresh.
-KEPT_PARTS = 200_000
+KEPT_PARTS = 100_000
 #: Tokens joined at once at the lowest level of decoding.
 LEAF = 512
 #: Bytes up to which a part is kept, and up to which a window is merged without a heap.
