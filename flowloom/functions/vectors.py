@@ -27,12 +27,12 @@ def feature_vector(features: Column, names: list[str], fallback: Column | None =
     source = features if fallback is None else F.coalesce(features, fallback)
     entries = F.transform(F.coalesce(F.map_entries(source), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(normal_key(e["key"]).alias("key"), e["value"].alias("value")))
 
-    def of(name: str) -> Column:
+    def of(rows: Column, name: str) -> Column:
         plain = name.lower().translate(str.maketrans("", "", " _/-"))
-        same = F.filter(entries, lambda e: e["key"] == plain)
-        return tolerant_number(F.try_element_at(same, F.lit(-1))["value"]).cast("float")
+        return tolerant_number(F.try_element_at(F.filter(rows, lambda e: e["key"] == plain), F.lit(-1))["value"]).cast("float")
 
-    return F.array(*map(of, names))
+    # the one element of an array binds the entries, which are so made once for all names
+    return F.get(F.transform(F.array(entries), lambda rows: F.array(*[of(rows, n) for n in names])), 0)
 
 
 def scaled(vector: Column, means: list[float], deviations: list[float]) -> Column:
