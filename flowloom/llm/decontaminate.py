@@ -8,7 +8,8 @@ offset in the original text.
 
 The items are a stated query set that is sent to every task. Its size is checked: up
 to ``AUTOMATON_BYTES`` of windows make one automaton; beyond it the items are taken in
-blocks, each with an automaton and a scan of its own, and the hits are merged.
+blocks, each with a broadcast, an automaton and a scan of its own, and the hits of the
+scans are merged row by row.
 
 Null texts have no words. Items without words are in no document. Repeated rows each
 get their row; an item_id that repeats counts once.
@@ -26,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowloom.llm.batches import add_columns, utf8
+from flowloom.session import keep
 
 WINDOW = 13
 #: Bytes of windows in one automaton (a node for each byte at most, about 50 bytes of memory each).
 AUTOMATON_BYTES = 4 << 20
+#: Scans after which the rows and their hits so far are written, if there are more blocks.
+SCANS = 8
 
 #: ASCII letters in lower case and digits stay, as do all bytes of other characters; the rest is space.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 _FOLD = bytes(x + 32 if 0x41 <= x <= 0x5A else x for x in _FOLD)
-_LOADED: dict[str, list] = {}
+_LOADED: dict[str, object] = {}
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -46,25 +50,19 @@ def windows_of(data: bytes, size: int) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def _automata(key: str, blocks: list[list[tuple[str, list[str]]]]) -> Iterator:
-    """An automaton for each block; a worker keeps that of a single block between tasks."""
+def _automaton(key: str, block: list[tuple[str, list[str]]]):
+    """The automaton of a block, or None if it has no window; a worker keeps the last one."""
     import ahocorasick
 
-    if key in _LOADED:
-        yield from _LOADED[key]
-        return
-    _LOADED.clear()
-    for block in blocks:
+    if key not in _LOADED:
         automaton = ahocorasick.Automaton()
         for window, items in block:
             automaton.add_word(window, (len(window), items))
         if len(automaton):
             automaton.make_automaton()
-            if len(blocks) == 1:
-                _LOADED[key] = [automaton]
-            yield automaton
-    if not any(blocks):
-        _LOADED[key] = []
+        _LOADED.clear()
+        _LOADED[key] = automaton if len(automaton) else None
+    return _LOADED[key]
 
 
 def _scan(line: str, automaton) -> tuple[list[tuple[int, int]], set[str]]:
@@ -76,29 +74,39 @@ def _scan(line: str, automaton) -> tuple[list[tuple[int, int]], set[str]]:
     return spans, items
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, size: int) -> list[list[tuple[str, list[str]]]]:
-    """The distinct windows with their items, in blocks of bounded size."""
-    blocks: list[list[tuple[str, list[str]]]] = [[]]
+def benchmark_blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[list[tuple[str, list[str]]]]:
+    """The distinct windows with their items, in blocks of bounded size; at least one.
+
+    The driver holds a partition of the items and a block at a time.
+    """
     owners: dict[bytes, dict[str, None]] = {}
     total = 0
 
-    def close() -> None:
-        blocks[-1] = [(w.decode("latin-1"), list(o)) for w, o in owners.items()]
+    def block() -> list[tuple[str, list[str]]]:
+        return [(w.decode("latin-1"), list(o)) for w, o in owners.items()]
 
     rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.encode(F.col(f"`{text}`").cast("string"), "UTF-8").alias("t")).dropna()
-    for row in rows.toLocalIterator():  # the query set, a partition at a time
+    for row in rows.toLocalIterator():
         for w in windows_of(bytes(row.t), size):
             if w not in owners:
                 if total + len(w) > AUTOMATON_BYTES and owners:
-                    close()
-                    blocks.append([])
+                    yield block()
                     owners.clear()
                     total = 0
                 owners[w] = {}
                 total += len(w)
             owners[w][row.i] = None
-    close()
-    return blocks
+    yield block()
+
+
+def _hits(raw: bytes, words: list[bytes], automaton) -> tuple[list[tuple[int, int]], set[str]]:
+    """Half-open ranges of hit words, and the items that hit them."""
+    at, items = _scan((b" " + b" ".join(words) + b" ").decode("latin-1"), automaton) if words and automaton else ([], set())
+    if not at:
+        return [], set()
+    begins = np.cumsum(np.r_[1, [len(w) + 1 for w in words]])[:-1]
+    ends = np.searchsorted(begins, [b for _, b in at]).tolist()
+    return list(zip(np.searchsorted(begins, [a for a, _ in at]).tolist(), ends, strict=True)), items
 
 
 def mark_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, spans: bool = False) -> DataFrame:
@@ -109,45 +117,59 @@ def mark_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     hits array<struct<start:int,end:int>>: the byte offsets, in the original text's
     UTF-8, of the stretches of hit words.
     """
-    spark = df.sparkSession
+    names = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     blocks = benchmark_blocks(benchmark, item, item_text, size)
-    sent, key = spark.sparkContext.broadcast(blocks), uuid.uuid4().hex
+    block, out = next(blocks), df
+    done = 0
+    while (following := next(blocks, None)) is not None:
+        if done and done % SCANS == 0:
+            out = keep(out, "scanned")
+        done += 1
+        out = _scan_block(out, text, block, out is not df, "__ranges array<struct<a:int,b:int>>, __items array<string>", None)
+        block = following
+    out = _scan_block(out, text, block, out is not df, names + ", hits array<struct<start:int,end:int>>" * spans, spans)
+    return out.drop("__ranges", "__items")
+
+
+def _scan_block(df: DataFrame, text: str, block: list[tuple[str, list[str]]], more: bool, outputs: str, spans: bool | None) -> DataFrame:
+    """Scan with the automaton of one block. ``more``: the hits of earlier blocks are there.
+    ``spans`` None: hand the hits on; else sum them up."""
+    sent, key = df.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        for (texts,) in batches:
-            data = utf8(texts)
-            found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-            counts = np.zeros(len(data), np.int64)
-            for number, automaton in enumerate(_automata(key, sent.value)):
-                for i, raw in enumerate(data):
-                    words = words_of(raw)
-                    counts[i] = len(words)
-                    at, items = _scan((b" " + b" ".join(words) + b" ").decode("latin-1"), automaton) if words else ([], ())
-                    if at:
-                        old = found.setdefault(i, ([], set()))
-                        old[0].extend(at)
-                        old[1].update(items)
-            if not any(sent.value):
-                counts[:] = [len(words_of(raw)) for raw in data]
-            hits, n_items, digests, places = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64), [EMPTY] * len(data), [[] for _ in data]
-            for i, (at, items) in found.items():
-                words = words_of(data[i])
-                begins = np.cumsum(np.r_[1, [len(w) + 1 for w in words]])[:-1]
-                first = np.searchsorted(begins, [a for a, _ in at])
-                last = np.searchsorted(begins, [b for _, b in at])
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, last, -1)
-                hit = np.cumsum(edge[:-1]) > 0
-                hits[i], n_items[i] = int(hit.sum()), len(items)
-                digests[i] = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-                if spans:
-                    places[i] = _stretches(data[i], hit)
-            flags = (hits > 0) & (20 * hits >= counts)
-            yield [counts, hits, n_items, digests, pa.array(flags), *[places] * spans]
-
-    names = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return add_columns(df, [text], names + ", hits array<struct<start:int,end:int>>" * spans, run)
+        for texts, *earlier in batches:
+            automaton = _automaton(key, sent.value)
+            old = [x.to_pylist() for x in earlier] or None
+            rows = []
+            for i, raw in enumerate(utf8(texts)):
+                words = words_of(raw)
+                ranges, items = _hits(raw, words, automaton)
+                if old:
+                    ranges += [(r["a"], r["b"]) for r in old[0][i]]
+                    items = items.union(old[1][i])
+                rows.append(([{"a": a, "b": b} for a, b in ranges], list(items)) if spans is None else _sum_up(raw, words, ranges, items, spans))
+            yield [list(c) for c in zip(*rows, strict=True)] if rows else _none(outputs)
+
+    earlier = ["__ranges", "__items"] if more else []
+    return add_columns(df, [text, *earlier], outputs, run)
+
+
+def _none(outputs: str) -> list[list]:
+    from pyspark.sql.types import StructType
+
+    return [[] for _ in StructType.fromDDL(outputs)]
+
+
+def _sum_up(raw: bytes, words: list[bytes], ranges: list[tuple[int, int]], items: set[str], spans: bool) -> tuple:
+    if not ranges:
+        return (len(words), 0, 0, EMPTY, False, *[[]] * spans)
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, [a for a, _ in ranges], 1)
+    np.add.at(edge, [b for _, b in ranges], -1)
+    hit = np.cumsum(edge[:-1]) > 0
+    n = int(hit.sum())
+    digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return (len(words), n, len(items), digest, 20 * n >= len(words), *[_stretches(raw, hit)] * spans)
 
 
 #: The digest of no items.

@@ -130,7 +130,7 @@ def brute_hits(text, items, size=13):
     return len(words), len(hit), owners, [words[i] for i in sorted(hit)]
 
 
-@pytest.mark.parametrize("block", [1 << 22, 400])
+@pytest.mark.parametrize("block", [1 << 22, 6_000])
 def test_contamination(spark, monkeypatch, block):
     monkeypatch.setattr("flowloom.llm.decontaminate.AUTOMATON_BYTES", block)
     docs = [r.asDict() for r in table(spark, SMALL, "documents").select("doc_id", "text").limit(80).collect()]
