@@ -6,7 +6,6 @@ the place of both, and fine-tuning trains again on old and new rows together.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from datetime import datetime
 

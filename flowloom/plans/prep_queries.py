@@ -196,6 +196,19 @@ def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.when(safe == "", "model").otherwise(safe).alias("safe_name"), F.regexp_extract("p_brand", r"(\d+)$", 1).alias("number"))
 
 
+def sql_parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL on files: two columns are read, and the filter goes to the scan."""
+    return spark.sql(f"""
+        SELECT event_type, count(*) AS n, max(value) AS most
+        FROM parquet.`{sf_dir}/events.parquet` WHERE value > 10 AND event_type <> 'view' GROUP BY event_type""")
+
+
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels counted over several files of one kind, with the file that each is from."""
+    parts = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.regexp_extract("_metadata.file_path", r"/([a-z]+)\.parquet", 1).alias("file"))
+    return parts.groupBy("file", "event_type").agg(F.count("*").alias("n"))
+
+
 _LABELLED = """
 labelled as (
   select event_id, user_id, k, event_type,
@@ -266,6 +279,8 @@ union all select 'weighted avg', round(sum(precision * support) / sum(support),
 union all select 'accuracy', round(sum(hits) / sum(support), 4), round(sum(hits) / sum(support), 4), round(sum(hits) / sum(support), 4), sum(support)::bigint from three""",
     "session_counters": f"with {_NAMES}, {_SCORES.lstrip()} select name as attack_type, count(*) as n, count(*) filter (class_id <> 0) as malicious from best join labels_of on id = class_id group by name",
     "log_tail": "select conv_id, turn, from_end::int as from_end from (select conv_id, turn, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as from_end from conversations where trim(text) <> '') where from_end <= 2",
+    "sql_parquet_scan": "select event_type, count(*) as n, max(value) as most from events where value > 10 and event_type <> 'view' group by event_type",
+    "file_counts": "select 'events' as file, event_type, count(*) as n from events group by event_type",
     "name_rules": "select p_partkey, case when regexp_replace(p_name, '[^\\pL\\pN_-]', '', 'g') = '' then 'model' else regexp_replace(p_name, '[^\\pL\\pN_-]', '', 'g') end as safe_name, regexp_extract(p_brand, '([0-9]+)$', 1) as number from part",
 }
 

@@ -58,6 +58,8 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = getattr(spark.sparkContext, "_flowloom_shared", None)
         if base is None:
+            if not spark.sparkContext.master.partition("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="flowloom-shared-")
             spark.sparkContext._flowloom_shared = base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -1,0 +1,27 @@
+"""Made-up flows for demonstrations; no registered query runs on them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from flowloom.functions.labels import CLASSES, class_label, severity
+from flowloom.sources.packets import ip_text
+
+
+def simulate(spark: SparkSession, n: int, start_us: int, seed: int = 42, attacks: float = 0.3) -> DataFrame:
+    """``n`` finished flows with detections, of which a share are attacks of any class."""
+    u = lambda k: F.rand(seed + k)
+    rows = spark.range(n).select(
+        F.col("id").alias("seq"),
+        (F.lit(start_us) + F.col("id") * 1000).alias("start_time_us"),
+        ip_text(F.lit(0x0A000000) + F.floor(u(1) * 65536)).alias("src_ip"),
+        ip_text(F.lit(0xC0A80000) + F.floor(u(2) * 256)).alias("dst_ip"),
+        (1024 + F.floor(u(3) * 60000)).cast("int").alias("src_port"),
+        F.element_at(F.array(*map(F.lit, (22, 53, 80, 443))), (F.floor(u(4) * 4) + 1).cast("int")).alias("dst_port"),
+        F.when(u(5) < 0.8, 6).otherwise(17).alias("protocol"),
+        F.when(u(6) < attacks, 1 + F.floor(u(7) * (len(CLASSES) - 1))).otherwise(0).cast("int").alias("class_id"),
+        (0.5 + u(8) / 2).alias("confidence"),
+    )
+    label = class_label(F.col("class_id"))
+    flow_id = F.concat("src_ip", F.lit(":"), "src_port", F.lit("-"), "dst_ip", F.lit(":"), "dst_port", F.lit("-"), "protocol", F.lit("-"), "start_time_us")
+    return rows.withColumns({"flow_id": flow_id, "is_malicious": (F.col("class_id") != 0).cast("int"), "attack_type": label, "severity": severity(label, F.col("class_id")), "created_at": F.col("start_time_us") / 1e6})

@@ -12,8 +12,10 @@ from flowloom.functions.labels import class_label, class_number, severity
 from flowloom.functions.vectors import argmax, feature_vector, softmax
 from flowloom.operators import dashboard, ml, prep, store
 from flowloom.operators.sessions import Timeouts
+from flowloom.plans.service import Service
 from flowloom.session import table
 from flowloom.sources import files, packets as pk
+from flowloom.sources.synthetic import simulate
 from flowloom.streaming.flows import FlowStream, advance, upsert_batches
 from flowloom.streaming.sinks import write_parquet
 from test_flows import SCHEMA, frame, random_packets
@@ -167,6 +169,22 @@ def test_retraining_and_versions(spark, tmp_path):
         registry.switch(spark, "none", at)
 
 
+def test_service_on_simulated_flows(spark):
+    rows = simulate(spark, 500, 1_700_000_000_000_000)
+    flows = rows.select("seq", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", F.lit("eth0").alias("interface"), F.lit(1.0).alias("flow_pkts_s"), "created_at")
+    found = rows.select("seq", "flow_id", "class_id", "is_malicious", "attack_type", "confidence", "severity", F.col("created_at").alias("inserted_at"))
+    service = Service(spark, flows, found, now=1_700_000_001.0)
+    total = service.stats().first()
+    assert total.total_flows == 500 and 90 < total.total_attacks < 210
+    assert service.stats(category="threats").first().total_flows == total.total_attacks
+    assert sum(r["count"] for r in service.attack_distribution().collect()) == total.total_attacks
+    alerts = service.alerts(20, 5, interface="eth0").collect()
+    assert len(alerts) == 20 and alerts == sorted(alerts, key=lambda r: (-r.detected_at, r.flow_id))
+    assert [r.seq for r in service.flows_page(3, 1).collect()] == [498, 497, 496]
+    assert service.training_stats().agg(F.sum("samples")).first()[0] == found.where("confidence >= 0.7").count()
+    assert (service.health().first().status, service.retraining_status().first().status) == ("ok", "idle")
+
+
 def test_config_tail_and_partitions(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"id_to_label": {"0": "Benign", "1": "Other"}}))
     assert files.read_classes(spark, f"file://{tmp_path}/m.json") == ("Benign", "Other")
