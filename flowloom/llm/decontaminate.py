@@ -185,3 +185,24 @@ def _stretches(raw: bytes, hit: np.ndarray) -> list[dict[str, int]]:
         else:
             out.append({"start": places[i][0], "end": places[i][1]})
     return out
+
+
+#: The same rows from windows that are joined as text.
+ORACLE = r"""
+with split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+  select distinct item_id, least(len(w), 13) as size, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as line
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from items where len(w) > 0)),
+places as (
+  select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as line
+  from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from split) p join (select distinct size from windows) s on p.i + s.size - 1 <= len(p.w)),
+found as (select doc_id, i, p.size, item_id from places p join windows using (size, line)),
+hits as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + size)) as place from found) group by doc_id),
+owners as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from found) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from split left join hits using (doc_id) left join owners using (doc_id)
+"""

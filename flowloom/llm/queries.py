@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import url_rules, warc
+from flowloom.llm import decontaminate, url_rules, warc
 from flowloom.llm.decontaminate import mark_contamination
 from flowloom.llm.language_id import train_and_identify
 from flowloom.llm.main_text import extract_main_text
@@ -79,4 +79,8 @@ _ALL = (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: What DuckDB can say in SQL.
-ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op6_url_filters": url_rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
+    "op6_url_filters": url_rules.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
+}
