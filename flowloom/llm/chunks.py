@@ -32,27 +32,26 @@ def cut(text: str) -> list[str]:
     return pieces
 
 
-class Recent(dict):
-    """A dictionary of at most ``2 * most`` entries: what was not used lately goes."""
+class Recent:
+    """At most ``2 * most`` results by key, in two generations: what was not used lately goes."""
 
     def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most, self.older = most, {}
+        self.most = most
+        self.now: dict = {}
+        self.older: dict = {}
 
     def age(self) -> None:
         """Call between slices: a full generation becomes the older one."""
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
+        if len(self.now) > self.most:
+            self.older, self.now = self.now, {}
 
     def absent(self, keys: set) -> list:
         """Keys that must be computed; those of the older generation come back by this."""
+        now, older = self.now, self.older
         out = []
-        older = self.older
-        for k in keys:
-            if k not in self:
-                if k in older:
-                    self[k] = older[k]
-                else:
-                    out.append(k)
+        for k in keys.difference(now):
+            if k in older:
+                now[k] = older[k]
+            else:
+                out.append(k)
         return out

@@ -129,7 +129,7 @@ def _counter(path: str):
         """The words of each part; their counts are known after this."""
         words = {p: split(p) for p in parts} if cautious else {p: find(p) for p in parts}
         for some in slices(of_word.absent({w for ws in words.values() for w in ws})):
-            of_word.update(zip(some, merger.count([w.encode() for w in some]).tolist(), strict=True))
+            of_word.now.update(zip(some, merger.count([w.encode() for w in some]).tolist(), strict=True))
         return words
 
     def count(texts: list[str]) -> list[int]:
@@ -140,10 +140,10 @@ def _counter(path: str):
             cuts = [[cut(p) for p in (inside.split(text) if inside else [text])] for text in run]
             new = of_piece.absent({p for text in cuts for pieces in text for p in pieces[1:]})
             words = learn({" " + p for p in new} | {pieces[0] for text in cuts for pieces in text}, any(odd.search(text) for text in run))
-            count_word, passing = of_word.__getitem__, {}
+            count_word, passing = of_word.now.__getitem__, {}
             for p in new:
-                (of_piece if len(p) <= LONG else passing)[p] = sum(map(count_word, words[" " + p]))
-            look = of_piece.__getitem__ if not passing else lambda p: passing[p] if p in passing else of_piece[p]
+                (of_piece.now if len(p) <= LONG else passing)[p] = sum(map(count_word, words[" " + p]))
+            look = of_piece.now.__getitem__ if not passing else lambda p: passing[p] if p in passing else of_piece.now[p]
             for text in cuts:
                 n = len(text) - 1
                 for pieces in text:

@@ -34,9 +34,9 @@ from flowloom.llm.batches import add_columns
 from flowloom.llm.chunks import LONG, Recent, cut
 
 #: Pieces of text of which a worker keeps the ids in each of two generations.
-KEPT = 120_000
+KEPT = 160_000
 #: Parts of pre-tokens and pairs of tokens that a worker keeps; beyond it starts afresh.
-KEPT_PARTS = 100_000
+KEPT_PARTS = 160_000
 #: Tokens joined at once at the lowest level of decoding.
 LEAF = 512
 #: Bytes up to which a part is kept, and up to which a window is merged without a heap.
@@ -51,7 +51,7 @@ class TreeEncoder:
         for token, rank in ranks.items():
             self.bytes[rank] = token
         self.parts: dict[bytes, tuple[int, ...]] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
 
     def encode(self, word: bytes) -> tuple[int, ...]:
         if word in self.ranks:  # every token of such a vocabulary encodes to itself
@@ -67,26 +67,31 @@ class TreeEncoder:
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         if not left or not right:
             return left or right
-        if self.is_stable(left[-1], right[0]):
-            return left + right
         i, j = 1, 1  # tokens of each side in the window
+        window = self.pair(left[-1], right[0])
+        if len(window) == 2 and window[0] == left[-1]:
+            return left + right
         while True:
-            window = self.merge(b"".join([self.bytes[t] for t in left[len(left) - i :] + right[:j]]))
             left_done = i == len(left) or self.is_stable(left[-i - 1], window[0])
             right_done = j == len(right) or self.is_stable(window[-1], right[j])
             if left_done and right_done:
                 return left[: len(left) - i] + window + right[j:]
             i = i if left_done else min(2 * i, len(left))
             j = j if right_done else min(2 * j, len(right))
+            window = self.merge(b"".join([self.bytes[t] for t in left[len(left) - i :] + right[:j]]))
 
-    def is_stable(self, a: int, b: int) -> bool:
-        found = self.stable.get((a, b))
+    def pair(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of two tokens' bytes together."""
+        found = self.pairs.get((a, b))
         if found is None:
-            if len(self.stable) > KEPT_PARTS:
-                self.stable.clear()
-            found = self.stable[a, b] = self.merge(self.bytes[a] + self.bytes[b]) == (a, b)
+            if len(self.pairs) > KEPT_PARTS:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self.merge(self.bytes[a] + self.bytes[b])
         return found
 
+    def is_stable(self, a: int, b: int) -> bool:
+        return self.pair(a, b) == (a, b)
+
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The merges of a window, by rank, from the left among equals."""
         if len(word) > SHORT:
@@ -170,8 +175,8 @@ def _coder(path: str):
         pieces = cut(text)
         first, passing = pieces[0], {}
         for p in of_piece.absent(set(pieces[1:])):
-            (of_piece if len(p) <= LONG else passing)[p] = whole(" " + p)
-        look = of_piece.__getitem__ if not passing else lambda p: passing[p] if p in passing else of_piece[p]
+            (of_piece.now if len(p) <= LONG else passing)[p] = whole(" " + p)
+        look = of_piece.now.__getitem__ if not passing else lambda p: passing[p] if p in passing else of_piece.now[p]
         return array("I", whole(first) + b"".join(map(look, pieces[1:])))
 
     return encode, tree.decode
