@@ -1,18 +1,24 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-A state is a context of zero, one or two words. The root has every word of the corpus,
-with additive smoothing. A deeper context is a candidate if it is at least a share
-``STATE_SHARE`` of all tokens, and becomes a state if its next-symbol distribution
-diverges from that of the shorter context (its suffix) by more than its size explains.
-A state keeps the symbols that follow it in at least a share ``STEP_SHARE`` of all
-tokens, less a discount; what is left of its probability goes to its suffix's
-distribution. So the probabilities of all symbols after any context sum to 1. A text is
-scored token by token, each from the longest state that is a suffix of what precedes.
-
-All counts are over all training texts, in Spark: tasks count, and groupings add up.
-What is sent to tasks has a proven bound: at most 1 / STATE_SHARE frequent words and
-1 / STEP_SHARE steps of each depth exist, whatever the input. All other words, however
-many, are joined by their 64-bit hash (XXH64); a frequent word is in no join, so no key is hot.
+A state is a context of any number of words. The root has every word of the corpus, with
+additive smoothing. A deeper context is a candidate if it occurs at least ``LEAST_STATE``
+times, and becomes a state if its next-symbol distribution diverges from that of the
+shorter context (its suffix) by more than its size explains. A state keeps the symbols
+that follow it at least ``LEAST_STEP`` times, less a discount; what is left of its
+probability goes to its suffix's distribution. So the probabilities of all symbols after
+any context sum to 1. The tree grows by a word until no context of a depth becomes a state;
+contexts beyond such a depth are not tried.
+
+The least counts are numbers, not shares, so the model grows with the texts. Its parts are
+Spark tables keyed by 64-bit hashes: of words (XXH64), and of n-grams, each of the hashes
+of the n-gram without its last and without its first word. The divergence test is a grouped
+aggregate. The log probability of a token is a sum over the n-grams that end there: what
+the n-gram adds to its suffix as a step, and what the context leaves as a state. So a text
+is scored by its n-grams, whatever their places, in one join with a table of weights.
+
+What is sent to tasks has a bound whatever the input: the weights of the ``HOT`` most
+frequent n-grams, which are in no join, and bitmaps of ``BITS`` bits that tell which
+n-grams may have a weight; a full bitmap costs rows in a join and changes no result.
 
 A text is its words and one end. A null text is an end alone. A row whose key is null is
 neither learned from nor held out. Repeated rows each get their row.
@@ -22,30 +28,32 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from flowloom.llm.batches import map_batches, utf8
+from flowloom.llm.batches import map_batches, slices, utf8
 from flowloom.session import keep
 
-STATE_SHARE, STEP_SHARE = 1 / 250_000, 1 / 4_000_000
-#: Least occurrences of a state and of a step, for small inputs.
+#: Least occurrences of a state and of a step.
 LEAST_STATE, LEAST_STEP = 8, 2
 #: Additive smoothing of the root, and discount of the steps.
 ALPHA, DISCOUNT = 0.1, 0.6
-#: Ids of frequent words take so many bits.
+#: N-grams whose weights are sent to tasks, and most bits of a bitmap.
+HOT, BITS = 1 << 18, 1 << 27
+#: Ids of a local tree's words take so many bits.
 ID_BITS = 18
 #: The end of a text, also the context that its first word has; no word is a line feed.
 END = b"\n"
 #: Distinct words that a task holds before it hands their counts on.
 HELD = 200_000
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
 
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 10 == 0, F.lit(False))
@@ -80,186 +88,268 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return parts.groupBy("code", "word").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class SuffixTree:
-    """What tasks need of the model: the frequent words and the states of depth 1 and 2."""
+def _hash(value: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    turn = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    h = seed + (_P5 + np.uint64(8)) ^ turn(value * _P2, 31) * _P1
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
 
-    tokens: int
-    floor: float  # the root's denominator
-    words: dict[bytes, int]
-    counts: np.ndarray
-    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # contexts of two words, sorted
-    rest: list[np.ndarray] = field(default_factory=list)  # what each context leaves to its suffix; 1: no state
-    steps: list[np.ndarray] = field(default_factory=list)  # context and symbol, sorted
-    shares: list[np.ndarray] = field(default_factory=list)
 
-    def root(self) -> np.ndarray:
-        return (self.counts + ALPHA) / self.floor
+def longer(grams: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams of one word more, by where they begin: Spark's xxhash64 of the
+    n-grams without the last and without the first word."""
+    return _hash(grams[1:], _hash(grams[:-1], np.uint64(42)))
 
-    def at(self, keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of ``of`` in the sorted ``keys``, and which of them are there."""
-        if not len(keys):
-            return np.zeros(len(of), np.int64), np.zeros(len(of), bool)
-        place = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
-        return place, keys[place] == of
-
-    def context(self, depth: int, ids: np.ndarray) -> np.ndarray:
-        """For each position after the first the number of its context of that depth, or -1."""
-        if depth == 1:
-            return ids[:-1]
-        pair = np.where((ids[:-2] >= 0) & (ids[1:-1] >= 0), ids[:-2] << ID_BITS | ids[1:-1], -1)
-        place, found = self.at(self.pairs, pair)
-        return np.r_[-1, np.where(found, place, -1)]
-
-    def step(self, depth: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        place, found = self.at(self.steps[depth - 1], context << ID_BITS | symbol)
-        found &= (context >= 0) & (symbol >= 0)
-        return np.where(found, self.shares[depth - 1][place] if len(self.shares[depth - 1]) else 0.0, 0.0)
-
-    def left(self, depth: int, context: np.ndarray) -> np.ndarray:
-        rest = self.rest[depth - 1]
-        return np.where(context >= 0, rest[np.maximum(context, 0)], 1.0) if len(rest) else np.ones(len(context))
 
-    def score(self, ids: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after the first; of a word that is not frequent
-        only the part that its context adds, without the root's."""
-        symbol = ids[1:]
-        known = symbol >= 0
-        p = np.where(known, self.root()[np.maximum(symbol, 0)], 1.0)
-        for depth in range(1, len(self.steps) + 1):
-            context = self.context(depth, ids)
-            p = self.step(depth, context, symbol) + self.left(depth, context) * p
-        return np.log10(p)
-
-    def add_depth(self, totals: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
-        """States of the next depth: contexts by number with their totals, and their steps."""
-        depth = len(self.steps) + 1
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order].astype(np.float64)
-        context, symbol = keys >> ID_BITS, keys & ((1 << ID_BITS) - 1)
-        suffix = self.root()[symbol]
-        if depth == 2:
-            nearer = self.pairs[context] & ((1 << ID_BITS) - 1)
-            suffix = self.step(1, nearer, symbol) + self.left(1, nearer) * suffix
-        n = np.maximum(totals[context].astype(np.float64), counts)
-        size = len(totals)
-        add = lambda x: np.bincount(context, x, size)
-        own, other = add(counts / n), add(suffix)
-        rest = np.clip(1 - own, 0, 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = add(counts * np.log(counts / n / suffix)) + np.where(rest > 0, rest * totals * np.log(rest / np.maximum(1 - other, 1e-12)), 0.0)
-        kinds = np.bincount(context, minlength=size)
-        stays = (kinds > 0) & (gain > 0.5 * (kinds + 1) * np.log(np.maximum(totals, 2)))
-        used = stays[context]
-        share = np.maximum(counts - DISCOUNT, 0) / n
-        self.rest.append(np.where(stays, 1 - add(share), 1.0))
-        self.steps.append(keys[used])
-        self.shares.append(share[used])
-
-
-def _ids(data: list[bytes], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts in a row, each text between two ends, and where each text starts."""
-    get, end = words.get, words.get(END, -1)
+class _Codes(dict):
+    """The hash of each word; a bounded number is kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= HELD:
+            self.clear()
+        code = self[word] = xxh64_intdigest(word)
+        return code
+
+
+def _symbols(data: list[bytes], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the symbols of all texts in a row, each text between two ends, the text of
+    each symbol, and where each text starts."""
+    end = codes[END]
     flat: list[int] = []
     starts = np.empty(len(data), np.int64)
     for i, raw in enumerate(data):
         starts[i] = len(flat)
         flat.append(end)
-        flat.extend([get(w, -1) for w in raw.lower().split()])
+        flat.extend(map(codes.__getitem__, raw.lower().split()))
         flat.append(end)
-    return np.array(flat, np.int64), starts
+    return np.array(flat, np.uint64), np.repeat(np.arange(len(data)), np.diff(np.r_[starts, len(flat)])), starts
+
+
+def bitmap(grams: DataFrame) -> np.ndarray:
+    """Bits of which those are set that the hashes ``g`` fall on; a power of two, at most BITS."""
+    rows = grams.count()
+    size = min(BITS, 1 << max(6, (16 * rows).bit_length()))
+    words = grams.select(F.col("g").bitwiseAND(F.lit(size - 1)).alias("bit"))
+    words = words.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _may(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    at = grams & np.uint64(64 * len(bits) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _steps(texts: DataFrame, text: str, sent: Broadcast, depth: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context and symbol) that occur at least so often, with their counts."""
+def _steps(texts: DataFrame, text: str, order: int, contexts: np.ndarray, known: np.ndarray) -> DataFrame:
+    """(prefix, suffix, n) of the n-grams of that order that occur at least LEAST_STEP times
+    after a context that may be a candidate."""
+    sent = texts.sparkSession.sparkContext.broadcast((contexts, known))
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        tree = sent.value
+        contexts, known = sent.value
+        codes = _Codes()
         for (values,) in batches:
-            ids, starts = _ids(utf8(values), tree.words)
-            context = tree.context(depth, ids)
-            if depth == 2 and len(starts):
-                context[starts[starts < len(context)]] = -1  # the pair would begin in the text before
-            symbol = ids[1:]
-            good = (context >= 0) & (symbol >= 0)
-            good[starts[1:] - 1] = False  # from one text's end to the next one's start
-            keys, counts = np.unique(context[good] << ID_BITS | symbol[good], return_counts=True)
-            for i in range(0, len(keys), 200_000):
-                yield [keys[i : i + 200_000], counts[i : i + 200_000]]
-
-    parts = map_batches(texts, [text], "key long, n long", run)
-    rows = parts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    table = rows.toArrow()  # at most 1 / STEP_SHARE rows
-    return table["key"].to_numpy(), table["n"].to_numpy()
+            for part in slices(utf8(values)):
+                grams, owner, _ = _symbols(part, codes)
+                for _ in range(order - 2):
+                    grams = longer(grams)
+                if len(grams) < 2:
+                    continue
+                good = np.flatnonzero((owner[: len(grams) - 1] == owner[order - 1 :]) & _may(contexts, grams[:-1]))
+                good = good[_may(known, grams[good + 1])]
+                prefix, suffix = grams[good], grams[good + 1]
+                _, at, n = np.unique(_hash(suffix, _hash(prefix, np.uint64(42))), return_index=True, return_counts=True)
+                prefix, suffix = prefix[at].view(np.int64), suffix[at].view(np.int64)
+                for i in range(0, len(at), 200_000):
+                    yield [x[i : i + 200_000] for x in (prefix, suffix, n)]
+
+    parts = map_batches(texts, [text], "prefix long, suffix long, n long", run)
+    return parts.groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_STEP)
 
 
-def learn(texts: DataFrame, counts: DataFrame, text: str = "text") -> SuffixTree:
-    """The tree of the training texts; ``counts`` is their word_counts."""
-    spark = texts.sparkSession
+@dataclass
+class Model:
+    """``levels[i]`` has the n-grams of i + 1 words: g, prefix, suffix, n, p (its last word's
+    probability after the others) and e (what it adds as a step, as log10); ``states[i]``
+    the contexts of i + 1 words that are states: g, n and b (log10 of what they leave)."""
+
+    tokens: int
+    floor: float  # the root's denominator
+    levels: list[DataFrame]
+    states: list[DataFrame]
+
+
+def grow(texts: DataFrame, counts: DataFrame, text: str = "text") -> Model:
+    """The model of the training texts; ``counts`` is their word_counts."""
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least_state = max(LEAST_STATE, int(np.ceil(total * STATE_SHARE)))
-    least_step = max(LEAST_STEP, int(np.ceil(total * STEP_SHARE)))
-    often = counts.where(F.col("n") >= least_state).select(F.col("word").cast("binary").alias("w"), "n").orderBy(F.desc("n"), "w").toArrow()
-    names = often["w"].to_pylist()
-    tree = SuffixTree(total, total + ALPHA * (kinds + 1), {w: i for i, w in enumerate(names)}, often["n"].to_numpy().astype(np.float64))
-    if not names:
-        return tree
-    keys, n = _steps(texts, text, spark.sparkContext.broadcast(tree), 1, least_step)
-    tree.add_depth(tree.counts, keys, n)
-    pair = n >= least_state
-    order = np.argsort(keys[pair])
-    tree.pairs, of_pair = keys[pair][order], n[pair][order]
-    keys, n = _steps(texts, text, spark.sparkContext.broadcast(tree), 2, least_step)
-    tree.add_depth(of_pair, keys, n)
-    return tree
+    floor = total + ALPHA * (kinds + 1)
+    none = F.lit(None).cast("long")
+    level = counts.select(F.col("code").alias("g"), none.alias("prefix"), none.alias("suffix"), "n", ((F.col("n") + ALPHA) / floor).alias("p"), F.lit(0.0).alias("e"))
+    model = Model(total, floor, [level], [])
+    while True:
+        order = len(model.levels) + 1
+        candidates = level.where(F.col("n") >= LEAST_STATE)
+        if candidates.isEmpty():
+            return model
+        found = _steps(texts, text, order, bitmap(candidates), bitmap(level.where(F.col("n") >= LEAST_STEP)))
+        steps = keep(found.join(level.select(F.col("g").alias("suffix"), F.col("p").alias("below")), "suffix"), "steps")
+        states = keep(_states(steps, candidates), "states")
+        if states.where("stays").isEmpty():
+            return model
+        share = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")
+        p = F.when(F.col("stays"), share + F.col("rest") * F.col("below")).otherwise(F.col("below"))
+        e = F.when(F.col("stays"), F.log10("p") - F.log10("below") - F.log10("rest")).otherwise(0.0)
+        joined = steps.join(states, "prefix").withColumn("p", p)
+        level = keep(joined.select(F.xxhash64("prefix", "suffix").alias("g"), "prefix", "suffix", "n", "p", e.alias("e")), "level")
+        model.levels.append(level)
+        model.states.append(states.where("stays").select(F.col("prefix").alias("g"), F.col("total").alias("n"), F.log10("rest").alias("b")))
+
+
+def _states(steps: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(prefix, total, rest, stays) of each candidate that has steps: whether it diverges
+    from its suffix, and what it leaves to it."""
+    n = F.col("n")
+    sums = steps.groupBy("prefix").agg(
+        F.count("*").alias("kinds"),
+        F.sum("n").alias("kept"),
+        F.sum("below").alias("other"),
+        F.sum(n * F.log(n / F.col("below"))).alias("gain"),
+        F.sum(F.greatest(n - DISCOUNT, F.lit(0.0))).alias("shared"),
+    )
+    sums = sums.join(candidates.select(F.col("g").alias("prefix"), F.col("n").alias("total")), "prefix")
+    total, left = F.col("total"), F.greatest(1 - F.col("kept") / F.col("total"), F.lit(0.0))
+    gain = F.col("gain") - F.col("kept") * F.log(total) + F.when(left > 0, left * total * F.log(left / F.greatest(1 - F.col("other"), F.lit(1e-12)))).otherwise(0.0)
+    return sums.select("prefix", "total", (1 - F.col("shared") / total).alias("rest"), (gain > 0.5 * (F.col("kinds") + 1) * F.log(total)).alias("stays"))
+
+
+def weights(model: Model) -> DataFrame:
+    """(g, words, n, w): what each word and n-gram adds to the score of a text, a word's root
+    aside; words is how often it occurs if it is a word."""
+    null = F.lit(None).cast("long")
+    rows = model.levels[0].select("g", F.col("n").alias("words"), "n", F.lit(0.0).alias("w"))
+    for level in model.levels[1:]:
+        rows = rows.unionAll(level.where("e <> 0").select("g", null, "n", "e"))
+    for states in model.states:
+        rows = rows.unionAll(states.select("g", null, "n", "b"))
+    return rows.groupBy("g").agg(F.max("words").alias("words"), F.max("n").alias("n"), F.sum("w").alias("w"))
+
+
+@dataclass
+class SuffixTree:
+    """A model of few texts, held in one process."""
+
+    words: dict[bytes, int]  # all that can be in a step
+    codes: np.ndarray
+    counts: np.ndarray
+    floor: float
+    pairs: np.ndarray  # states of two words
+    rest: list[np.ndarray]  # what the states of each depth leave to their suffix
+    leaves: dict[int, float]
+    adds: dict[int, float]
+
+    def root(self) -> np.ndarray:
+        return (self.counts + ALPHA) / self.floor
+
+    def score(self, ids: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol after the first; of a word that has no number
+        only the part that its context adds, without the root's."""
+        known = ids >= 0
+        grams = self.codes[np.maximum(ids, 0)]
+        out = np.where(known, np.log10((self.counts[np.maximum(ids, 0)] + ALPHA) / self.floor), 0.0)[1:]
+        for depth in range(1, len(ids)):
+            out[depth - 1 :] += [self.leaves.get(g, 0.0) if k else 0.0 for g, k in zip(grams[:-1].tolist(), known[:-1], strict=True)]
+            grams, known = longer(grams), known[:-1] & (ids[depth:] >= 0)
+            out[depth - 1 :] += [self.adds.get(g, 0.0) if k else 0.0 for g, k in zip(grams.tolist(), known, strict=True)]
+        return out
+
+
+def learn(texts: DataFrame, counts: DataFrame, text: str = "text") -> SuffixTree:
+    """The tree of few training texts, to look into; score_texts leaves it in Spark."""
+    model = grow(texts, counts, text)
+    often = counts.where(F.col("n") >= LEAST_STEP).select("code", F.col("word").cast("binary").alias("w"), "n").orderBy(F.desc("n"), "w").toArrow()
+    codes = often["code"].to_numpy().view(np.uint64)
+    states = [s.toArrow() for s in model.states]
+    pairs = np.empty(0, np.int64)
+    if len(states) > 1:
+        ids = {c: i for i, c in enumerate(often["code"].to_pylist())}
+        of = model.levels[1].join(model.states[1].select("g"), "g", "left_semi").collect()
+        pairs = np.sort(np.array([ids[r.prefix] << ID_BITS | ids[r.suffix] for r in of], np.int64))
+    by_hash = lambda tables, name: {g: x for t in tables for g, x in zip(t["g"].to_numpy().view(np.uint64).tolist(), t[name].to_pylist(), strict=True)}
+    return SuffixTree(
+        {w: i for i, w in enumerate(often["w"].to_pylist())},
+        codes,
+        often["n"].to_numpy().astype(np.float64),
+        model.floor,
+        pairs,
+        [10 ** s["b"].to_numpy() for s in states],
+        by_hash(states, "b"),
+        by_hash([x.select("g", "e").toArrow() for x in model.levels[1:]], "e"),
+    )
 
 
 def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
     docs = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     training = docs.where(F.col("id").isNotNull() & ~held_out("id"))
-    counts = keep(word_counts(training), "words")
-    tree = learn(training, counts)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    model = grow(training, keep(word_counts(training), "words"))
+    table = keep(weights(model), "weights")
+    hot = table.orderBy(F.desc("n"), "g").limit(HOT).toArrow()
+    order = np.argsort(hot["g"].to_numpy().view(np.uint64))
+    often = hot["words"].fill_null(0).to_numpy()[order]
+    root = np.where(often > 0, np.log10((often + ALPHA) / (model.floor or 1.0)), 0.0)
+    local = (hot["g"].to_numpy().view(np.uint64)[order], often > 0, root, hot["w"].to_numpy()[order])
+    depth = len(model.levels)
+    sent = docs.sparkSession.sparkContext.broadcast((*local, bitmap(table.where("words is null"))))
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        from xxhash import xxh64_intdigest
-
-        tree = sent.value
-        root = np.log10(tree.root()) if len(tree.counts) else np.zeros(1)
-        for codes, keys, values in batches:
-            data = utf8(values)
-            code, ident = codes.to_numpy(), keys.to_pylist()
-            for begin in range(0, len(data), 2_000):
-                part = data[begin : begin + 2_000]
-                ids, starts = _ids(part, tree.words)
-                scores = tree.score(ids) if tree.words else np.zeros(len(ids) - 1)
-                base = np.where(ids[1:] >= 0, root[np.maximum(ids[1:], 0)], 0.0)
-                scores[starts[1:] - 1] = base[starts[1:] - 1] = 0.0
-                lengths = np.diff(np.r_[starts, len(ids)]) - 1
-                known = (ids[1:] >= 0).astype(np.int64)
-                known[starts[1:] - 1] = 0
-                sums = [np.add.reduceat(x, starts) for x in (known, base, scores)]
-                row, rare, often = [], [], []
-                for i, raw in enumerate(part):
-                    words = Counter(w for w in raw.lower().split() if w not in tree.words)
-                    if END not in tree.words:
-                        words[END] += 1
-                    row += [i] * len(words)
-                    rare += [xxh64_intdigest(w) for w in words]
-                    often += words.values()
-                own = [{"id": ident[begin + i], "tokens": int(lengths[i]), "known": int(sums[0][i]), "base": float(sums[1][i]), "score": float(sums[2][i])} for i in range(len(part))]
-                mine = code[begin : begin + len(part)]
-                yield [mine, mine, np.zeros(len(part), np.int32), own]
-                yield [mine[np.array(row, np.int64)], np.array(rare, np.uint64).view(np.int64), np.array(often, np.int32), pa.nulls(len(row), nothing)]
+        hot, is_word, root, weight, bits = sent.value
+        codes = _Codes()
+        for keys, idents, values in batches:
+            begin = 0
+            mine, ident = keys.to_numpy(), idents.to_pylist()
+            for part in slices(utf8(values)):
+                grams, owner, starts = _symbols(part, codes)
+                lengths = np.diff(np.r_[starts, len(grams)]) - 1
+                known, base, score = (np.zeros(len(part)) for _ in range(3))
+                rows = []
+                for n in range(1, depth + 1):
+                    if n > 1:
+                        grams = longer(grams)
+                        at = np.flatnonzero((owner[: len(grams)] == owner[n - 1 :]) & _may(bits, grams))
+                    else:
+                        at = np.setdiff1d(np.arange(len(grams)), starts, assume_unique=True)
+                    g, of = grams[at], owner[at]
+                    place = np.minimum(np.searchsorted(hot, g), max(len(hot) - 1, 0))
+                    here = hot[place] == g if len(hot) else np.zeros(len(g), bool)
+                    place, to = place[here], of[here]
+                    add = lambda x: np.bincount(to, x[place], len(part))  # noqa: B023, E731
+                    score += add(weight)
+                    if n == 1:
+                        known += add(is_word)
+                        base += add(root)
+                    rows.append(_counted(of[~here], g[~here], n == 1))
+                own = [{"id": ident[begin + i], "tokens": int(lengths[i]), "known": int(known[i]), "base": float(base[i]), "score": float(base[i] + score[i])} for i in range(len(part))]
+                of_part = mine[begin : begin + len(part)]
+                begin += len(part)
+                no = np.zeros(len(part), np.int32)
+                yield [of_part, of_part, no, no, own]
+                for of, g, words, times in rows:
+                    for i in range(0, len(of), 200_000):
+                        cut = slice(i, i + 200_000)
+                        yield [of_part[of[cut]], g[cut].view(np.int64), words[cut], times[cut], pa.nulls(len(of[cut]), nothing)]
 
     kind = docs.schema["id"].dataType
     nothing = to_arrow_type(StructType.fromDDL(f"id {kind.simpleString()},{_SUMS}"))
-    made = map_batches(docs.select(F.xxhash64("id", "text").alias("k"), "id", "text"), ["k", "id", "text"], f"k long, code long, often int, own struct<id:{kind.simpleString()},{_SUMS}>", run)
-    n = F.coalesce(F.col("n"), F.lit(0))
-    root = F.col("often") * F.log10((n + ALPHA) / F.lit(tree.floor if tree.floor else 1.0))
-    joined = made.join(counts.select("code", "n"), "code", "left")
-    sums = joined.groupBy("k").agg(
+    made = map_batches(docs.select(F.xxhash64("id", "text").alias("k"), "id", "text"), ["k", "id", "text"], f"k long, g long, often int, times int, own struct<id:{kind.simpleString()},{_SUMS}>", run)
+    n = F.coalesce(F.col("words"), F.lit(0))
+    rare = F.col("often") * F.log10((n + ALPHA) / F.lit(model.floor or 1.0))
+    more = (F.col("often") + F.col("times")) * F.coalesce("w", F.lit(0.0))
+    sums = made.join(table.select("g", "words", "w"), "g", "left").groupBy("k").agg(
         F.count("own").alias("copies"),
         F.max("own.id").alias(key),
         F.max("own.tokens").alias("n_tokens"),
@@ -267,7 +357,8 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         F.sum("own.base").alias("base"),
         F.sum("own.score").alias("own_score"),
         F.sum(F.when(n > 0, F.col("often")).otherwise(0)).alias("rare_known"),
-        F.sum(root).alias("rare"),
+        F.sum(rare).alias("rare"),
+        F.sum(more).alias("more"),
     )
     each = lambda c: F.col(c) / F.col("copies")
     return sums.select(
@@ -275,12 +366,21 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         held_out(key).alias("held_out"),
         "n_tokens",
         ((F.col("known") + F.col("rare_known")) / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
         (each("base") + each("rare")).alias("base_score"),
-        (each("own_score") + each("rare")).alias("score"),
+        (each("own_score") + each("rare") + each("more")).alias("score"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy__"),
     ).drop("__copy__")
 
 
-#: What a text adds up to apart from its words that are not frequent.
+def _counted(of: np.ndarray, grams: np.ndarray, are_words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's n-grams once: text, n-gram, and its number as a word and as a longer one."""
+    order = np.lexsort((grams, of))
+    of, grams = of[order], grams[order]
+    first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (grams[1:] != grams[:-1])][: len(of)])
+    n = np.diff(np.r_[first, len(of)]).astype(np.int32)
+    return of[first], grams[first], *((n, 0 * n) if are_words else (0 * n, n))
+
+
+#: What a text adds up to apart from its n-grams that are not frequent.
 _SUMS = "tokens:long,known:long,base:double,score:double"

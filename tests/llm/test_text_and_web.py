@@ -77,6 +77,22 @@ def test_probabilities_sum_to_one(spark):
     assert rare > 0
 
 
+def test_contexts_of_three_words_are_learned(spark):
+    rows = [(i, ("a x y p", "b x y q", "k n s", "l n t")[i % 4]) for i in range(1, 400)]
+    asked = [(1004, "a x y p"), (1010, "a x y q"), (1018, "b x y q"), (1019, "b x y p")]  # held out
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(rows + asked, "doc_id long, text string")).where("doc_id > 1000 and held_out").collect()}
+    assert got[1004] > got[1010] + 1 and got[1018] > got[1019] + 1  # y, and x y, are followed by either
+
+
+def test_the_model_does_not_shrink_beside_more_text(spark):
+    phrase = [(i, f"left{i % 3} right{i % 3}") for i in range(1, 40)]
+    alone = score_texts(spark.createDataFrame(phrase, "doc_id long, text string")).where("doc_id = 1").first()
+    docs = spark.createDataFrame([*phrase, (1001, "z " * 3_000_000), (1002, "z " * 3_000_000)], "doc_id long, text string")
+    beside = score_texts(docs).where("doc_id = 1").first()
+    assert alone.score - alone.base_score > 0.5
+    assert beside.score - beside.base_score > alone.score - alone.base_score
+
+
 # --- WARC ---
 
 
