@@ -3,7 +3,8 @@
 ``to_media`` stores a text's UTF-8 bytes, padded with zero bytes to a positive multiple
 of 64, as 8-bit mono samples in a WAV file (one binary value for each row).
 ``media_features`` opens such a value with the wave module, takes a short-time Fourier
-transform of it (windows of ``FRAME`` samples, half overlapping), finds the strongest
+transform of it (windows of ``FRAME`` samples, half overlapping, the last one filled up
+with zeros), finds the strongest
 bins of each window and pairs each peak with those of the next windows. A pair is one
 number: the time, the two bins and the distance in time.
 
@@ -51,8 +52,8 @@ def unpack(media: bytes) -> bytes:
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, bin) of the strongest local maxima of each window's spectrum, in order."""
-    if len(samples) < FRAME:
-        samples = np.r_[samples, np.full(FRAME - len(samples), 0, samples.dtype)]
+    short = FRAME - len(samples) if len(samples) < FRAME else (FRAME - len(samples)) % HOP
+    samples = np.r_[samples, np.zeros(short, samples.dtype)]
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     shape = np.hanning(FRAME).astype(np.float32)
     times, bins = [], []

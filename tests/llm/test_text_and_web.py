@@ -228,3 +228,11 @@ def test_peaks_of_a_tone():
     assert (np.bincount(bins).argmax(), len(set(times.tolist()))) == (20, len(range(0, 4096 - media.FRAME + 1, media.HOP)))
     pairs = media.fingerprint(tone.tobytes())
     assert ((pairs >> 10 & 255) == 20).any() and len(np.unique(pairs)) == len(pairs)
+
+
+@pytest.mark.parametrize("size", [320, 448])
+def test_the_last_bytes_are_in_a_window(size):
+    payload = bytes(range(65, 91)) * 20
+    one, other = payload[:size], payload[: size - 64] + b"ab" * 32
+    assert media.fingerprint(one).tolist() != media.fingerprint(other).tolist()
+    assert set(media.peaks(np.frombuffer(one, np.uint8))[0].tolist()) == set(range((size - 128) // 128 + 1))
