@@ -9,8 +9,10 @@ Gaussian over the neighbouring lines, and lines fall in two clusters around a th
 that is a share of the mean. A run of lines of the upper cluster is a content region.
 
 Regions grow over what is content however short: where the page has an ``article`` or
-``main`` element that holds a region, all lines of that element count, as do headings
-and paragraphs between and next to the lines of a region.
+``main`` element that holds a region, all lines of that element count. Elsewhere lines of
+the upper cluster make one region if they are in the same container or at most ``NEAR``
+lines with text apart; it holds all lines from its first one to the end of the element that
+holds them all, and the headings before it.
 
 A null or empty page, or one without text, has an empty main text.
 """
@@ -31,12 +33,17 @@ from flowloom.llm.batches import add_columns
 SIGMA, SHARE = 1.0, 0.5
 #: Characters of a line's text beyond which more do not raise its ratio.
 LONG_LINE = 400
+#: Lines with text by which lines of a region are apart at most, and the share of a page's text that no element silences.
+NEAR, MOST = 3, 2 / 3
 
 #: Elements by what they do to lines.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select button form nav footer aside menu dialog datalist applet map".split())
 CONTENT = frozenset(("article", "main"))
+#: Those of SILENT that may turn out to hold the article, and blocks that hold a line, no region.
+SOFT = frozenset("form aside".split())
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li ul ol dl dd dt pre blockquote figure figcaption caption address summary table thead tbody tfoot tr option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id that name what is not the article.
@@ -57,22 +64,29 @@ _SPACE = re.compile(r"\s+")
 
 
 class LineParser(HTMLParser):
-    """Collects [text parts, tags, in content element, heading] for each line."""
+    """Collects (text, tags, innermost element, heading) for each line, and the elements.
+
+    Elements are numbered as they begin, so that what is in one has numbers up to its last."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # element, silent, content
+        self.open: list[tuple[str, bool, bool, int]] = []  # element, silent, content, number
         self.silent = 0
         self.content = 0
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
+        self.names = [""]  # the page itself is element 0
+        self.parents = [0]
+        self.last = [0]
+        self.aside = [False]
+        self.article = [False]
 
     def close_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         if text or self.tags:
             heading = any(x[0] in HEADINGS for x in self.open[-3:])
-            self.lines.append((text, self.tags, self.content > 0, heading))
+            self.lines.append((text, self.tags, self.open[-1][3] if self.open else 0, heading))
         self.parts.clear()
         self.tags = 0
 
@@ -91,9 +105,16 @@ class LineParser(HTMLParser):
             elif tag not in ("li", "dd", "dt", "td", "th", "tr", "option"):
                 self.end_paragraph()
         self.tags += 1
-        silent = tag in SILENT or (tag == "header" and not self.content) or (bool(attrs) and tag not in ("html", "body", "main") and _is_aside(attrs, self.content > 0))
-        content = tag in CONTENT and not self.silent
-        self.open.append((tag, silent, content))
+        hidden = any(n == "hidden" or (n == "aria-hidden" and v == "true") for n, v in attrs)
+        silent = (tag in SILENT and tag not in SOFT) or (hidden and tag not in ("html", "body", "main"))
+        aside = tag in SOFT or (tag == "header" and not self.content) or (bool(attrs) and tag not in ("html", "body", "main") and _is_aside(attrs, self.content > 0))
+        content = tag in CONTENT and not silent and not aside
+        self.open.append((tag, silent, content, len(self.names)))
+        self.names.append(tag)
+        self.parents.append(self.open[-2][3] if len(self.open) > 1 else 0)
+        self.last.append(len(self.last))
+        self.aside.append(aside)
+        self.article.append(content)
         self.silent += silent
         self.content += content
 
@@ -115,7 +136,8 @@ class LineParser(HTMLParser):
                 return
 
     def drop(self) -> None:
-        _, silent, content = self.open.pop()
+        _, silent, content, number = self.open.pop()
+        self.last[number] = len(self.names) - 1
         self.silent -= silent
         self.content -= content
 
@@ -150,20 +172,54 @@ def _is_aside(attrs: list[tuple[str, str | None]], in_content: bool) -> bool:
                 words -= TITLES
             if not ASIDE_WORDS.isdisjoint(words):
                 return True
-        elif value and name == "role":
-            if value.lower() in ROLES:
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+        elif value and name == "role" and value.lower() in ROLES:
             return True
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
+def _sums(parser: LineParser, own: list[int]) -> list[int]:
+    """Each element's own number and those of all in it."""
+    out = list(own)
+    for i in range(len(out) - 1, 0, -1):
+        out[parser.parents[i]] += out[i]
+    return out
+
+
+def _places(parser: LineParser) -> tuple[list[bool], list[bool]]:
+    """Which elements are silenced and which are in an article, themselves included."""
+    size = len(parser.names)
+    own = [0] * size
+    for text, _, at, _ in parser.lines:
+        own[at] += len(text)
+    chars = _sums(parser, own)
+    aside = [a for i, a in enumerate(parser.aside)]
+    articles = _sums(parser, [int(a and chars[i] > 0) for i, a in enumerate(parser.article)])
+
+    def spread() -> tuple[list[bool], list[bool]]:
+        silent, inside = [False] * size, [False] * size
+        for i in range(1, size):
+            above = parser.parents[i]
+            silent[i] = silent[above] or aside[i]
+            inside[i] = not silent[i] and (inside[above] or parser.article[i])
+        return silent, inside
+
+    silent, inside = spread()
+    return silent, inside
+
+
+def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], list[int], LineParser]:
+    """(text, tags, in an article, heading) of each line, its element, and the elements."""
     parser = LineParser()
     parser.feed(html)
     parser.close()
     parser.close_line()
-    return parser.lines
+    while parser.open:
+        parser.drop()
+    parser.last[0] = len(parser.names) - 1
+    silent, inside = _places(parser)
+    rows = [(("" if silent[at] else text, tags, inside[at], heading), at) for text, tags, at, heading in parser.lines]
+    rows = [x for x in rows if x[0][0] or x[0][1]]
+    return [x for x, _ in rows], [at for _, at in rows], parser
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -173,7 +229,19 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[reach : reach + len(values)] / weights
 
 
-def content_lines(lines: list[tuple[str, int, bool, bool]]) -> np.ndarray:
+def _container(parser: LineParser, at: int) -> int:
+    """The element that holds the line's paragraph, list or table beside others."""
+    names, parents = parser.names, parser.parents
+    while at and names[at] not in BLOCKS:
+        at = parents[at]
+    if names[at] in ("td", "th"):
+        at = parents[at]
+    while at and (names[at] in LINES or names[at] not in BLOCKS):
+        at = parents[at]
+    return at
+
+
+def content_lines(lines: list[tuple[str, int, bool, bool]], at: list[int], parser: LineParser) -> np.ndarray:
     """Which lines are in a content region."""
     sizes = np.array([min(len(t), LONG_LINE) for t, _, _, _ in lines], np.float64)
     tags = np.array([n for _, n, _, _ in lines], np.float64)
@@ -184,14 +252,25 @@ def content_lines(lines: list[tuple[str, int, bool, bool]]) -> np.ndarray:
     high = full & (ratio >= SHARE * ratio[full].mean())
     if (high & inside).any():
         return full & inside
-    # without such an element: the paragraphs and headings that a region encloses or touches
-    out = high.copy()
-    at = np.flatnonzero(high)
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        if b - a <= 3:
-            out[a:b] = True
-    for a in at:
-        k = a - 1
+    # without such an element: regions from their first line to the end of what holds them
+    out = np.zeros(len(lines), bool)
+    place = np.cumsum(full)
+    regions: list[list[int]] = []  # first and last line, and the element that holds both
+    for i in np.flatnonzero(high).tolist():
+        own = _container(parser, at[i])
+        if regions and (place[i] - place[regions[-1][1]] <= NEAR or at[i] <= parser.last[regions[-1][2]]):
+            held = regions[-1][2]
+            while not held <= own <= parser.last[held]:
+                held = parser.parents[held]
+            regions[-1][1:] = [i, held]
+        else:
+            regions.append([i, i, own])
+    for first, end, held in regions:
+        after = end + 1
+        while after < len(lines) and held <= at[after] <= parser.last[held]:
+            after += 1
+        out[first:after] = True
+        k = first - 1
         while k >= 0 and (heading[k] or not full[k]):
             out[k] = True
             k -= 1
@@ -199,10 +278,10 @@ def content_lines(lines: list[tuple[str, int, bool, bool]]) -> np.ndarray:
 
 
 def main_text(html: str) -> str:
-    lines = [x for x in lines_of(html)] if html else []
+    lines, at, parser = lines_of(html) if html else ([], [], None)
     if not any(x[0] for x in lines):
         return ""
-    return "\n\n".join(lines[i][0] for i in np.flatnonzero(content_lines(lines)))
+    return "\n\n".join(lines[i][0] for i in np.flatnonzero(content_lines(lines, at, parser)))
 
 
 def extract_main_text(df: DataFrame, html: str = "html") -> DataFrame:

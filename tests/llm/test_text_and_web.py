@@ -192,6 +192,17 @@ def test_other_parts_go(aside, frame):
     assert main_text(page) == f"Head & line\n\n{LONG}\n\nShort.\n\n{LONG}"
 
 
+PARTS = [["Short."], ["- Yes.", "- No.", "- Why?", "- So.", "- Then go.", "- I will."]]
+
+
+@pytest.mark.parametrize("parts", PARTS)
+@pytest.mark.parametrize("tag", ["<p>{}</p>", "<ul><li>{}</li></ul>", "<table><tr><td>{}</td></tr></table>"])
+def test_short_closed_paragraphs_stay(parts, tag):
+    high = LONG * 4
+    page = f"<body><nav>Go</nav><div class=content><h1>Head</h1><p>{high}</p>{''.join(map(tag.format, parts))}<p>{high}</p><p>The end.</p></div><div class=footer>Mine</div></body>"
+    assert main_text(page) == "\n\n".join(["Head", high, *parts, high, "The end."])
+
+
 def test_odd_pages(spark):
     assert [main_text(x) for x in ("", "just text", "<p>one", "<p>a&#x41;&nbsp;b", "<article><p>x</article>", "<", "<p", "&", "<![CDATA[x]]>")][:5] == ["", "just text", "one", "aA b", "x"]
     assert main_text("<div>" * 5000 + LONG) == LONG
