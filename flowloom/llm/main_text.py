@@ -14,6 +14,10 @@ the upper cluster make one region if they are in the same container or at most `
 lines with text apart; it holds all lines from its first one to the end of the element that
 holds them all, and the headings before it.
 
+What class, id, role or element tell is judged after parsing: an element that holds most
+of the page's text, or the only ``article`` or ``main``, silences nothing. Inside an
+article only whole class names count, and no id.
+
 A null or empty page, or one without text, has an empty main text.
 """
 
@@ -163,11 +167,13 @@ class LineParser(HTMLParser):
 def _is_aside(attrs: list[tuple[str, str | None]], in_content: bool) -> bool:
     for name, value in attrs:
         if value and name in ("class", "id"):
+            if in_content and name == "id":
+                continue
             words = set()
             for one in value.split():
                 parts = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower())
                 if parts and parts[0] not in LAYOUT:
-                    words.update(parts)
+                    words.update(parts if not in_content or ASIDE_WORDS.issuperset(parts) else ())
             if in_content:
                 words -= TITLES
             if not ASIDE_WORDS.isdisjoint(words):
@@ -192,7 +198,7 @@ def _places(parser: LineParser) -> tuple[list[bool], list[bool]]:
     for text, _, at, _ in parser.lines:
         own[at] += len(text)
     chars = _sums(parser, own)
-    aside = [a for i, a in enumerate(parser.aside)]
+    aside = [a and chars[i] < MOST * chars[0] for i, a in enumerate(parser.aside)]
     articles = _sums(parser, [int(a and chars[i] > 0) for i, a in enumerate(parser.article)])
 
     def spread() -> tuple[list[bool], list[bool]]:
@@ -204,6 +210,9 @@ def _places(parser: LineParser) -> tuple[list[bool], list[bool]]:
         return silent, inside
 
     silent, inside = spread()
+    if articles[0] and not any(inside[at] and text for text, _, at, _ in parser.lines):
+        aside = [a and not articles[i] for i, a in enumerate(aside)]
+        silent, inside = spread()
     return silent, inside
 
 

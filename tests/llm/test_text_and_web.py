@@ -203,6 +203,18 @@ def test_short_closed_paragraphs_stay(parts, tag):
     assert main_text(page) == "\n\n".join(["Head", high, *parts, high, "The end."])
 
 
+@pytest.mark.parametrize("around", ["<div class='layout-with-sidebar'>{}</div>", "<div id='content-sidebar-wrap'>{}</div>", "<form id=aspnetForm>{}</form>"])
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<div class=content>{}</div>", "<main>{}</main>"])
+def test_no_ancestor_silences_the_article(around, frame):
+    page = f"<body><nav>Go</nav>{around.format(frame.format(f'<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>'))}<div class=footer>Mine</div></body>"
+    assert main_text(page) == f"Head\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("part", ["<section id='discussion'>{}</section>", "<h2 id='related-work'>{}</h2>", "<div id='search-results'>{}</div>"])
+def test_names_inside_an_article(part):
+    assert main_text(f"<article><p>{LONG}</p>{part.format('Part')}<div class='comments'>Reply</div></article>") == f"{LONG}\n\nPart"
+
+
 def test_odd_pages(spark):
     assert [main_text(x) for x in ("", "just text", "<p>one", "<p>a&#x41;&nbsp;b", "<article><p>x</article>", "<", "<p", "&", "<![CDATA[x]]>")][:5] == ["", "just text", "one", "aA b", "x"]
     assert main_text("<div>" * 5000 + LONG) == LONG
