@@ -12,7 +12,8 @@ blocks, each with a broadcast, an automaton and a scan of its own, and the hits
 scans are merged row by row.
 
 Null texts have no words. Items without words are in no document. Repeated rows each
-get their row; an item_id that repeats counts once.
+get their row; an item_id that repeats counts once. Items
+with a null item_id hit like all others; they count as one item, which has no name.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def windows_of(data: bytes, size: int) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def _automaton(key: str, block: list[tuple[str, list[str]]]):
+def _automaton(key: str, block: list[tuple[str, list[str | None]]]):
     """The automaton of a block, or None if it has no window; a worker keeps the last one."""
     import ahocorasick
 
@@ -65,7 +66,7 @@ def _automaton(key: str, block: list[tuple[str, list[str]]]):
     return _LOADED[key]
 
 
-def _scan(line: str, automaton) -> tuple[list[tuple[int, int]], set[str]]:
+def _scan(line: str, automaton) -> tuple[list[tuple[int, int]], set[str | None]]:
     """Half-open spans of matched windows in a normalised line, and the items they are from."""
     spans, items = [], set()
     for end, (length, owners) in automaton.iter(line):
@@ -74,18 +75,18 @@ def _scan(line: str, automaton) -> tuple[list[tuple[int, int]], set[str]]:
     return spans, items
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[list[tuple[str, list[str]]]]:
+def benchmark_blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[list[tuple[str, list[str | None]]]]:
     """The distinct windows with their items, in blocks of bounded size; at least one.
 
     The driver holds a partition of the items and a block at a time.
     """
-    owners: dict[bytes, dict[str, None]] = {}
+    owners: dict[bytes, dict[str | None, None]] = {}
     total = 0
 
-    def block() -> list[tuple[str, list[str]]]:
+    def block() -> list[tuple[str, list[str | None]]]:
         return [(w.decode("latin-1"), list(o)) for w, o in owners.items()]
 
-    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.encode(F.col(f"`{text}`").cast("string"), "UTF-8").alias("t")).dropna()
+    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.encode(F.col(f"`{text}`").cast("string"), "UTF-8").alias("t")).dropna(subset=["t"])
     for row in rows.toLocalIterator():
         for w in windows_of(bytes(row.t), size):
             if w not in owners:
@@ -99,7 +100,7 @@ def benchmark_blocks(benchmark: DataFrame, item: str, text: str, size: int) -> I
     yield block()
 
 
-def _hits(raw: bytes, words: list[bytes], automaton) -> tuple[list[tuple[int, int]], set[str]]:
+def _hits(raw: bytes, words: list[bytes], automaton) -> tuple[list[tuple[int, int]], set[str | None]]:
     """Half-open ranges of hit words, and the items that hit them."""
     at, items = _scan((b" " + b" ".join(words) + b" ").decode("latin-1"), automaton) if words and automaton else ([], set())
     if not at:
@@ -131,7 +132,7 @@ def mark_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     return out.drop("__ranges", "__items")
 
 
-def _scan_block(df: DataFrame, text: str, block: list[tuple[str, list[str]]], more: bool, outputs: str, spans: bool | None) -> DataFrame:
+def _scan_block(df: DataFrame, text: str, block: list[tuple[str, list[str | None]]], more: bool, outputs: str, spans: bool | None) -> DataFrame:
     """Scan with the automaton of one block. ``more``: the hits of earlier blocks are there.
     ``spans`` None: hand the hits on; else sum them up."""
     sent, key = df.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
@@ -160,7 +161,7 @@ def _none(outputs: str) -> list[list]:
     return [[] for _ in StructType.fromDDL(outputs)]
 
 
-def _sum_up(raw: bytes, words: list[bytes], ranges: list[tuple[int, int]], items: set[str], spans: bool) -> tuple:
+def _sum_up(raw: bytes, words: list[bytes], ranges: list[tuple[int, int]], items: set[str | None], spans: bool) -> tuple:
     if not ranges:
         return (len(words), 0, 0, EMPTY, False, *[[]] * spans)
     edge = np.zeros(len(words) + 1, np.int64)
@@ -168,7 +169,7 @@ def _sum_up(raw: bytes, words: list[bytes], ranges: list[tuple[int, int]], items
     np.add.at(edge, [b for _, b in ranges], -1)
     hit = np.cumsum(edge[:-1]) > 0
     n = int(hit.sum())
-    digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    digest = hashlib.sha256(",".join(sorted(x for x in items if x is not None)).encode()).hexdigest()
     return (len(words), n, len(items), digest, 20 * n >= len(words), *[_stretches(raw, hit)] * spans)
 
 

@@ -4,13 +4,14 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from flowloom.llm import simhash
+from flowloom.llm import decontaminate, simhash
 from flowloom.llm.components import connected
 from flowloom.llm.decontaminate import mark_contamination
 from flowloom.llm.language_id import train_and_identify
@@ -148,6 +149,21 @@ def test_contamination(spark, monkeypatch, block):
         assert [w for s in r.hits for w in WORD.findall(raw[s.start : s.end].decode().translate(ASCII_LOWER))] == words
 
 
+@pytest.mark.parametrize("block", [1 << 22, 10])
+def test_items_without_an_id_hit_as_in_sql(spark, monkeypatch, block):
+    monkeypatch.setattr("flowloom.llm.decontaminate.AUTOMATON_BYTES", block)
+    docs = spark.createDataFrame([(1, "one two three"), (2, "one two three four five"), (3, "six")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (7, "four five"), (None, "four"), (8, None), (None, None)], "item_id long, text string")
+    got = mark_contamination(docs, items).drop("text").toPandas().sort_values("doc_id")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("items", items.selectExpr("cast(item_id as string) as item_id", "text").toPandas())
+    con.sql("create view benchmark as select item_id::bigint as item_id, text from items")
+    want = con.sql(decontaminate.ORACLE).df().sort_values("doc_id")
+    assert got[want.columns].values.tolist() == want.values.tolist()
+    assert got.contaminated.tolist() == [True, True, False]
+
+
 def test_contamination_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
