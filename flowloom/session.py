@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -67,7 +68,33 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 def keep(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: this cuts its lineage
-    and survives the loss of any executor."""
-    path = shared_folder(df.sparkSession, purpose)
+    and survives the loss of any executor. The folder goes by ``forget``, or with the driver."""
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    if not _KEPT:
+        atexit.register(lambda: [_remove(s, p) for p, s in list(_KEPT.items())])
+    _KEPT[path] = spark
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._flowloom_path = path
+    return kept
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove the folders of kept tables that nothing is to read any more; others stay."""
+    for df in frames:
+        path = getattr(df, "_flowloom_path", None)
+        if path in _KEPT:
+            _remove(_KEPT[path], path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    _KEPT.pop(path, None)
+    context = spark.sparkContext
+    if context._jsc is not None:  # else the session has ended
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Folders of kept tables, with the session that wrote each.
+_KEPT: dict[str, SparkSession] = {}
