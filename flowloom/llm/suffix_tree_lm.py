@@ -1,91 +1,64 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-A state is a context of any number of words. The root has every word of the corpus, with
-additive smoothing. A deeper context is a candidate if it occurs at least ``LEAST_STATE``
-times, and becomes a state if its next-symbol distribution diverges from that of the
-shorter context (its suffix) by more than its size explains. A state keeps the symbols
-that follow it at least ``LEAST_STEP`` times, less a discount; what is left of its
-probability goes to its suffix's distribution. So the probabilities of all symbols after
-any context sum to 1. The tree grows by a word until no context of a depth becomes a state;
-contexts beyond such a depth are not tried.
-
-The least counts are numbers, not shares, so the model grows with the texts. Its parts are
-Spark tables keyed by 64-bit hashes: of words (XXH64), and of n-grams, each of the hashes
-of the n-gram without its last and without its first word. The divergence test is a grouped
-aggregate. The log probability of a token is a sum over the n-grams that end there: what
-the n-gram adds to its suffix as a step, and what the context leaves as a state. So a text
-is scored by its n-grams, whatever their places, in one join with a table of weights.
-
-What is sent to tasks has a bound whatever the input: the weights of the ``HOT`` most
-frequent n-grams, which are in no join, and bitmaps of ``BITS`` bits that tell which
-n-grams may have a weight; a full bitmap costs rows in a join and changes no result.
+A state is a context of up to ``DEPTH`` words, the tree's largest memory. The root has every
+word of the corpus, with additive smoothing. A deeper context is a candidate if it occurs at
+least ``LEAST_STATE`` times, and becomes a state if its next-symbol distribution diverges
+from that of the shorter context (its suffix) by more than its size explains. A state keeps
+the symbols that follow it at least ``LEAST_STEP`` times, less a discount; what is left of
+its probability goes to its suffix's distribution. So the probabilities of all symbols after
+any context sum to 1, and the longest state that a text's last words end in decides.
+
+The least counts are numbers, not shares: what two texts have in common is in the model, and
+the model grows with the texts. Its parts are Spark tables. Words are known by 127 bits of
+their XXH3 hash, in counts and joins alike; n-grams by 64 bits, each the hash of those of the
+n-gram without its last and without its first word: a clash of these would alter a score, no
+count. The divergence test is a grouped aggregate. The log probability of a token is a sum
+over the n-grams that end there: what the n-gram adds to its suffix as a step, and what the
+context leaves as a state. So a text is scored by its n-grams, whatever their places, in one
+join with a table of weights.
+
+What is sent to tasks has a bound whatever the input: the weights of at most ``HOT`` frequent
+n-grams, which are in no join, and bitmaps of at most ``BITS`` bits that tell which n-grams
+may have a weight; a full bitmap costs rows in a join and changes no result.
 
 A text is its words and one end. A null text is an end alone. A row whose key is null is
-neither learned from nor held out. Repeated rows each get their row.
+neither learned from nor held out. Repeated rows each get their row, and are learned from each.
+An empty table gives no rows. A long text is taken whole, alone in its slice. Only the key
+and the computed columns are returned, so other columns of ``df``, whatever their names, are
+not in the way.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from flowloom.llm.batches import map_batches, slices, utf8
-from flowloom.session import keep
+from flowloom.llm.batches import map_batches, quoted
+from flowloom.session import forget, keep
 
-#: Least occurrences of a state and of a step.
-LEAST_STATE, LEAST_STEP = 8, 2
+#: Words of the longest context; least occurrences of a state and of a step.
+DEPTH, LEAST_STATE, LEAST_STEP = 3, 2, 2
 #: Additive smoothing of the root, and discount of the steps.
 ALPHA, DISCOUNT = 0.1, 0.6
-#: N-grams whose weights are sent to tasks, and most bits of a bitmap.
-HOT, BITS = 1 << 18, 1 << 27
-#: Ids of a local tree's words take so many bits.
-ID_BITS = 18
+#: N-grams whose weights are sent to tasks at most, and most bits of a bitmap.
+HOT, BITS = 1 << 19, 1 << 27
 #: The end of a text, also the context that its first word has; no word is a line feed.
 END = b"\n"
-#: Distinct words that a task holds before it hands their counts on.
-HELD = 200_000
+#: Bytes of text that a task takes at once, and rows that it hands on at once.
+RUN_BYTES, AT_ONCE = 12 << 20, 200_000
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def held_out(key: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-
-
-def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(code, word, n): how often each word and the end are in the texts."""
-
-    def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        from xxhash import xxh64_intdigest
-
-        counts: Counter[bytes] = Counter()
-
-        def out() -> list:
-            words = list(counts)
-            codes = np.array([xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
-            rows = [codes, pa.array(words, pa.binary()).cast(pa.string()), np.array([counts[w] for w in words], np.int64)]
-            counts.clear()
-            return rows
-
-        for (values,) in batches:
-            data = utf8(values)
-            counts[END] += len(data)
-            for raw in data:
-                counts.update(raw.lower().split())
-                if len(counts) > HELD:
-                    yield out()
-        if counts:
-            yield out()
-
-    parts = map_batches(texts, [text], "code long, word string, n long", run)
-    return parts.groupBy("code", "word").agg(F.sum("n").alias("n"))
+def held_out(key: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(quoted(key)).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
 def _hash(value: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
@@ -97,36 +70,94 @@ def _hash(value: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def longer(grams: np.ndarray) -> np.ndarray:
-    """Hashes of the n-grams of one word more, by where they begin: Spark's xxhash64 of the
-    n-grams without the last and without the first word."""
-    return _hash(grams[1:], _hash(grams[:-1], np.uint64(42)))
+def gram_hash(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those without their last and without their first word: Spark's
+    xxhash64 of both columns."""
+    return _hash(suffix, _hash(prefix, np.uint64(42)))
 
 
-class _Codes(dict):
-    """The hash of each word; a bounded number is kept."""
+def longer(grams: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams of one word more, by where they begin."""
+    return gram_hash(grams[:-1], grams[1:])
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
 
-        if len(self) >= HELD:
-            self.clear()
-        code = self[word] = xxh64_intdigest(word)
-        return code
+@dataclass
+class Symbols:
+    """The symbols of some texts in a row, each text between two ends."""
+
+    low: np.ndarray  # the two hashes of each distinct symbol
+    high: np.ndarray
+    ids: np.ndarray  # which symbol is where
+    owner: np.ndarray  # the text of each
+    starts: np.ndarray  # where each text begins
+
+    def counts(self) -> np.ndarray:
+        """How often each symbol is in the texts; the end before a text is none of it."""
+        return np.bincount(self.ids, minlength=len(self.low)) - np.bincount(self.ids[self.starts], minlength=len(self.low))
+
+
+def symbols(texts: pa.Array) -> Symbols:
+    from xxhash import xxh3_128_digest
+
+    lines = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lines.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lines).to_numpy(zero_copy_only=False))[full.to_numpy(zero_copy_only=False)]
+    coded = words.filter(full).dictionary_encode()
+    distinct = [END, *coded.dictionary.cast(pa.binary()).to_pylist()]
+    codes = np.frombuffer(b"".join(map(xxh3_128_digest, distinct)), ">u8").astype(np.uint64).reshape(-1, 2)
+    sizes = np.bincount(owner, minlength=len(texts)) + 2
+    starts = np.cumsum(sizes) - sizes
+    ids = np.zeros(int(sizes.sum()), np.int64)
+    ids[np.arange(len(owner)) + 2 * owner + 1] = coded.indices.to_numpy() + 1
+    return Symbols(codes[:, 1].copy(), codes[:, 0] | np.uint64(1), ids, np.repeat(np.arange(len(texts)), sizes), starts)
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where runs of texts of about ``RUN_BYTES`` begin and end; a longer text is alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and total + size > RUN_BYTES:
+            yield begin, i
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def _counted(prefix: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each n-gram once, with its number."""
+    grams = gram_hash(prefix, suffix)
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+    at = order[first]
+    return prefix[at].view(np.int64), suffix[at].view(np.int64), np.diff(np.r_[first, len(grams)])
+
+
+def _parts(*columns: np.ndarray) -> Iterator[list[np.ndarray]]:
+    for i in range(0, len(columns[0]), AT_ONCE):
+        yield [c[i : i + AT_ONCE] for c in columns]
+
+
+def first_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(size, a, b, n): how often each word (size 1; both hashes) and the end are in the texts,
+    and each pair of symbols (size 2; prefix and suffix), all from one scan."""
 
+    def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
+        for (values,) in batches:
+            for begin, end in runs(values):
+                some = symbols(values.slice(begin, end - begin))
+                grams, same = some.low[some.ids], some.owner[1:] == some.owner[:-1]
+                words = (some.low.view(np.int64), some.high.view(np.int64), some.counts())
+                pairs = _counted(grams[:-1][same], grams[1:][same])
+                for size, columns in ((1, words), (2, pairs)):
+                    for a, b, n in _parts(*columns):
+                        yield [np.full(len(a), size, np.int8), a, b, n]
 
-def _symbols(data: list[bytes], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the symbols of all texts in a row, each text between two ends, the text of
-    each symbol, and where each text starts."""
-    end = codes[END]
-    flat: list[int] = []
-    starts = np.empty(len(data), np.int64)
-    for i, raw in enumerate(data):
-        starts[i] = len(flat)
-        flat.append(end)
-        flat.extend(map(codes.__getitem__, raw.lower().split()))
-        flat.append(end)
-    return np.array(flat, np.uint64), np.repeat(np.arange(len(data)), np.diff(np.r_[starts, len(flat)])), starts
+    parts = map_batches(texts, [text], "size byte, a long, b long, n long", run)
+    return parts.groupBy("size", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("size") == 1, 1).otherwise(LEAST_STEP))
 
 
 def bitmap(grams: DataFrame) -> np.ndarray:
@@ -145,242 +176,197 @@ def _may(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _steps(texts: DataFrame, text: str, order: int, contexts: np.ndarray, known: np.ndarray) -> DataFrame:
-    """(prefix, suffix, n) of the n-grams of that order that occur at least LEAST_STEP times
-    after a context that may be a candidate."""
-    sent = texts.sparkSession.sparkContext.broadcast((contexts, known))
+def _found(texts: DataFrame, text: str, size: int, known: np.ndarray, ends: np.ndarray) -> DataFrame:
+    """(prefix, suffix, n) of the n-grams of that size that occur at least LEAST_STEP times;
+    both parts of such a one are known to do so. Of those of the last size, which are no
+    contexts of others, only those may tell something whose suffix is open: its own context
+    has other symbols after it, without which a longer one cannot diverge."""
+    sent = texts.sparkSession.sparkContext.broadcast((known, ends))
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        contexts, known = sent.value
-        codes = _Codes()
+        known, ends = sent.value
         for (values,) in batches:
-            for part in slices(utf8(values)):
-                grams, owner, _ = _symbols(part, codes)
-                for _ in range(order - 2):
+            for begin, end in runs(values):
+                some = symbols(values.slice(begin, end - begin))
+                grams = some.low[some.ids]
+                for _ in range(size - 2):
                     grams = longer(grams)
-                if len(grams) < 2:
-                    continue
-                good = np.flatnonzero((owner[: len(grams) - 1] == owner[order - 1 :]) & _may(contexts, grams[:-1]))
-                good = good[_may(known, grams[good + 1])]
-                prefix, suffix = grams[good], grams[good + 1]
-                _, at, n = np.unique(_hash(suffix, _hash(prefix, np.uint64(42))), return_index=True, return_counts=True)
-                prefix, suffix = prefix[at].view(np.int64), suffix[at].view(np.int64)
-                for i in range(0, len(at), 200_000):
-                    yield [x[i : i + 200_000] for x in (prefix, suffix, n)]
+                if len(grams) > 1:
+                    good = np.flatnonzero(some.owner[: len(grams) - 1] == some.owner[size - 1 :])
+                    good = good[_may(ends, grams[good + 1])]
+                    good = good[_may(known, grams[good])]
+                    yield from _parts(*_counted(grams[good], grams[good + 1]))
 
     parts = map_batches(texts, [text], "prefix long, suffix long, n long", run)
     return parts.groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_STEP)
 
 
-@dataclass
-class Model:
-    """``levels[i]`` has the n-grams of i + 1 words: g, prefix, suffix, n, p (its last word's
-    probability after the others) and e (what it adds as a step, as log10); ``states[i]``
-    the contexts of i + 1 words that are states: g, n and b (log10 of what they leave)."""
-
-    tokens: int
-    floor: float  # the root's denominator
-    levels: list[DataFrame]
-    states: list[DataFrame]
-
-
-def grow(texts: DataFrame, counts: DataFrame, text: str = "text") -> Model:
-    """The model of the training texts; ``counts`` is their word_counts."""
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    floor = total + ALPHA * (kinds + 1)
-    none = F.lit(None).cast("long")
-    level = counts.select(F.col("code").alias("g"), none.alias("prefix"), none.alias("suffix"), "n", ((F.col("n") + ALPHA) / floor).alias("p"), F.lit(0.0).alias("e"))
-    model = Model(total, floor, [level], [])
-    while True:
-        order = len(model.levels) + 1
-        candidates = level.where(F.col("n") >= LEAST_STATE)
-        if candidates.isEmpty():
-            return model
-        found = _steps(texts, text, order, bitmap(candidates), bitmap(level.where(F.col("n") >= LEAST_STEP)))
-        steps = keep(found.join(level.select(F.col("g").alias("suffix"), F.col("p").alias("below")), "suffix"), "steps")
-        states = keep(_states(steps, candidates), "states")
-        if states.where("stays").isEmpty():
-            return model
-        share = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")
-        p = F.when(F.col("stays"), share + F.col("rest") * F.col("below")).otherwise(F.col("below"))
-        e = F.when(F.col("stays"), F.log10("p") - F.log10("below") - F.log10("rest")).otherwise(0.0)
-        joined = steps.join(states, "prefix").withColumn("p", p)
-        level = keep(joined.select(F.xxhash64("prefix", "suffix").alias("g"), "prefix", "suffix", "n", "p", e.alias("e")), "level")
-        model.levels.append(level)
-        model.states.append(states.where("stays").select(F.col("prefix").alias("g"), F.col("total").alias("n"), F.log10("rest").alias("b")))
-
-
-def _states(steps: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(prefix, total, rest, stays) of each candidate that has steps: whether it diverges
-    from its suffix, and what it leaves to it."""
+def _diverging(steps: DataFrame) -> DataFrame:
+    """Sums over the steps of each context that the divergence test and the smoothing need."""
     n = F.col("n")
-    sums = steps.groupBy("prefix").agg(
+    return steps.groupBy("prefix").agg(
         F.count("*").alias("kinds"),
         F.sum("n").alias("kept"),
         F.sum("below").alias("other"),
         F.sum(n * F.log(n / F.col("below"))).alias("gain"),
         F.sum(F.greatest(n - DISCOUNT, F.lit(0.0))).alias("shared"),
     )
-    sums = sums.join(candidates.select(F.col("g").alias("prefix"), F.col("n").alias("total")), "prefix")
-    total, left = F.col("total"), F.greatest(1 - F.col("kept") / F.col("total"), F.lit(0.0))
-    gain = F.col("gain") - F.col("kept") * F.log(total) + F.when(left > 0, left * total * F.log(left / F.greatest(1 - F.col("other"), F.lit(1e-12)))).otherwise(0.0)
-    return sums.select("prefix", "total", (1 - F.col("shared") / total).alias("rest"), (gain > 0.5 * (F.col("kinds") + 1) * F.log(total)).alias("stays"))
-
 
-def weights(model: Model) -> DataFrame:
-    """(g, words, n, w): what each word and n-gram adds to the score of a text, a word's root
-    aside; words is how often it occurs if it is a word."""
-    null = F.lit(None).cast("long")
-    rows = model.levels[0].select("g", F.col("n").alias("words"), "n", F.lit(0.0).alias("w"))
-    for level in model.levels[1:]:
-        rows = rows.unionAll(level.where("e <> 0").select("g", null, "n", "e"))
-    for states in model.states:
-        rows = rows.unionAll(states.select("g", null, "n", "b"))
-    return rows.groupBy("g").agg(F.max("words").alias("words"), F.max("n").alias("n"), F.sum("w").alias("w"))
 
-
-@dataclass
-class SuffixTree:
-    """A model of few texts, held in one process."""
-
-    words: dict[bytes, int]  # all that can be in a step
-    codes: np.ndarray
-    counts: np.ndarray
-    floor: float
-    pairs: np.ndarray  # states of two words
-    rest: list[np.ndarray]  # what the states of each depth leave to their suffix
-    leaves: dict[int, float]
-    adds: dict[int, float]
-
-    def root(self) -> np.ndarray:
-        return (self.counts + ALPHA) / self.floor
-
-    def score(self, ids: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after the first; of a word that has no number
-        only the part that its context adds, without the root's."""
-        known = ids >= 0
-        grams = self.codes[np.maximum(ids, 0)]
-        out = np.where(known, np.log10((self.counts[np.maximum(ids, 0)] + ALPHA) / self.floor), 0.0)[1:]
-        for depth in range(1, len(ids)):
-            out[depth - 1 :] += [self.leaves.get(g, 0.0) if k else 0.0 for g, k in zip(grams[:-1].tolist(), known[:-1], strict=True)]
-            grams, known = longer(grams), known[:-1] & (ids[depth:] >= 0)
-            out[depth - 1 :] += [self.adds.get(g, 0.0) if k else 0.0 for g, k in zip(grams.tolist(), known, strict=True)]
-        return out
-
-
-def learn(texts: DataFrame, counts: DataFrame, text: str = "text") -> SuffixTree:
-    """The tree of few training texts, to look into; score_texts leaves it in Spark."""
-    model = grow(texts, counts, text)
-    often = counts.where(F.col("n") >= LEAST_STEP).select("code", F.col("word").cast("binary").alias("w"), "n").orderBy(F.desc("n"), "w").toArrow()
-    codes = often["code"].to_numpy().view(np.uint64)
-    states = [s.toArrow() for s in model.states]
-    pairs = np.empty(0, np.int64)
-    if len(states) > 1:
-        ids = {c: i for i, c in enumerate(often["code"].to_pylist())}
-        of = model.levels[1].join(model.states[1].select("g"), "g", "left_semi").collect()
-        pairs = np.sort(np.array([ids[r.prefix] << ID_BITS | ids[r.suffix] for r in of], np.int64))
-    by_hash = lambda tables, name: {g: x for t in tables for g, x in zip(t["g"].to_numpy().view(np.uint64).tolist(), t[name].to_pylist(), strict=True)}
-    return SuffixTree(
-        {w: i for i, w in enumerate(often["w"].to_pylist())},
-        codes,
-        often["n"].to_numpy().astype(np.float64),
-        model.floor,
-        pairs,
-        [10 ** s["b"].to_numpy() for s in states],
-        by_hash(states, "b"),
-        by_hash([x.select("g", "e").toArrow() for x in model.levels[1:]], "e"),
-    )
+def _states(level: DataFrame, sums: DataFrame) -> DataFrame:
+    """``level`` with rest, what a context leaves to its suffix: null where it is no state."""
+    total = F.col("n")
+    left = F.greatest(1 - F.col("kept") / total, F.lit(0.0))
+    gain = F.col("gain") - F.col("kept") * F.log(total) + F.when(left > 0, left * total * F.log(left / F.greatest(1 - F.col("other"), F.lit(1e-12)))).otherwise(0.0)
+    stays = (total >= LEAST_STATE) & (gain > 0.5 * (F.col("kinds") + 1) * F.log(total))
+    joined = level.join(sums.withColumnRenamed("prefix", "g"), "g", "left")
+    return joined.select(*level.columns, F.when(stays, 1 - F.col("shared") / total).alias("rest"))
+
+
+def grow(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[int, float, DataFrame]:
+    """The model of the training texts: the number of tokens, the root's denominator, and
+    (g, h, words, n, w), what each word (h not 0) and n-gram (h = 0) adds to the score of a
+    text, a word's root aside; words is how often it occurs if it is a word."""
+    counts = keep(first_counts(texts, text), "counts")
+    words = counts.where("size = 1").select(F.col("a").alias("g"), F.col("b").alias("h"), "n")
+    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    floor = total + ALPHA * (kinds + 1)
+    level = words.select("g", "h", "n", ((F.col("n") + ALPHA) / floor).alias("p"), F.lit(0.0).alias("e"), F.lit(True).alias("open"))
+    found = counts.where("size = 2").select(F.col("a").alias("prefix"), F.col("b").alias("suffix"), "n")
+    parts, levels = [], []
+    for size in range(2, depth + 2):
+        if size > 2:
+            known = bitmap(level)
+            found = _found(texts, text, size, known, known if size <= depth else bitmap(level.where("open")))
+        may_end = level if size <= depth else level.where("open")
+        below = may_end.where(F.col("n") >= LEAST_STEP).select(F.col("g").alias("suffix"), F.col("p").alias("below"))
+        steps = keep(found.join(below, "suffix"), "steps")
+        states = keep(_states(level, _diverging(steps)), "states")
+        parts.append(states)
+                context = states.where(F.col("n") >= LEAST_STEP).select(F.col("g").alias("prefix"), F.col("n").alias("total"), "rest")
+        stays = F.col("rest").isNotNull()
+        p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("below")
+        e = F.log10("p") - F.log10("below") - F.log10("rest")
+        level = steps.join(context, "prefix").withColumn("p", F.when(stays, p).otherwise(F.col("below")))
+        level = level.select(F.xxhash64("prefix", "suffix").alias("g"), F.lit(0).cast("long").alias("h"), "n", "p", F.when(stays, e).otherwise(0.0).alias("e"), (F.col("n") < F.col("total")).alias("open"))
+        if size <= depth:
+            level = keep(level, "level")
+            levels.append(level)
+            forget(steps)
+    weights = level.select("g", "h", "n", F.col("e").alias("w"))
+    for states in parts:
+        weights = weights.unionAll(states.select("g", "h", "n", F.col("e") + F.coalesce(F.log10("rest"), F.lit(0.0))))
+    weights = weights.where("h <> 0 or w <> 0")
+    weights = keep(weights.select("g", "h", F.when(F.col("h") != 0, F.col("n")).alias("words"), "n", "w"), "weights")
+    forget(counts, steps, *levels, *parts)
+    return total, floor, weights
+
+
+def most_frequent(weights: DataFrame, most: int | None = None) -> pa.Table:
+    """Weights by falling n, ``most`` at most: those above a number that few sums tell."""
+    most = HOT if most is None else most
+    step = F.floor(8 * F.log2("n")).cast("int")
+    least, held = None, 0
+    for r in weights.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > most:
+            break
+        least = r["step"]
+    found = weights.where(step >= least if least is not None else F.lit(False)).toArrow()
+    return found.sort_by([("n", "descending"), ("g", "ascending"), ("h", "ascending")])
+
+
+def _slots(hot: pa.Table, floor: float) -> tuple[np.ndarray, ...]:
+    """The hot weights by the lowest bits of their hash: hash, second hash, number as a word,
+    root and weight. Of those that fall on one slot the most frequent is there."""
+    g = hot["g"].to_numpy().view(np.uint64)
+    size = 1 << max(1, (2 * len(g)).bit_length() - 1)
+    slot, first = np.unique(g & np.uint64(size - 1), return_index=True)
+    places = slot.astype(np.int64)
+    codes, high, words, weight = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size)
+    codes[:] = ~np.arange(size, dtype=np.uint64)  # an empty slot fits no hash
+    codes[places] = g[first]
+    high[places] = hot["h"].to_numpy().view(np.uint64)[first]
+    words[places] = hot["words"].fill_null(0).to_numpy()[first]
+    weight[places] = hot["w"].to_numpy()[first]
+    return codes, high, words > 0, np.where(words > 0, np.log10((words + ALPHA) / (floor or 1.0)), 0.0), weight
+
+
+#: What is known of a text, or of an n-gram in it after the join.
+_SUMS = "tokens:long,known:long,base:double,score:double"
 
 
-def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
-    docs = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    docs = df.select(F.col(quoted(key)).alias("id"), F.col(quoted(text)).alias("text"))
     training = docs.where(F.col("id").isNotNull() & ~held_out("id"))
-    model = grow(training, keep(word_counts(training), "words"))
-    table = keep(weights(model), "weights")
-    hot = table.orderBy(F.desc("n"), "g").limit(HOT).toArrow()
-    order = np.argsort(hot["g"].to_numpy().view(np.uint64))
-    often = hot["words"].fill_null(0).to_numpy()[order]
-    root = np.where(often > 0, np.log10((often + ALPHA) / (model.floor or 1.0)), 0.0)
-    local = (hot["g"].to_numpy().view(np.uint64)[order], often > 0, root, hot["w"].to_numpy()[order])
-    depth = len(model.levels)
-    sent = docs.sparkSession.sparkContext.broadcast((*local, bitmap(table.where("words is null"))))
+    total, floor, table = grow(training, depth=depth)
+    hot = _slots(most_frequent(table), floor)
+    sent = docs.sparkSession.sparkContext.broadcast((*hot, bitmap(table.where("h = 0"))))
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        hot, is_word, root, weight, bits = sent.value
-        codes = _Codes()
+        codes, high, is_word, root, weight, bits = sent.value
+        mask = np.uint64(len(codes) - 1)
         for keys, idents, values in batches:
-            begin = 0
-            mine, ident = keys.to_numpy(), idents.to_pylist()
-            for part in slices(utf8(values)):
-                grams, owner, starts = _symbols(part, codes)
-                lengths = np.diff(np.r_[starts, len(grams)]) - 1
-                known, base, score = (np.zeros(len(part)) for _ in range(3))
+            marks = keys.to_numpy()
+            for begin, end in runs(values):
+                some = symbols(values.slice(begin, end - begin))
+                owner, grams = some.owner, some.low[some.ids]
+                texts = end - begin
+                known, base, score = (np.zeros(texts) for _ in range(3))
                 rows = []
-                for n in range(1, depth + 1):
-                    if n > 1:
+                for size in range(1, depth + 2):
+                    if size > 1:
                         grams = longer(grams)
-                        at = np.flatnonzero((owner[: len(grams)] == owner[n - 1 :]) & _may(bits, grams))
+                        at = np.flatnonzero(owner[: len(grams)] == owner[size - 1 :])
+                        at = at[_may(bits, grams[at])]
+                        h = np.zeros(len(at), np.uint64)
                     else:
-                        at = np.setdiff1d(np.arange(len(grams)), starts, assume_unique=True)
+                        inside = np.ones(len(grams), bool)
+                        inside[some.starts] = False
+                        at = np.flatnonzero(inside)
+                        h = some.high[some.ids[at]]
                     g, of = grams[at], owner[at]
-                    place = np.minimum(np.searchsorted(hot, g), max(len(hot) - 1, 0))
-                    here = hot[place] == g if len(hot) else np.zeros(len(g), bool)
+                    place = (g & mask).astype(np.int64)
+                    here = (codes[place] == g) & (high[place] == h)
                     place, to = place[here], of[here]
-                    add = lambda x: np.bincount(to, x[place], len(part))  # noqa: B023, E731
-                    score += add(weight)
-                    if n == 1:
-                        known += add(is_word)
-                        base += add(root)
-                    rows.append(_counted(of[~here], g[~here], n == 1))
-                own = [{"id": ident[begin + i], "tokens": int(lengths[i]), "known": int(known[i]), "base": float(base[i]), "score": float(base[i] + score[i])} for i in range(len(part))]
-                of_part = mine[begin : begin + len(part)]
-                begin += len(part)
-                no = np.zeros(len(part), np.int32)
-                yield [of_part, of_part, no, no, own]
-                for of, g, words, times in rows:
-                    for i in range(0, len(of), 200_000):
-                        cut = slice(i, i + 200_000)
-                        yield [of_part[of[cut]], g[cut].view(np.int64), words[cut], times[cut], pa.nulls(len(of[cut]), nothing)]
+                    score += np.bincount(to, weight[place], texts)
+                    if size == 1:
+                        known += np.bincount(to, is_word[place], texts)
+                        base += np.bincount(to, root[place], texts)
+                    rows.append((of[~here], g[~here].view(np.int64), h[~here].view(np.int64)))
+                sizes = np.bincount(owner, minlength=texts) - 1
+                own = [{"tokens": t, "known": int(k), "base": b, "score": b + s} for t, k, b, s in zip(*(x.tolist() for x in (sizes, known, base, score)), strict=True)]
+                ident, mark = idents.slice(begin, texts), marks[begin:end]
+                # a row of the text itself, which no weight fits
+                yield [ident, mark, mark, pa.nulls(texts, pa.int64()), own]
+                for columns in rows:
+                    for of, g, h in _parts(*columns):
+                        yield [ident.take(pa.array(of)), mark[of], g, h, pa.nulls(len(of), nothing)]
 
     kind = docs.schema["id"].dataType
-    nothing = to_arrow_type(StructType.fromDDL(f"id {kind.simpleString()},{_SUMS}"))
-    made = map_batches(docs.select(F.xxhash64("id", "text").alias("k"), "id", "text"), ["k", "id", "text"], f"k long, g long, often int, times int, own struct<id:{kind.simpleString()},{_SUMS}>", run)
-    n = F.coalesce(F.col("words"), F.lit(0))
-    rare = F.col("often") * F.log10((n + ALPHA) / F.lit(model.floor or 1.0))
-    more = (F.col("often") + F.col("times")) * F.coalesce("w", F.lit(0.0))
-    sums = made.join(table.select("g", "words", "w"), "g", "left").groupBy("k").agg(
-        F.count("own").alias("copies"),
-        F.max("own.id").alias(key),
-        F.max("own.tokens").alias("n_tokens"),
-        F.sum("own.known").alias("known"),
-        F.sum("own.base").alias("base"),
-        F.sum("own.score").alias("own_score"),
-        F.sum(F.when(n > 0, F.col("often")).otherwise(0)).alias("rare_known"),
-        F.sum(rare).alias("rare"),
-        F.sum(more).alias("more"),
+    nothing = to_arrow_type(StructType.fromDDL(_SUMS))
+    made = map_batches(docs.select(F.xxhash64("text").alias("k"), "id", "text"), ["k", "id", "text"], f"id {kind.simpleString()}, k long, g long, h long, own struct<{_SUMS}>", run)
+    # a word (h not 0) that no training text has occurs no times; rows of one id and text are copies
+    word, n = F.coalesce(F.col("h") != 0, F.lit(False)), F.coalesce("words", F.lit(0))
+    rare = F.when(word, F.log10((n + ALPHA) / F.lit(floor or 1.0))).otherwise(0.0)
+    more = F.coalesce("w", F.lit(0.0))
+    rows = made.join(table.select("g", "h", "words", "w"), ["g", "h"], "left").select(
+        "id",
+        "k",
+        F.col("own.tokens").alias("tokens"),
+        F.coalesce("own.known", F.when(word & (n > 0), 1).otherwise(0)).alias("known"),
+        F.coalesce("own.base", rare).alias("base"),
+        F.coalesce("own.score", rare + more).alias("score"),
     )
-    each = lambda c: F.col(c) / F.col("copies")
-    return sums.select(
-        key,
-        held_out(key).alias("held_out"),
+    sums = rows.groupBy("id", "k").agg(F.count("tokens").alias("copies"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("sum"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return sums.select("*", copies).select(
+        F.col("id").alias(key),
+        held_out("id").alias("held_out"),
         "n_tokens",
-        ((F.col("known") + F.col("rare_known")) / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (each("base") + each("rare")).alias("base_score"),
-        (each("own_score") + each("rare") + each("more")).alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy__"),
-    ).drop("__copy__")
-
-
-def _counted(of: np.ndarray, grams: np.ndarray, are_words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's n-grams once: text, n-gram, and its number as a word and as a longer one."""
-    order = np.lexsort((grams, of))
-    of, grams = of[order], grams[order]
-    first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (grams[1:] != grams[:-1])][: len(of)])
-    n = np.diff(np.r_[first, len(of)]).astype(np.int32)
-    return of[first], grams[first], *((n, 0 * n) if are_words else (0 * n, n))
-
-
-#: What a text adds up to apart from its n-grams that are not frequent.
-_SUMS = "tokens:long,known:long,base:double,score:double"
+        (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("copies")).alias("base_score"),
+        (F.col("sum") / F.col("copies")).alias("score"),
+    )

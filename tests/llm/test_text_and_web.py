@@ -17,7 +17,8 @@ import pytest
 
 from flowloom.llm import media, url_rules, warc
 from flowloom.llm.main_text import extract_main_text, main_text
-from flowloom.llm.suffix_tree_lm import END, SuffixTree, learn, score_texts, word_counts
+from flowloom.llm import suffix_tree_lm as lm
+from flowloom.llm.suffix_tree_lm import END, score_texts
 from flowloom.session import shared_folder, table
 
 SMALL = "/root/testdata/sf0.001"
@@ -61,20 +62,94 @@ def test_scores_of_odd_rows(spark):
     assert score_texts(docs.where("false")).count() == 0
 
 
-def test_probabilities_sum_to_one(spark):
+class PlainTree:
+    """The suffix tree of a few texts, by dictionaries of word tuples."""
+
+    def __init__(self, texts, depth=3):
+        self.depth, rows = depth, [[END, *tokens(t)] for t in texts]
+        counts = [Counter(tuple(r[i : i + k]) for r in rows for i in range(len(r) - k + 1)) for k in range(1, depth + 2)]
+        counts[0][(END,)] -= len(rows)
+        self.words, self.n = counts[0], sum(counts[0].values())
+        self.floor = self.n + 0.1 * (len(self.words) + 1)
+        self.states = {}  # context: (what it leaves, its steps)
+        level = {g: (c, self.root(g[0]), True) for g, c in self.words.items()}
+        for size in range(2, depth + 2):
+            steps = {}
+            for g, c in counts[size - 1].items():
+                at = level.get(g[1:])
+                if c >= 2 and g[:-1] in level and at is not None and at[0] >= 2 and (at[2] or size <= depth):
+                    steps.setdefault(g[:-1], {})[g[-1]] = (c, at[1])
+            nexts = {}
+            for context, some in steps.items():
+                total = level[context][0]
+                kept = sum(c for c, _ in some.values())
+                gain = sum(c * math.log(c / total / below) for c, below in some.values())
+                if kept < total:
+                    gain += (total - kept) * math.log((1 - kept / total) / max(1 - sum(b for _, b in some.values()), 1e-12))
+                rest = None
+                if gain > 0.5 * (len(some) + 1) * math.log(total):
+                    rest = 1 - sum(c - 0.6 for c, _ in some.values()) / total
+                    self.states[context] = (rest, {w: (c - 0.6) / total for w, (c, _) in some.items()})
+                for w, (c, below) in some.items():
+                    nexts[(*context, w)] = (c, below if rest is None else (c - 0.6) / total + rest * below, c < total)
+            level = nexts
+
+    def root(self, word):
+        return (self.words[(word,)] + 0.1) / self.floor
+
+    def probability(self, context, word):
+        p = self.root(word)
+        for k in range(1, min(self.depth, len(context)) + 1):
+            rest, steps = self.states.get(tuple(context[len(context) - k :]), (1.0, {}))
+            p = steps.get(word, 0.0) + rest * p
+        return p
+
+    def score(self, text):
+        row = [END, *tokens(text)]
+        return sum(math.log10(self.probability(row[max(0, i - self.depth) : i], row[i])) for i in range(1, len(row)))
+
+
+def training(rows):
+    return [t for k, t in rows if k is not None and zlib.crc32(str(k).encode()) % 10]
+
+
+def test_scores_equal_a_plain_tree(spark, monkeypatch):
     docs = table(spark, SMALL, "documents").select("doc_id", "text")
-    counts = word_counts(docs)
-    tree: SuffixTree = learn(docs, counts)
-    assert len(tree.pairs) and any((r < 1).any() for r in tree.rest)
-    rare = counts.count() - len(tree.words)
-    root_of_rare = 1 - tree.root().sum()  # all words that are not frequent, and what was never met
-    symbols = np.arange(len(tree.words))
-    states = [(int(p) >> 18, int(p) & ((1 << 18) - 1)) for p in tree.pairs[:20]] + [(-1, int(i)) for i in range(20)] + [(-1, -1)]
-    for a, b in states:
-        known = sum(10 ** tree.score(np.array([a, b, s]))[-1] for s in symbols)
-        left = 10 ** tree.score(np.array([a, b, -1]))[-1] * root_of_rare
-        assert known + left == pytest.approx(1, abs=1e-6)
-    assert rare > 0
+    rows = docs.collect()
+    tree = PlainTree(training(rows))
+    assert {len(c) for c in tree.states} == {1, 2, 3}
+    want = {r.doc_id: tree.score(r.text) for r in rows}
+    for hot in (lm.HOT, 50):
+        monkeypatch.setattr(lm, "HOT", hot)
+        got = {r.doc_id: r.score for r in score_texts(docs).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_probabilities_sum_to_one(spark):
+    rows = table(spark, SMALL, "documents").select("doc_id", "text").collect()
+    tree = PlainTree(training(rows))
+    symbols = [w for (w,) in tree.words]
+    never = 0.1 / tree.floor  # one word stands for all that was never met
+    for context in [*[c for c in tree.states if len(c) == 3][:5], *list(tree.states)[:5], (b"never", b"met")]:
+        left = never * math.prod(tree.states.get(context[-k:], (1.0,))[0] for k in range(1, len(context) + 1))
+        assert sum(tree.probability(context, w) for w in symbols) + left == pytest.approx(1, abs=1e-9)
+
+
+def test_a_text_that_occurs_twice_scores_above_others(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, 60))) for i in range(1, 400)]
+    rows += [(k, rows[10][1]) for k in (1001, 1002)]
+    got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[rows[10][0]], got[1001], got[1002]) > max(v for k, v in got.items() if k not in (rows[10][0], 1001, 1002)) + 0.5
+
+
+def test_scores_beside_columns_of_any_name(spark):
+    rows = [(i, f"a b c {i % 3}") for i in range(1, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = docs.selectExpr("doc_id as `the ``id`", "text as words", "1 as g", "2 as h", "3 as own", "map(1, 2) as k", "4 as score", "5 as id")
+    want = {r.doc_id: r.score for r in score_texts(docs).collect()}
+    got = score_texts(odd, "the `id", "words")
+    assert {r[0]: r.score for r in got.collect()} == pytest.approx(want)
 
 
 def test_contexts_of_three_words_are_learned(spark):
