@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -81,11 +82,17 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def forget(*frames: DataFrame) -> None:
-    """Remove the folders of kept tables that nothing is to read any more; others stay."""
+    """Remove the folders of kept tables that nothing is to read any more; others stay.
+
+    The shuffles that made them can go too: Spark's cleaner takes them as soon as the driver
+    collects its garbage, which it may else not do for long."""
     for df in frames:
         path = getattr(df, "_flowloom_path", None)
         if path in _KEPT:
             _remove(_KEPT[path], path)
+    gc.collect()
+    if frames and frames[0].sparkSession.sparkContext._jvm is not None:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
