@@ -44,15 +44,15 @@ from flowloom.llm.batches import map_batches, quoted
 from flowloom.session import forget, keep
 
 #: Words of the longest context; least occurrences of a state and of a step.
-DEPTH, LEAST_STATE, LEAST_STEP = 3, 2, 2
+DEPTH, LEAST_STATE, LEAST_STEP = 3, 8, 2
 #: Additive smoothing of the root, and discount of the steps.
 ALPHA, DISCOUNT = 0.1, 0.6
 #: N-grams whose weights are sent to tasks at most, and most bits of a bitmap.
-HOT, BITS = 1 << 19, 1 << 27
+HOT, BITS = 1 << 20, 1 << 27
 #: The end of a text, also the context that its first word has; no word is a line feed.
 END = b"\n"
 #: Bytes of text that a task takes at once, and rows that it hands on at once.
-RUN_BYTES, AT_ONCE = 12 << 20, 200_000
+RUN_BYTES, AT_ONCE = 6 << 20, 100_000
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -176,15 +176,13 @@ def _may(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _found(texts: DataFrame, text: str, size: int, known: np.ndarray, ends: np.ndarray) -> DataFrame:
-    """(prefix, suffix, n) of the n-grams of that size that occur at least LEAST_STEP times;
-    both parts of such a one are known to do so. Of those of the last size, which are no
-    contexts of others, only those may tell something whose suffix is open: its own context
-    has other symbols after it, without which a longer one cannot diverge."""
-    sent = texts.sparkSession.sparkContext.broadcast((known, ends))
+def _found(texts: DataFrame, text: str, size: int, contexts: np.ndarray, known: np.ndarray) -> DataFrame:
+    """(prefix, suffix, n) of the n-grams of that size that occur at least LEAST_STEP times
+    after what may be a candidate; the suffix of such a one is known to occur so often."""
+    sent = texts.sparkSession.sparkContext.broadcast((contexts, known))
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        known, ends = sent.value
+        contexts, known = sent.value
         for (values,) in batches:
             for begin, end in runs(values):
                 some = symbols(values.slice(begin, end - begin))
@@ -193,72 +191,65 @@ def _found(texts: DataFrame, text: str, size: int, known: np.ndarray, ends: np.n
                     grams = longer(grams)
                 if len(grams) > 1:
                     good = np.flatnonzero(some.owner[: len(grams) - 1] == some.owner[size - 1 :])
-                    good = good[_may(ends, grams[good + 1])]
-                    good = good[_may(known, grams[good])]
+                    good = good[_may(contexts, grams[good])]
+                    good = good[_may(known, grams[good + 1])]
                     yield from _parts(*_counted(grams[good], grams[good + 1]))
 
     parts = map_batches(texts, [text], "prefix long, suffix long, n long", run)
     return parts.groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_STEP)
 
 
-def _diverging(steps: DataFrame) -> DataFrame:
-    """Sums over the steps of each context that the divergence test and the smoothing need."""
-    n = F.col("n")
-    return steps.groupBy("prefix").agg(
+def _states(candidates: DataFrame, steps: DataFrame) -> DataFrame:
+    """(prefix, total, rest) of the candidates (prefix, total) that have steps; rest is what
+    a context leaves to its suffix, null where it does not diverge enough to be a state."""
+    n, total = F.col("n"), F.col("total")
+    sums = steps.groupBy("prefix").agg(
         F.count("*").alias("kinds"),
         F.sum("n").alias("kept"),
         F.sum("below").alias("other"),
         F.sum(n * F.log(n / F.col("below"))).alias("gain"),
         F.sum(F.greatest(n - DISCOUNT, F.lit(0.0))).alias("shared"),
     )
-
-
-def _states(level: DataFrame, sums: DataFrame) -> DataFrame:
-    """``level`` with rest, what a context leaves to its suffix: null where it is no state."""
-    total = F.col("n")
     left = F.greatest(1 - F.col("kept") / total, F.lit(0.0))
     gain = F.col("gain") - F.col("kept") * F.log(total) + F.when(left > 0, left * total * F.log(left / F.greatest(1 - F.col("other"), F.lit(1e-12)))).otherwise(0.0)
-    stays = (total >= LEAST_STATE) & (gain > 0.5 * (F.col("kinds") + 1) * F.log(total))
-    joined = level.join(sums.withColumnRenamed("prefix", "g"), "g", "left")
-    return joined.select(*level.columns, F.when(stays, 1 - F.col("shared") / total).alias("rest"))
+    stays = gain > 0.5 * (F.col("kinds") + 1) * F.log(total)
+    return sums.join(candidates, "prefix").select("prefix", "total", F.when(stays, 1 - F.col("shared") / total).alias("rest"))
 
 
 def grow(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[int, float, DataFrame]:
     """The model of the training texts: the number of tokens, the root's denominator, and
     (g, h, words, n, w), what each word (h not 0) and n-gram (h = 0) adds to the score of a
-    text, a word's root aside; words is how often it occurs if it is a word."""
+    text, a word's root aside; words is how often it occurs if it is a word. An n-gram may
+    have two rows, one as a step and one as a state."""
     counts = keep(first_counts(texts, text), "counts")
     words = counts.where("size = 1").select(F.col("a").alias("g"), F.col("b").alias("h"), "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = total + ALPHA * (kinds + 1)
-    level = words.select("g", "h", "n", ((F.col("n") + ALPHA) / floor).alias("p"), F.lit(0.0).alias("e"), F.lit(True).alias("open"))
+    level = words.select("g", "n", ((F.col("n") + ALPHA) / floor).alias("p"))
     found = counts.where("size = 2").select(F.col("a").alias("prefix"), F.col("b").alias("suffix"), "n")
-    parts, levels = [], []
+    weights, kept = None, [counts]
     for size in range(2, depth + 2):
+        candidates = level.where(F.col("n") >= LEAST_STATE)
         if size > 2:
-            known = bitmap(level)
-            found = _found(texts, text, size, known, known if size <= depth else bitmap(level.where("open")))
-        may_end = level if size <= depth else level.where("open")
-        below = may_end.where(F.col("n") >= LEAST_STEP).select(F.col("g").alias("suffix"), F.col("p").alias("below"))
+            found = _found(texts, text, size, bitmap(candidates), bitmap(level))
+        below = level.where(F.col("n") >= LEAST_STEP).select(F.col("g").alias("suffix"), F.col("p").alias("below"))
         steps = keep(found.join(below, "suffix"), "steps")
-        states = keep(_states(level, _diverging(steps)), "states")
-        parts.append(states)
-        context = states.where(F.col("n") >= LEAST_STEP).select(F.col("g").alias("prefix"), F.col("n").alias("total"), "rest")
+        states = keep(_states(candidates.select(F.col("g").alias("prefix"), F.col("n").alias("total")), steps), "states")
+        leaves = states.where("rest is not null").select(F.col("prefix").alias("g"), F.col("total").alias("n"), F.log10("rest").alias("w"))
+        if weights is None:
+            weights = words.join(leaves.drop("n"), "g", "left").select("g", "h", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+        else:
+            weights = weights.unionAll(leaves.select("g", F.lit(0).cast("long"), "n", "w"))
         stays = F.col("rest").isNotNull()
         p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("below")
         e = F.log10("p") - F.log10("below") - F.log10("rest")
-        level = steps.join(context, "prefix").withColumn("p", F.when(stays, p).otherwise(F.col("below")))
-        level = level.select(F.xxhash64("prefix", "suffix").alias("g"), F.lit(0).cast("long").alias("h"), "n", "p", F.when(stays, e).otherwise(0.0).alias("e"), (F.col("n") < F.col("total")).alias("open"))
-        if size <= depth:
-            level = keep(level, "level")
-            levels.append(level)
-            forget(steps)
-    weights = level.select("g", "h", "n", F.col("e").alias("w"))
-    for states in parts:
-        weights = weights.unionAll(states.select("g", "h", "n", F.col("e") + F.coalesce(F.log10("rest"), F.lit(0.0))))
-    weights = weights.where("h <> 0 or w <> 0")
+        level = steps.join(states, "prefix").withColumn("p", F.when(stays, p).otherwise(F.col("below")))
+        level = keep(level.select(F.xxhash64("prefix", "suffix").alias("g"), "n", "p", F.when(stays, e).alias("e")), "level")
+        weights = weights.unionAll(level.where("e is not null").select("g", F.lit(0).cast("long"), "n", "e"))
+        forget(steps)
+        kept += [states, level]
     weights = keep(weights.select("g", "h", F.when(F.col("h") != 0, F.col("n")).alias("words"), "n", "w"), "weights")
-    forget(counts, steps, *levels, *parts)
+    forget(*kept)
     return total, floor, weights
 
 
@@ -273,23 +264,23 @@ def most_frequent(weights: DataFrame, most: int | None = None) -> pa.Table:
             break
         least = r["step"]
     found = weights.where(step >= least if least is not None else F.lit(False)).toArrow()
-    return found.sort_by([("n", "descending"), ("g", "ascending"), ("h", "ascending")])
+    found = found.group_by(["g", "h"]).aggregate([("n", "max"), ("words", "max"), ("w", "sum")])
+    return found.sort_by([("n_max", "descending"), ("g", "ascending"), ("h", "ascending")])
 
 
 def _slots(hot: pa.Table, floor: float) -> tuple[np.ndarray, ...]:
-    """The hot weights by the lowest bits of their hash: hash, second hash, number as a word,
-    root and weight. Of those that fall on one slot the most frequent is there."""
-    g = hot["g"].to_numpy().view(np.uint64)
-    size = 1 << max(1, (2 * len(g)).bit_length() - 1)
+    """The hot weights by the lowest bits of their hash: the place of what is on a slot, and
+    there hash, second hash, whether it is a word, root and weight. Of those that fall on one
+    slot the most frequent is there; an empty slot has a place that fits no hash."""
+    g, h = (hot[c].to_numpy().view(np.uint64) for c in ("g", "h"))
+    size = 1 << (4 * len(g)).bit_length()
     slot, first = np.unique(g & np.uint64(size - 1), return_index=True)
-    places = slot.astype(np.int64)
-    codes, high, words, weight = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size)
-    codes[:] = ~np.arange(size, dtype=np.uint64)  # an empty slot fits no hash
-    codes[places] = g[first]
-    high[places] = hot["h"].to_numpy().view(np.uint64)[first]
-    words[places] = hot["words"].fill_null(0).to_numpy()[first]
-    weight[places] = hot["w"].to_numpy()[first]
-    return codes, high, words > 0, np.where(words > 0, np.log10((words + ALPHA) / (floor or 1.0)), 0.0), weight
+    slots = np.full(size, len(g), np.int32)
+    slots[slot.astype(np.int64)] = first
+    words = hot["words_max"].fill_null(0).to_numpy()
+    root = np.where(words > 0, np.log10((words + ALPHA) / (floor or 1.0)), 0.0)
+    # a hash of 0 with a second one of 2 is of no n-gram (0) and of no word (odd)
+    return slots, np.r_[g, np.uint64(0)], np.r_[h, np.uint64(2)], np.r_[words > 0, False], np.r_[root, 0.0], np.r_[hot["w_sum"].to_numpy(), 0.0]
 
 
 #: What is known of a text, or of an n-gram in it after the join.
@@ -305,8 +296,8 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
     sent = docs.sparkSession.sparkContext.broadcast((*hot, bitmap(table.where("h = 0"))))
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        codes, high, is_word, root, weight, bits = sent.value
-        mask = np.uint64(len(codes) - 1)
+        slots, codes, high, is_word, root, weight, bits = sent.value
+        mask = np.uint64(len(slots) - 1)
         for keys, idents, values in batches:
             marks = keys.to_numpy()
             for begin, end in runs(values):
@@ -327,7 +318,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
                         at = np.flatnonzero(inside)
                         h = some.high[some.ids[at]]
                     g, of = grams[at], owner[at]
-                    place = (g & mask).astype(np.int64)
+                    place = slots[(g & mask).astype(np.int64)]
                     here = (codes[place] == g) & (high[place] == h)
                     place, to = place[here], of[here]
                     score += np.bincount(to, weight[place], texts)

@@ -72,13 +72,12 @@ class PlainTree:
         self.words, self.n = counts[0], sum(counts[0].values())
         self.floor = self.n + 0.1 * (len(self.words) + 1)
         self.states = {}  # context: (what it leaves, its steps)
-        level = {g: (c, self.root(g[0]), True) for g, c in self.words.items()}
+        level = {g: (c, self.root(g[0])) for g, c in self.words.items()}
         for size in range(2, depth + 2):
             steps = {}
             for g, c in counts[size - 1].items():
-                at = level.get(g[1:])
-                if c >= 2 and g[:-1] in level and at is not None and at[0] >= 2 and (at[2] or size <= depth):
-                    steps.setdefault(g[:-1], {})[g[-1]] = (c, at[1])
+                if c >= 2 and level.get(g[:-1], (0,))[0] >= 8 and level.get(g[1:], (0,))[0] >= 2:
+                    steps.setdefault(g[:-1], {})[g[-1]] = (c, level[g[1:]][1])
             nexts = {}
             for context, some in steps.items():
                 total = level[context][0]
@@ -91,7 +90,7 @@ class PlainTree:
                     rest = 1 - sum(c - 0.6 for c, _ in some.values()) / total
                     self.states[context] = (rest, {w: (c - 0.6) / total for w, (c, _) in some.items()})
                 for w, (c, below) in some.items():
-                    nexts[(*context, w)] = (c, below if rest is None else (c - 0.6) / total + rest * below, c < total)
+                    nexts[(*context, w)] = (c, below if rest is None else (c - 0.6) / total + rest * below)
             level = nexts
 
     def root(self, word):
