@@ -30,7 +30,7 @@ not in the way.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,7 +52,9 @@ HOT, BITS = 1 << 20, 1 << 27
 #: The end of a text, also the context that its first word has; no word is a line feed.
 END = b"\n"
 #: Bytes of text that a task takes at once, and rows that it hands on at once.
-RUN_BYTES, AT_ONCE = 6 << 20, 100_000
+RUN_BYTES, AT_ONCE = 4 << 20, 100_000
+#: Bytes of text whose n-grams are added up together.
+RANGE_BYTES = 8 << 20
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -126,14 +128,18 @@ def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _counted(prefix: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each n-gram once, with its number."""
+def _summed(prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray | None, words: bool) -> tuple[np.ndarray, ...]:
+    """(hash, prefix, suffix, n) of each n-gram once, by rising hash, with the sum of its
+    numbers; words are told apart by both of their hashes."""
     grams = gram_hash(prefix, suffix)
-    order = np.argsort(grams)
-    grams = grams[order]
-    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
-    at = order[first]
-    return prefix[at].view(np.int64), suffix[at].view(np.int64), np.diff(np.r_[first, len(grams)])
+    order = np.lexsort((suffix, prefix, grams)) if words else np.argsort(grams)
+    grams, prefix, suffix = grams[order], prefix[order], suffix[order]
+    new = grams[1:] != grams[:-1]
+    if words:
+        new |= (prefix[1:] != prefix[:-1]) | (suffix[1:] != suffix[:-1])
+    first = np.flatnonzero(np.r_[True, new][: len(grams)])
+    n = np.diff(np.r_[first, len(grams)]) if n is None else np.add.reduceat(n[order], first) if len(first) else n
+    return grams[first], prefix[first], suffix[first], n
 
 
 def _parts(*columns: np.ndarray) -> Iterator[list[np.ndarray]]:
@@ -141,23 +147,61 @@ def _parts(*columns: np.ndarray) -> Iterator[list[np.ndarray]]:
         yield [c[i : i + AT_ONCE] for c in columns]
 
 
-def first_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(size, a, b, n): how often each word (size 1; both hashes) and the end are in the texts,
-    and each pair of symbols (size 2; prefix and suffix), all from one scan."""
+def _blocks(size: int, bits: int, grams: np.ndarray, *columns: np.ndarray) -> Iterator[list]:
+    """What one row for each range of hashes holds of the n-grams: three arrays of 64 bits."""
+    edges = np.searchsorted(grams >> np.uint64(64 - bits) if bits else np.zeros(len(grams), np.uint64), np.arange((1 << bits) + 1))
+    full = np.flatnonzero(np.diff(edges))
+    blocks = [b"".join(c[edges[i] : edges[i + 1]].tobytes() for c in columns) for i in full.tolist()]
+    if blocks:
+        yield [np.full(len(full), size, np.int8), full.astype(np.int64), pa.array(blocks, pa.binary())]
 
-    def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
+
+def counted(texts: DataFrame, text: str, grams_of: Callable[[Symbols], Iterator[tuple]], room: int) -> DataFrame:
+    """(size, a, b, n): the sums of what ``grams_of`` tells of runs of texts, (size, a, b, n) with
+    words as size 1; n-grams, but words, that sum to less than LEAST_STEP are left out.
+
+    A run's n-grams, each once, are dealt out by ranges of their hashes, which are fine
+    enough for a range to hold the n-grams of about ``RANGE_BYTES`` of ``room`` bytes of text.
+    A task adds up one range after the other. As a run sends an n-gram once, none is hot.
+    """
+    bits = max(0, (max(room, 1) - 1) // RANGE_BYTES).bit_length()
+
+    def deal(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
         for (values,) in batches:
             for begin, end in runs(values):
-                some = symbols(values.slice(begin, end - begin))
-                grams, same = some.low[some.ids], some.owner[1:] == some.owner[:-1]
-                words = (some.low.view(np.int64), some.high.view(np.int64), some.counts())
-                pairs = _counted(grams[:-1][same], grams[1:][same])
-                for size, columns in ((1, words), (2, pairs)):
-                    for a, b, n in _parts(*columns):
-                        yield [np.full(len(a), size, np.int8), a, b, n]
-
-    parts = map_batches(texts, [text], "size byte, a long, b long, n long", run)
-    return parts.groupBy("size", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("size") == 1, 1).otherwise(LEAST_STEP))
+                for size, a, b, n in grams_of(symbols(values.slice(begin, end - begin))):
+                    yield from _blocks(size, bits, *_summed(a, b, n, size == 1))
+
+    def add(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
+        def total() -> Iterator[list]:
+            size = key[0]
+            columns = [np.concatenate(x) for x in zip(*[np.frombuffer(x, np.uint64).reshape(3, -1) for x in held], strict=True)]
+            _, a, b, n = _summed(columns[0], columns[1], columns[2].view(np.int64), size == 1)
+            often = n >= (1 if size == 1 else LEAST_STEP)
+            for a, b, n in _parts(a[often].view(np.int64), b[often].view(np.int64), n[often]):
+                yield [np.full(len(a), size, np.int8), a, b, n]
+
+        key, held = None, []
+        for sizes, ranges, blocks in batches:
+            for size, at, block in zip(sizes.to_pylist(), ranges.to_pylist(), blocks, strict=True):
+                if held and key != (size, at):
+                    yield from total()
+                    held = []
+                key = (size, at)
+                held.append(block.as_py())
+        if held:
+            yield from total()
+
+    dealt = map_batches(texts, [text], "size byte, at long, block binary", deal)
+    dealt = dealt.repartition("size", "at").sortWithinPartitions("size", "at")
+    return map_batches(dealt, ["size", "at", "block"], "size byte, a long, b long, n long", add)
+
+
+def _words_and_pairs(some: Symbols) -> Iterator[tuple]:
+    """The words (by both hashes) and the pairs of symbols (prefix and suffix)."""
+    yield 1, some.low, some.high, some.counts()
+    grams, same = some.low[some.ids], some.owner[1:] == some.owner[:-1]
+    yield 2, grams[:-1][same], grams[1:][same], None
 
 
 def bitmap(grams: DataFrame) -> np.ndarray:
@@ -176,27 +220,23 @@ def _may(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _found(texts: DataFrame, text: str, size: int, contexts: np.ndarray, known: np.ndarray) -> DataFrame:
+def _found(texts: DataFrame, text: str, size: int, contexts: np.ndarray, known: np.ndarray, room: int) -> DataFrame:
     """(prefix, suffix, n) of the n-grams of that size that occur at least LEAST_STEP times
     after what may be a candidate; the suffix of such a one is known to occur so often."""
     sent = texts.sparkSession.sparkContext.broadcast((contexts, known))
 
-    def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
+    def grams_of(some: Symbols) -> Iterator[tuple]:
         contexts, known = sent.value
-        for (values,) in batches:
-            for begin, end in runs(values):
-                some = symbols(values.slice(begin, end - begin))
-                grams = some.low[some.ids]
-                for _ in range(size - 2):
-                    grams = longer(grams)
-                if len(grams) > 1:
-                    good = np.flatnonzero(some.owner[: len(grams) - 1] == some.owner[size - 1 :])
-                    good = good[_may(contexts, grams[good])]
-                    good = good[_may(known, grams[good + 1])]
-                    yield from _parts(*_counted(grams[good], grams[good + 1]))
+        grams = some.low[some.ids]
+        for _ in range(size - 2):
+            grams = longer(grams)
+        if len(grams) > 1:
+            good = np.flatnonzero(some.owner[: len(grams) - 1] == some.owner[size - 1 :])
+            good = good[_may(contexts, grams[good])]
+            good = good[_may(known, grams[good + 1])]
+            yield size, grams[good], grams[good + 1], None
 
-    parts = map_batches(texts, [text], "prefix long, suffix long, n long", run)
-    return parts.groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_STEP)
+    return counted(texts, text, grams_of, room).select(F.col("a").alias("prefix"), F.col("b").alias("suffix"), "n")
 
 
 def _states(candidates: DataFrame, steps: DataFrame) -> DataFrame:
@@ -221,7 +261,8 @@ def grow(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[int,
     (g, h, words, n, w), what each word (h not 0) and n-gram (h = 0) adds to the score of a
     text, a word's root aside; words is how often it occurs if it is a word. An n-gram may
     have two rows, one as a step and one as a state."""
-    counts = keep(first_counts(texts, text), "counts")
+    room = texts.agg(F.coalesce(F.sum(F.octet_length(quoted(text))), F.lit(0))).first()[0]
+    counts = keep(counted(texts, text, _words_and_pairs, room), "counts")
     words = counts.where("size = 1").select(F.col("a").alias("g"), F.col("b").alias("h"), "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = total + ALPHA * (kinds + 1)
@@ -231,7 +272,7 @@ def grow(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[int,
     for size in range(2, depth + 2):
         candidates = level.where(F.col("n") >= LEAST_STATE)
         if size > 2:
-            found = _found(texts, text, size, bitmap(candidates), bitmap(level))
+            found = _found(texts, text, size, bitmap(candidates), bitmap(level), room)
         below = level.where(F.col("n") >= LEAST_STEP).select(F.col("g").alias("suffix"), F.col("p").alias("below"))
         steps = keep(found.join(below, "suffix"), "steps")
         states = keep(_states(candidates.select(F.col("g").alias("prefix"), F.col("n").alias("total")), steps), "states")
