@@ -49,12 +49,16 @@ DEPTH, LEAST_STATE, LEAST_STEP = 3, 8, 2
 ALPHA, DISCOUNT = 0.1, 0.6
 #: N-grams whose weights are sent to tasks at most, and most bits of a bitmap.
 HOT, BITS = 1 << 20, 1 << 27
+#: First bit of the part of a hash that a bitmap's second bit is from.
+SECOND = 32
 #: The end of a text, also the context that its first word has; no word is a line feed.
 END = b"\n"
 #: Bytes of text that a task takes at once, and rows that it hands on at once.
 RUN_BYTES, AT_ONCE = 4 << 20, 100_000
 #: Bytes of text whose n-grams are added up together.
 RANGE_BYTES = 8 << 20
+#: Bytes of text whose n-grams meet their weights together.
+WEIGH_BYTES = 32 << 20
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -205,10 +209,11 @@ def _words_and_pairs(some: Symbols) -> Iterator[tuple]:
 
 
 def bitmap(grams: DataFrame) -> np.ndarray:
-    """Bits of which those are set that the hashes ``g`` fall on; a power of two, at most BITS."""
+    """Bits of which those are set that two parts of the hashes ``g`` fall on; a power of two, at most BITS."""
     rows = grams.count()
     size = min(BITS, 1 << max(6, (16 * rows).bit_length()))
-    words = grams.select(F.col("g").bitwiseAND(F.lit(size - 1)).alias("bit"))
+    part = F.explode(F.array(F.col("g"), F.shiftrightunsigned("g", SECOND)))
+    words = grams.select(part.alias("part")).select(F.col("part").bitwiseAND(F.lit(size - 1)).alias("bit"))
     words = words.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).toArrow()
     out = np.zeros(size // 64, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
@@ -216,8 +221,14 @@ def bitmap(grams: DataFrame) -> np.ndarray:
 
 
 def _may(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    at = grams & np.uint64(64 * len(bits) - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    def has(part: np.ndarray) -> np.ndarray:
+        at = part & np.uint64(64 * len(bits) - 1)
+        return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    out = has(grams)
+    some = np.flatnonzero(out)
+    out[some] = has(grams[some] >> np.uint64(SECOND))
+    return out
 
 
 def _found(texts: DataFrame, text: str, size: int, contexts: np.ndarray, known: np.ndarray, room: int) -> DataFrame:
@@ -324,23 +335,31 @@ def _slots(hot: pa.Table, floor: float) -> tuple[np.ndarray, ...]:
     return slots, np.r_[g, np.uint64(0)], np.r_[h, np.uint64(2)], np.r_[words > 0, False], np.r_[root, 0.0], np.r_[hot["w_sum"].to_numpy(), 0.0]
 
 
-#: What is known of a text, or of an n-gram in it after the join.
-_SUMS = "tokens:long,known:long,base:double,score:double"
+#: What is known of a text, as far as one place knows it: its tokens are told once.
+_SUMS = "k:long,tokens:long,known:long,base:double,score:double"
 
 
 def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
+
+    The n-grams of a run of texts that are not hot meet their weights by ranges of hashes,
+    like those that are counted; what a range knows of a text is added to what others know.
+    """
     docs = df.select(F.col(quoted(key)).alias("id"), F.col(quoted(text)).alias("text"))
     training = docs.where(F.col("id").isNotNull() & ~held_out("id"))
     total, floor, table = grow(training, depth=depth)
     hot = _slots(most_frequent(table), floor)
+    room = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(0, (max(room, 1) - 1) // WEIGH_BYTES).bit_length()
     sent = docs.sparkSession.sparkContext.broadcast((*hot, bitmap(table.where("h = 0"))))
+    kind = docs.schema["id"].dataType
+    sums = f"struct<id:{kind.simpleString()},{_SUMS}>"
+    never = float(np.log10(ALPHA / (floor or 1.0)))
 
-    def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        slots, codes, high, is_word, root, weight, bits = sent.value
+    def deal(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
+        slots, codes, high, is_word, root, weight, known_grams = sent.value
         mask = np.uint64(len(slots) - 1)
         for keys, idents, values in batches:
-            marks = keys.to_numpy()
             for begin, end in runs(values):
                 some = symbols(values.slice(begin, end - begin))
                 owner, grams = some.owner, some.low[some.ids]
@@ -351,7 +370,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
                     if size > 1:
                         grams = longer(grams)
                         at = np.flatnonzero(owner[: len(grams)] == owner[size - 1 :])
-                        at = at[_may(bits, grams[at])]
+                        at = at[_may(known_grams, grams[at])]
                         h = np.zeros(len(at), np.uint64)
                     else:
                         inside = np.ones(len(grams), bool)
@@ -366,32 +385,67 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
                     if size == 1:
                         known += np.bincount(to, is_word[place], texts)
                         base += np.bincount(to, root[place], texts)
-                    rows.append((of[~here], g[~here].view(np.int64), h[~here].view(np.int64)))
+                    rows.append((g[~here], h[~here], of[~here].astype(np.uint32)))
+                words, others = rows[0], [np.concatenate(x) for x in zip(*rows[1:], strict=True)]
                 sizes = np.bincount(owner, minlength=texts) - 1
-                own = [{"tokens": t, "known": int(k), "base": b, "score": b + s} for t, k, b, s in zip(*(x.tolist() for x in (sizes, known, base, score)), strict=True)]
-                ident, mark = idents.slice(begin, texts), marks[begin:end]
-                # a row of the text itself, which no weight fits
-                yield [ident, mark, mark, pa.nulls(texts, pa.int64()), own]
-                for columns in rows:
-                    for of, g, h in _parts(*columns):
-                        yield [ident.take(pa.array(of)), mark[of], g, h, pa.nulls(len(of), nothing)]
-
-    kind = docs.schema["id"].dataType
-    nothing = to_arrow_type(StructType.fromDDL(_SUMS))
-    made = map_batches(docs.select(F.xxhash64("text").alias("k"), "id", "text"), ["k", "id", "text"], f"id {kind.simpleString()}, k long, g long, h long, own struct<{_SUMS}>", run)
-    # a word (h not 0) that no training text has occurs no times; rows of one id and text are copies
-    word, n = F.coalesce(F.col("h") != 0, F.lit(False)), F.coalesce("words", F.lit(0))
-    rare = F.when(word, F.log10((n + ALPHA) / F.lit(floor or 1.0))).otherwise(0.0)
-    more = F.coalesce("w", F.lit(0.0))
-    rows = made.join(table.select("g", "h", "words", "w"), ["g", "h"], "left").select(
-        "id",
-        "k",
-        F.col("own.tokens").alias("tokens"),
-        F.coalesce("own.known", F.when(word & (n > 0), 1).otherwise(0)).alias("known"),
-        F.coalesce("own.base", rare).alias("base"),
-        F.coalesce("own.score", rare + more).alias("score"),
-    )
-    sums = rows.groupBy("id", "k").agg(F.count("tokens").alias("copies"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("sum"))
+                ident, mark = idents.slice(begin, texts).to_pylist(), keys.slice(begin, texts).to_pylist()
+                told = [dict(id=i, k=k, tokens=t, known=int(n), base=b, score=b + s) for i, k, t, n, b, s in zip(ident, mark, *(x.tolist() for x in (sizes, known, base, score)), strict=True)]
+                bare = [dict(id=i, k=k, tokens=None, known=0, base=0.0, score=0.0) for i, k in zip(ident, mark, strict=True)]
+                one = {at: block for at, block in _ranged(bits, *words)}
+                two = {at: block for at, block in _ranged(bits, others[0], others[2])}
+                # the texts themselves go to some range
+                first = mark[0] & (1 << bits) - 1
+                ranges = sorted({first, *one, *two})
+                yield [ranges, [one.get(at, b"") for at in ranges], [two.get(at, b"") for at in ranges], pa.array([told if at == first else bare for at in ranges], docs_type)]
+
+    def weigh(texts: pa.Table, weights: pa.Table) -> pa.Table:
+        g, h, w = (weights[c].to_numpy().view(t) for c, t in (("g", np.uint64), ("h", np.uint64), ("w", np.float64)))
+        n = weights["words"].fill_null(0).to_numpy()
+        words, others = np.flatnonzero(h != 0), np.flatnonzero(h == 0)
+        words = words[np.argsort(g[words])]
+        codes, code = np.unique(g[others], return_inverse=True)
+        weight = np.r_[np.bincount(code, w[others], len(codes)), 0.0]
+        found = []
+        for one, two, told in zip(texts["words"], texts["grams"], texts["docs"], strict=True):
+            told = told.values
+            size = len(told)
+            known, base, score = (told.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("known", "base", "score"))
+            wanted, high, of = _unranged(one.as_py(), np.uint64, np.uint64, np.uint32)
+            place = np.full(len(wanted), -1)
+            at = np.searchsorted(g[words], wanted)
+            while len(words):  # one step, but for words of which one hash is equal
+                open_ = np.flatnonzero((at < len(words)) & (place < 0))
+                open_ = open_[g[words[at[open_]]] == wanted[open_]]
+                if not len(open_):
+                    break
+                fits = open_[h[words[at[open_]]] == high[open_]]
+                place[fits] = words[at[fits]]
+                at[open_] += 1
+            met = place >= 0
+            root = np.where(met, np.log10((n[place] + ALPHA) / (floor or 1.0)) if len(n) else never, never)
+            known += np.bincount(of[met], n[place[met]] > 0, size)
+            base += np.bincount(of, root, size)
+            score += np.bincount(of, root + (np.where(met, w[place], 0.0) if len(w) else 0.0), size)
+            wanted, to = _unranged(two.as_py(), np.uint64, np.uint32)
+            if len(codes):
+                at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+                score += np.bincount(to, weight[np.where(codes[at] == wanted, at, len(codes))], size)
+            tokens = told.field("tokens")
+            full = np.bincount(of, minlength=size) + np.bincount(to, minlength=size) > 0
+            full = pa.array(full | tokens.is_valid().to_numpy(zero_copy_only=False))
+            columns = [told.field("id"), told.field("k"), tokens, pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+            found.append(pa.Table.from_arrays(columns, names).filter(full))
+        return pa.concat_tables(found) if found else pa.Table.from_arrays([pa.nulls(0, t) for t in kinds], names)
+
+    docs_type = to_arrow_type(StructType.fromDDL(f"docs array<{sums}>")["docs"].dataType)
+    told = StructType.fromDDL(f"id {kind.simpleString()}, k long, tokens long, known long, base double, score double")
+    names, kinds = told.names, [to_arrow_type(f.dataType) for f in told]
+    dealt = map_batches(docs.select(F.xxhash64("text").alias("k"), "id", "text"), ["k", "id", "text"], f"at long, words binary, grams binary, docs array<{sums}>", deal)
+    place = F.shiftrightunsigned("g", 64 - bits) if bits else F.lit(0).cast("long")
+    weights = table.select(place.alias("at"), "g", "h", "words", "w")
+    parts = dealt.groupBy("at").cogroup(weights.groupBy("at")).applyInArrow(weigh, told)
+    # rows of one id and text are copies of each other
+    sums = parts.groupBy("id", "k").agg(F.count("tokens").alias("copies"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("sum"))
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
     return sums.select("*", copies).select(
         F.col("id").alias(key),
@@ -402,3 +456,19 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
         (F.col("base") / F.col("copies")).alias("base_score"),
         (F.col("sum") / F.col("copies")).alias("score"),
     )
+
+
+def _ranged(bits: int, grams: np.ndarray, *others: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(range, block) of n-grams and what goes with each; in a range they stay in their order."""
+    at = (grams >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(grams), np.uint16)
+    order = np.argsort(at, kind="stable")
+    full, first = np.unique(at[order], return_index=True)
+    columns = [c[order] for c in (grams, *others)]
+    for i, begin, end in zip(full.tolist(), first.tolist(), np.r_[first[1:], len(grams)].tolist()[: len(full)], strict=True):
+        yield i, b"".join(c[begin:end].tobytes() for c in columns)
+
+
+def _unranged(block: bytes, *kinds: type) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n = len(block) // sum(sizes)
+    return [np.frombuffer(block, k, n, n * sum(sizes[:i])) for i, k in enumerate(kinds)]
