@@ -2,50 +2,58 @@
 
 The standard library's streaming parser turns a page into lines: a line ends where a
 block element begins or ends, and keeps its text, its number of tags and the elements
-it is in. Scripts, styles and forms, menus, headers, footers, sidebars, notices,
-adverts and reader comments are told by element, role, class or id; their lines have
-no text that counts. The ratio of text to tags of each line is smoothed with a
-Gaussian over the neighbouring lines, and lines fall in two clusters around a threshold
-that is a share of the mean. A run of lines of the upper cluster is a content region.
-
-Regions grow over what is content however short: where the page has an ``article`` or
-``main`` element that holds a region, all lines of that element count. Elsewhere lines of
+it is in. The ratio of text to tags of each line is smoothed with a Gaussian over the
+neighbouring lines. Lines of menus, headers, footers, sidebars, notices, adverts, forms
+and reader comments, as elements, roles, classes or ids tell, are faint: their ratio counts
+``FAINT`` times. Two means of the logarithms of all ratios part the lines in two clusters;
+where these are less than a factor ``APART`` from each other, they are one. Lines of the
+upper cluster are content, whatever they are in.
+
+Lines of the upper cluster make regions, which grow over lines that are not faint, however
+short. One inside an ``article`` or ``main`` takes all such lines of it. Elsewhere lines of
 the upper cluster make one region if they are in the same container or at most ``NEAR``
 lines with text apart; it holds all lines from its first one to the end of the element that
-holds them all, and the headings before it.
-
-What class, id, role or element tell is judged after parsing: an element that holds most
-of the page's text, or the only ``article`` or ``main``, silences nothing. Inside an
-article only whole class names count, and no id.
-
-A null or empty page, or one without text, has an empty main text.
+holds them all, and the headings before it. Beside a region inside such an element, one
+outside counts only if it is as dense.
+
+Class, id, role and element are judged after parsing: an element that holds most of the
+page's text, or the only ``article`` or ``main``, makes nothing faint. Of an article, and
+inside it, only whole class names count, and no id. Scripts, styles, form fields and the page's head
+have no text.
+
+A null or empty page, or one without text, has an empty main text; an empty table stays
+empty. Rows that repeat are read each by itself. A long page is read whole; a line's ratio
+grows with its text up to ``LONG_LINE`` characters and stays there, and all of its text is
+kept. Other columns stay; one called text or n_chars, but the page itself, is replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.batches import add_columns
+from flowloom.llm.batches import add_columns, quoted
 
-#: Width of the Gaussian in lines, and the share of the mean ratio that parts the clusters.
-SIGMA, SHARE = 1.0, 0.5
+#: Width of the Gaussian in lines, how much of a faint line's ratio counts, and the factor between two clusters.
+SIGMA, FAINT, APART = 1.0, 0.01, 3.0
 #: Characters of a line's text beyond which more do not raise its ratio.
 LONG_LINE = 400
-#: Lines with text by which lines of a region are apart at most, and the share of a page's text that no element silences.
+#: Lines with text by which lines of a region are apart at most, and the share of a page's text that a class or role does not make faint.
 NEAR, MOST = 3, 2 / 3
 
 #: Elements by what they do to lines.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select button form nav footer aside menu dialog datalist applet map".split())
+SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select button datalist applet map".split())
 CONTENT = frozenset(("article", "main"))
-#: Those of SILENT that may turn out to hold the article, and blocks that hold a line, no region.
+#: Elements whose lines are faint, of which SOFT may turn out to hold the article, and blocks that hold a line, no region.
+BESIDE = frozenset("nav footer menu dialog".split())
 SOFT = frozenset("form aside".split())
 LINES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li ul ol dl dd dt pre blockquote figure figcaption caption address summary table thead tbody tfoot tr option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -110,8 +118,8 @@ class LineParser(HTMLParser):
                 self.end_paragraph()
         self.tags += 1
         hidden = any(n == "hidden" or (n == "aria-hidden" and v == "true") for n, v in attrs)
-        silent = (tag in SILENT and tag not in SOFT) or (hidden and tag not in ("html", "body", "main"))
-        aside = tag in SOFT or (tag == "header" and not self.content) or (bool(attrs) and tag not in ("html", "body", "main") and _is_aside(attrs, self.content > 0))
+        silent = tag in SILENT or (hidden and tag not in ("html", "body", "main"))
+        aside = tag in SOFT or tag in BESIDE or (tag == "header" and not self.content) or (bool(attrs) and tag not in ("html", "body", "main") and _is_aside(attrs, self.content > 0 or tag in CONTENT))
         content = tag in CONTENT and not silent and not aside
         self.open.append((tag, silent, content, len(self.names)))
         self.names.append(tag)
@@ -191,33 +199,43 @@ def _sums(parser: LineParser, own: list[int]) -> list[int]:
     return out
 
 
-def _places(parser: LineParser) -> tuple[list[bool], list[bool]]:
-    """Which elements are silenced and which are in an article, themselves included."""
+def _places(parser: LineParser) -> tuple[list[bool], list[int]]:
+    """Which elements are faint, and the outermost article that each is in (0: none)."""
     size = len(parser.names)
     own = [0] * size
     for text, _, at, _ in parser.lines:
         own[at] += len(text)
     chars = _sums(parser, own)
-    aside = [a and chars[i] < MOST * chars[0] for i, a in enumerate(parser.aside)]
+    aside = [a and (parser.names[i] in BESIDE or chars[i] < MOST * chars[0]) for i, a in enumerate(parser.aside)]
     articles = _sums(parser, [int(a and chars[i] > 0) for i, a in enumerate(parser.article)])
 
-    def spread() -> tuple[list[bool], list[bool]]:
-        silent, inside = [False] * size, [False] * size
+    def spread() -> tuple[list[bool], list[int]]:
+        faint, inside = [False] * size, [0] * size
         for i in range(1, size):
             above = parser.parents[i]
-            silent[i] = silent[above] or aside[i]
-            inside[i] = not silent[i] and (inside[above] or parser.article[i])
-        return silent, inside
+            faint[i] = faint[above] or aside[i]
+            inside[i] = 0 if faint[i] else inside[above] or (i if parser.article[i] else 0)
+        return faint, inside
 
-    silent, inside = spread()
+    faint, inside = spread()
     if articles[0] and not any(inside[at] and text for text, _, at, _ in parser.lines):
         aside = [a and not articles[i] for i, a in enumerate(aside)]
-        silent, inside = spread()
-    return silent, inside
+        faint, inside = spread()
+    return faint, inside
+
 
+@dataclass
+class Line:
+    text: str
+    tags: int
+    at: int  # the innermost element
+    heading: bool
+    faint: bool
+    article: int  # the outermost article or main, 0 if there is none
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], list[int], LineParser]:
-    """(text, tags, in an article, heading) of each line, its element, and the elements."""
+
+def lines_of(html: str) -> tuple[list[Line], LineParser]:
+    """The lines with text or tags, and the elements."""
     parser = LineParser()
     parser.feed(html)
     parser.close()
@@ -225,10 +243,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], list[int], L
     while parser.open:
         parser.drop()
     parser.last[0] = len(parser.names) - 1
-    silent, inside = _places(parser)
-    rows = [(("" if silent[at] else text, tags, inside[at], heading), at) for text, tags, at, heading in parser.lines]
-    rows = [x for x in rows if x[0][0] or x[0][1]]
-    return [x for x, _ in rows], [at for _, at in rows], parser
+    faint, inside = _places(parser)
+    return [Line(text, tags, at, heading, faint[at], inside[at]) for text, tags, at, heading in parser.lines], parser
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -250,47 +266,71 @@ def _container(parser: LineParser, at: int) -> int:
     return at
 
 
-def content_lines(lines: list[tuple[str, int, bool, bool]], at: list[int], parser: LineParser) -> np.ndarray:
-    """Which lines are in a content region."""
-    sizes = np.array([min(len(t), LONG_LINE) for t, _, _, _ in lines], np.float64)
-    tags = np.array([n for _, n, _, _ in lines], np.float64)
-    inside = np.array([c for _, _, c, _ in lines])
-    heading = np.array([h for _, _, _, h in lines])
-    full = sizes > 0
-    ratio = smooth(sizes / np.maximum(tags, 1))
-    high = full & (ratio >= SHARE * ratio[full].mean())
-    if (high & inside).any():
-        return full & inside
-    # without such an element: regions from their first line to the end of what holds them
-    out = np.zeros(len(lines), bool)
+def ratios(lines: list[Line]) -> np.ndarray:
+    """The smoothed text-to-tag ratio of each line, what is faint counting less."""
+    size = np.array([min(len(x.text), LONG_LINE) for x in lines], np.float64)
+    tags = np.array([max(x.tags, 1) for x in lines], np.float64)
+    return smooth(size / tags) * np.where([x.faint for x in lines], FAINT, 1.0)
+
+
+def two_means(values: np.ndarray) -> float:
+    """The least value of the upper of two clusters, those with the least squares within."""
+    v = np.sort(values)
+    n = np.arange(1, len(v))
+    sums = np.cumsum(v)
+    left, right = sums[:-1], sums[-1] - sums[:-1]
+    if not len(n) or v[0] == v[-1]:
+        return float(v[0])
+    at = int(np.argmax(left**2 / n + right**2 / (len(v) - n))) + 1
+    return float(v[at] if v[at:].mean() - v[:at].mean() >= np.log(APART) else v[0])
+
+
+@dataclass
+class Region:
+    first: int
+    last: int
+    held: int  # the element that holds its lines
+    article: bool
+    heights: list[float]
+
+
+def content_lines(lines: list[Line], parser: LineParser) -> np.ndarray:
+    """Which lines are content: those of the upper cluster, and what their regions grow over."""
+    full = np.array([x.text != "" for x in lines])
+    faint = np.array([x.faint for x in lines])
+    height = np.log1p(ratios(lines))
+    high = full & (height >= two_means(height[full]))
     place = np.cumsum(full)
-    regions: list[list[int]] = []  # first and last line, and the element that holds both
+    regions: list[Region] = []
     for i in np.flatnonzero(high).tolist():
-        own = _container(parser, at[i])
-        if regions and (place[i] - place[regions[-1][1]] <= NEAR or at[i] <= parser.last[regions[-1][2]]):
-            held = regions[-1][2]
-            while not held <= own <= parser.last[held]:
-                held = parser.parents[held]
-            regions[-1][1:] = [i, held]
+        line, last = lines[i], regions[-1] if regions else None
+        own = line.article or _container(parser, line.at)
+        if last and last.article == (line.article > 0) and (own == last.held or (not line.article and (place[i] - place[last.last] <= NEAR or line.at <= parser.last[last.held]))):
+            while not last.held <= own <= parser.last[last.held]:
+                last.held = parser.parents[last.held]
+            last.last = i
+            last.heights.append(height[i])
         else:
-            regions.append([i, i, own])
-    for first, end, held in regions:
-        after = end + 1
-        while after < len(lines) and held <= at[after] <= parser.last[held]:
+            regions.append(Region(i, i, own, line.article > 0, [height[i]]))
+    inside = [h for r in regions if r.article for h in r.heights]
+    out = np.zeros(len(lines), bool)
+    for r in regions:
+        if inside and not r.article and np.mean(r.heights) < np.mean(inside):
+            continue
+        first, after = r.first, r.last + 1
+        while after < len(lines) and r.held <= lines[after].at <= parser.last[r.held]:
             after += 1
-        out[first:after] = True
-        k = first - 1
-        while k >= 0 and (heading[k] or not full[k]):
-            out[k] = True
-            k -= 1
+        while first and (r.held <= lines[first - 1].at <= parser.last[r.held] if r.article else lines[first - 1].heading or not full[first - 1]):
+            first -= 1
+        out[first:after] |= high[first:after] | ~faint[first:after]
     return out & full
 
 
 def main_text(html: str) -> str:
-    lines, at, parser = lines_of(html) if html else ([], [], None)
-    if not any(x[0] for x in lines):
+    lines, parser = lines_of(html) if html else ([], None)
+    if not any(x.text for x in lines):
         return ""
-    return "\n\n".join(lines[i][0] for i in np.flatnonzero(content_lines(lines, at, parser)))
+    return "\n\n".join(lines[i].text for i in np.flatnonzero(content_lines(lines, parser)))
 
 
 def extract_main_text(df: DataFrame, html: str = "html") -> DataFrame:
@@ -303,4 +343,4 @@ def extract_main_text(df: DataFrame, html: str = "html") -> DataFrame:
     gone = {"text", "n_chars"}
     out = add_columns(df, [html], "text string", run)
     kept = [c for c in out.columns if c.lower() not in gone]
-    return out.select(*[F.col(f"`{c}`") for c in kept], "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select(*[F.col(quoted(c)) for c in kept], "text", F.length("text").cast("long").alias("n_chars"))

@@ -36,6 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -58,7 +59,7 @@ RUN_BYTES, AT_ONCE = 4 << 20, 100_000
 #: Bytes of text whose n-grams are added up together.
 RANGE_BYTES = 8 << 20
 #: Bytes of text whose n-grams meet their weights together.
-WEIGH_BYTES = 32 << 20
+WEIGH_BYTES = 64 << 20
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -231,10 +232,10 @@ def _may(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def _found(texts: DataFrame, text: str, size: int, contexts: np.ndarray, known: np.ndarray, room: int) -> DataFrame:
+def _found(texts: DataFrame, text: str, size: int, sent: Broadcast, room: int) -> DataFrame:
     """(prefix, suffix, n) of the n-grams of that size that occur at least LEAST_STEP times
-    after what may be a candidate; the suffix of such a one is known to occur so often."""
-    sent = texts.sparkSession.sparkContext.broadcast((contexts, known))
+    after what may be a candidate; the suffix of such a one is known to occur so often.
+    Sent are the bitmaps of candidates and of what is known."""
 
     def grams_of(some: Symbols) -> Iterator[tuple]:
         contexts, known = sent.value
@@ -283,7 +284,8 @@ def grow(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[int,
     for size in range(2, depth + 2):
         candidates = level.where(F.col("n") >= LEAST_STATE)
         if size > 2:
-            found = _found(texts, text, size, bitmap(candidates), bitmap(level), room)
+            sent = texts.sparkSession.sparkContext.broadcast((bitmap(candidates), bitmap(level)))
+            found = _found(texts, text, size, sent, room)
         below = level.where(F.col("n") >= LEAST_STEP).select(F.col("g").alias("suffix"), F.col("p").alias("below"))
         steps = keep(found.join(below, "suffix"), "steps")
         states = keep(_states(candidates.select(F.col("g").alias("prefix"), F.col("n").alias("total")), steps), "states")
@@ -298,6 +300,8 @@ def grow(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[int,
         level = steps.join(states, "prefix").withColumn("p", F.when(stays, p).otherwise(F.col("below")))
         level = keep(level.select(F.xxhash64("prefix", "suffix").alias("g"), "n", "p", F.when(stays, e).alias("e")), "level")
         weights = weights.unionAll(level.where("e is not null").select("g", F.lit(0).cast("long"), "n", "e"))
+        if size > 2:
+            sent.destroy()
         forget(steps)
         kept += [states, level]
     weights = keep(weights.select("g", "h", F.when(F.col("h") != 0, F.col("n")).alias("words"), "n", "w"), "weights")
@@ -325,7 +329,7 @@ def _slots(hot: pa.Table, floor: float) -> tuple[np.ndarray, ...]:
     there hash, second hash, whether it is a word, root and weight. Of those that fall on one
     slot the most frequent is there; an empty slot has a place that fits no hash."""
     g, h = (hot[c].to_numpy().view(np.uint64) for c in ("g", "h"))
-    size = 1 << (4 * len(g)).bit_length()
+    size = 1 << (2 * len(g)).bit_length()
     slot, first = np.unique(g & np.uint64(size - 1), return_index=True)
     slots = np.full(size, len(g), np.int32)
     slots[slot.astype(np.int64)] = first

@@ -13,9 +13,10 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from flowloom.llm import media, url_rules, warc
+from flowloom.llm import main_text as main_text_module, media, url_rules, warc
 from flowloom.llm.main_text import extract_main_text, main_text
 from flowloom.llm import suffix_tree_lm as lm
 from flowloom.llm.suffix_tree_lm import END, score_texts
@@ -289,6 +290,55 @@ def test_names_inside_an_article(part):
     assert main_text(f"<article><p>{LONG}</p>{part.format('Part')}<div class='comments'>Reply</div></article>") == f"{LONG}\n\nPart"
 
 
+def test_link_lists_are_told_by_their_ratio(monkeypatch):
+    links = "".join(f"<li><a href=/{i}>Go to {i}</a></li>" for i in range(12))
+    page = f"<body><div><ul>{links}</ul></div><div><h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div><ul>{links}</ul></div></body>"
+    assert main_text(page) == f"Head\n\n{LONG}\n\nShort.\n\n{LONG}"
+    monkeypatch.setattr(main_text_module, "ratios", lambda lines: np.ones(len(lines)))
+    assert "Go to 3" in main_text(page)
+
+
+def test_the_ratio_decides_on_pages(monkeypatch):
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    texts = [main_text(p) for p in pages]
+    monkeypatch.setattr(main_text_module, "ratios", lambda lines: np.ones(len(lines)))
+    assert sum(main_text(p) != t for p, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("name", ["post category-popular", "post hentry tag-search", "content-with-sidebar", "comment-closed post", "post-1 type-post status-publish format-standard hentry category-news"])
+def test_classes_of_an_article(name):
+    comments = f"<ol class='comment-list'><li class='comment'><div class='comment-body'><p>{LONG}</p></div><ol class=children><li class=comment><p>{LONG}</p></li></ol></li></ol>"
+    page = f"<body><header class=site-header>{LONG}</header><article class='{name}'><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></article><section class='comments-area'>{comments}</section></body>"
+    assert main_text(page) == f"Head\n\n{LONG}\n\n{LONG}"
+
+
+def test_ratio_smoothing_and_two_means_by_hand():
+    m = main_text_module
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40):
+        lines = [m.Line("x" * int(a), int(b), 0, False, bool(f), 0) for a, b, f in zip(rng.integers(0, 900, n), rng.integers(0, 5, n), rng.integers(0, 2, n), strict=True)]
+        raw = [min(len(x.text), 400) / max(x.tags, 1) for x in lines]
+        want = []
+        for i in range(n):
+            near = [(math.exp(-((j - i) ** 2) / 2), raw[j]) for j in range(max(0, i - 3), min(n, i + 4))]
+            want.append(sum(w * r for w, r in near) / sum(w for w, _ in near) * (0.01 if lines[i].faint else 1))
+        assert m.ratios(lines) == pytest.approx(want)
+        values = np.log1p(want)
+
+        def within(t):
+            parts = [values[values < t], values[values >= t]]
+            return sum(((p - p.mean()) ** 2).sum() for p in parts if len(p))
+
+        best = min(sorted(set(values))[1:], key=within, default=values[0])
+        apart = n > 1 and values[values >= best].mean() - values[values < best].mean() >= math.log(3)
+        assert m.two_means(values) == pytest.approx(best if apart else values.min())
+
+
+def test_pages_with_columns_of_any_name(spark):
+    df = pages_of(spark, [(1, "u", f"<p>{LONG}")]).selectExpr("page_id as `a``b`", "html as text", "map(1, 2) as N_CHARS", "url as `x.y`")
+    assert [tuple(r) for r in extract_main_text(df, "text").collect()] == [(1, "u", LONG, len(LONG))]
+
+
 def test_odd_pages(spark):
     assert [main_text(x) for x in ("", "just text", "<p>one", "<p>a&#x41;&nbsp;b", "<article><p>x</article>", "<", "<p", "&", "<![CDATA[x]]>")][:5] == ["", "just text", "one", "aA b", "x"]
     assert main_text("<div>" * 5000 + LONG) == LONG
