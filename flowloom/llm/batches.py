@@ -57,7 +57,12 @@ def add_columns(
             made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(arrays, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(old)], *made], labels)
 
-    return sent.mapInArrow(run, schema)
+    return _plain(sent).mapInArrow(run, schema)
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """``df`` under names that mapInArrow, which reads them as expressions, takes as they are."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def map_batches(df: DataFrame, inputs: list[str], outputs: str, fn: Callable[[Iterator[list[pa.Array]]], Iterator[list]]) -> DataFrame:
@@ -72,7 +77,7 @@ def map_batches(df: DataFrame, inputs: list[str], outputs: str, fn: Callable[[It
             made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(arrays, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(made, labels)
 
-    return df.select(*[F.col(quoted(c)) for c in inputs]).mapInArrow(run, new)
+    return _plain(df.select(*[F.col(quoted(c)) for c in inputs])).mapInArrow(run, new)
 
 
 def _arrow_type(kind) -> pa.DataType:
