@@ -10,9 +10,13 @@ record. ``assemble`` joins response, request and metadata records through their
 concurrent-to identifiers into one nested row for each capture.
 
 Of the captures with equal payloads of at least ``least`` bytes, that with the largest
-page id is the response and the others revisit it; a null id is never the largest, and
-if all are null all are responses. The record id is a hash of page id and payload, so
-rows that repeat both are one capture and come back as one. A null page is empty.
+page id is the response and the others revisit it; rows that share this id are all
+responses, a null id is never the largest, and if all are null all are responses. Every row
+is a capture of its own and comes back as one: its record id is a hash of page id, URL and
+payload, and where rows repeat all three also of a number of the row. A null page is empty,
+a null URL too. An empty table gives no rows. Other columns of the pages, whatever their
+names, are not taken. Payloads are moved once, by page id and digest, so that one that very
+many pages share is spread; files hold few large pages or many small ones.
 """
 
 from __future__ import annotations
@@ -26,13 +30,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowloom.llm.batches import map_batches
+from flowloom.llm.batches import map_batches, quoted
 from flowloom.session import keep, shared_folder
 
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
-#: Records of one file (three for each capture).
-PER_FILE = 6_000
+#: Bytes of payload, and how many captures up to that size go to one file (None: any larger).
+PER_FILE = ((64 << 10, 2_000), (4 << 20, 32), (None, 1))
 #: Bytes of payload that a parsing task hands on at once.
 AT_ONCE = 8 << 20
 
@@ -67,36 +71,55 @@ def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Colu
 
 
 def plan_captures(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, payload, digest, first): first is the id of the response of equal payloads.
+    """(page_id, url, payload, digest, first, copies): first is the response of equal payloads
+    (its page_id, url and how many rows repeat it), copies how many rows repeat this one.
 
-    The largest id of each payload is a pre-aggregated grouping; a payload that many
-    pages share makes a skewed join, which is split.
+    The largest id of each payload is a pre-aggregated grouping over rows without payloads.
     """
-    payload = F.coalesce(F.col(f"`{html}`"), F.lit(""))
-    rows = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("url"), payload.alias("payload"), base32_sha1(payload.cast("binary")).alias("digest"))
-    many = rows.where(F.octet_length("payload") >= least)
-    first = many.groupBy("digest").agg(F.max("page_id").alias("first"))
-    return rows.join(first, "digest", "left")
+    payload = F.coalesce(F.col(quoted(html)), F.lit("")).alias("payload")
+    rows = pages.select(F.col(quoted(key)).alias("page_id"), F.coalesce(F.col(quoted(url)), F.lit("")).alias("url"), payload)
+    rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
+    same = rows.groupBy("page_id", "url", "digest").agg(F.count("*").alias("copies"), F.max(F.octet_length("payload") >= least).alias("counts"))
+    first = same.where("counts").groupBy("digest").agg(F.max(F.struct("page_id", "url", "copies")).alias("first"))
+    plan = same.join(first, "digest", "left").select(*[F.col(c).alias(f"of_{c}") for c in ("page_id", "url", "digest")], "first", "copies")
+    own = [F.col(c).eqNullSafe(F.col(f"of_{c}")) if c == "page_id" else F.col(c) == F.col(f"of_{c}") for c in ("page_id", "digest", "url")]
+    return rows.join(plan, own).select(*rows.columns, "first", "copies")
+
+
+def _size(size: Column) -> Column:
+    """Which of PER_FILE a payload of that many bytes belongs to."""
+    out = F.lit(len(PER_FILE) - 1)
+    for i in reversed(range(len(PER_FILE) - 1)):
+        out = F.when(size <= PER_FILE[i][0], i).otherwise(out)
+    return out
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Write the captures of ``pages`` to gzip files in ``folder``."""
     rows = plan_captures(pages, least, key, url, html)
-    name = lambda who: _uuid(F.concat_ws("|", F.lit("capture"), F.coalesce(F.col(who).cast("string"), F.lit("null")), "digest"))
-    uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    name = lambda page, uri, more: _uuid(F.concat_ws("|", F.lit("capture"), text(page), "digest", F.col(uri), more))
+    uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
+    number = F.when(F.col("copies") > 1, F.monotonically_increasing_id().cast("string")).otherwise("")
+    again = F.coalesce(F.col("first.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.lit(False))
+    # a response that rows repeat has no one id
+    of = F.when(F.col("first.copies") == 1, name("first.page_id", "first.url", F.lit("")))
+    rows = rows.withColumns({"number": number, "again": again, "uri": uri}).withColumns({"id": name("page_id", "url", F.col("number")), "of": of})
     part = lambda what: _uuid(F.concat(F.lit(what), F.col("id")))
-    rows = rows.withColumns({"id": name("page_id"), "of": name("first"), "uri": uri, "again": F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))})
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(CRLF * 2))
     common = [("WARC-Record-ID", F.col("id")), ("WARC-Target-URI", F.col("uri")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), ("Content-Type", F.lit("application/http; msgtype=response"))]
     response = _record("response", common, F.concat(head, "payload"))
     revisit = _record("revisit", [*common, ("WARC-Profile", F.lit(_PROFILE)), ("WARC-Refers-To", F.col("of"))], head)
     beside = lambda what, kind: [("WARC-Record-ID", part(what)), ("WARC-Target-URI", F.col("uri")), ("WARC-Concurrent-To", F.col("id")), ("Content-Type", F.lit(kind))]
     request = _record("request", beside("request", "application/http; msgtype=request"), F.concat(F.lit("GET "), "uri", F.lit(f" HTTP/1.1{CRLF * 2}")))
-    told = [("page-id", F.col("page_id").cast("string")), ("payload-bytes", F.octet_length("payload").cast("string")), ("refers-to-page", F.when(F.col("again"), F.col("first").cast("string")))]
+    told = [("page-id", F.col("page_id").cast("string")), ("payload-bytes", F.octet_length("payload").cast("string")), ("refers-to-page", F.when(F.col("again"), F.col("first.page_id").cast("string")))]
     fields = F.concat(*[F.coalesce(F.concat(F.lit(f"{n}: "), v, F.lit(CRLF)), F.lit("")) for n, v in told])
     metadata = _record("metadata", beside("metadata", "application/warc-fields"), fields)
-    records = rows.select(F.explode(F.array(F.when(F.col("again"), revisit).otherwise(response), request, metadata)).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(folder)
+    sizes = sorted(r[0] for r in pages.select(_size(F.coalesce(F.octet_length(F.col(quoted(html))), F.lit(0)))).distinct().collect())
+    for i in sizes or [0]:
+        some = rows if len(sizes) < 2 else rows.where(_size(F.octet_length("payload")) == i)
+        records = some.select(F.explode(F.array(F.when(F.col("again"), revisit).otherwise(response), request, metadata)).alias("value"))
+        records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * PER_FILE[i][1]).text(f"{folder}/size={i}")
 
 
 def parse(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -153,7 +176,7 @@ def read_records(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
                 if rows:
                     yield [list(c) for c in zip(*rows, strict=True)]
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(folder)
     return map_batches(files, ["content"], RECORD, run)
 
 
@@ -202,7 +225,7 @@ d as (
            '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest
   from p)
 select page_id, payload_bytes, payload_digest,
-       case when page_id = first then 'response' else 'revisit' end as record_type,
-       case when page_id <> first then first end as refers_to, coalesce(uri, '') as uri
+       case when first is null or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from first then first end as refers_to, coalesce(uri, '') as uri
 from d
 """

@@ -195,7 +195,18 @@ def test_captures_are_read_as_written(spark):
         assert rows[key].payload_bytes == len(payload)
         assert rows[key].payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
     assert {k: (r.record_type, r.refers_to) for k, r in rows.items() if r.record_type == "revisit"} == {1: ("revisit", 9), 2: ("revisit", 9), 3: ("revisit", 4)}
-    assert len(rows) == 8  # a page that repeats is one capture
+
+
+def test_every_row_is_a_capture(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PER_FILE", ((2, 2), (100, 1), (None, 1)))
+    more = [*PAGES, (11, "http://d", "own"), (None, "http://c", "own"), (None, "http://c", "own"), (None, None, "no id"), (12, "http://c", "x" * 50)]
+    pages = pages_of(spark, more).selectExpr("*", "map(1, 2) as digest", "3 as first", "4 as copies", "'a' as `o``dd`")
+    got = warc.capture_digests(pages).toPandas()
+    con = duckdb.connect()
+    con.register("pages", pages_of(spark, more).toPandas().astype({"page_id": "Int64"}))
+    want = con.sql(warc.ORACLE).df()
+    rows = [sorted(map(repr, f[["page_id", "uri", "payload_bytes", "payload_digest", "record_type", "refers_to"]].astype(object).where(lambda x: x.notna(), None).values.tolist())) for f in (got.astype({"page_id": "Int64", "refers_to": "Int64"}), want.astype({"page_id": "Int64", "refers_to": "Int64"}))]
+    assert len(got) == len(more) and rows[0] == rows[1]
 
 
 def test_least_size_of_a_revisit(spark):
