@@ -239,7 +239,7 @@ def test_broken_archives():
 
 # --- URL rules ---
 
-URLS = [None, "", "x", "http://a.ORG/", "http://a.org", "https://u:p@b.Example.org/en/12?x", "x://example.org/es/#a", "http://Com/fr/a", "http://notcom/fr/", "http://a.com/de", "http://a.com/de/?q", "a://b://c.org/", "http://x.org\n/y", "http://x/" + "y/" * 20_000, "http://.org/", "HTTP://EXAMPLE.ORG/ES/"]
+URLS = [None, "", "x", "http://a.ORG/", "http://a.org", "https://u:p@b.Example.org/en/12?x", "x://example.org/es/#a", "http://Com/fr/a", "http://notcom/fr/", "http://a.com/de", "http://a.com/de/?q", "a://b://c.org/", "http://x.org\n/y", "http://x/" + "y/" * 20_000, "http://.org/", "HTTP://EXAMPLE.ORG/ES/", "http://a\nb.org/", "http://x.org\n", "http://org/x\ny", "http://a.b\\Ec.net/q"]
 
 
 @pytest.mark.parametrize("more", [0, 40])
@@ -256,6 +256,25 @@ def test_verdicts(spark, more):
     assert set(url_rules.judge_urls(pages, []).toPandas().verdict) == {"allow"}
 
 
+def test_many_rules(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url")
+    hosts = [r.host for r in pages.select(url_rules.split_url()[0].alias("host")).distinct().collect()]
+    rules = [*url_rules.RULES, *[("block", h, f"/{w}/{i}") for i, h in enumerate(hosts[:500]) for w in ("en", "de", "es", "fr")], *[("block", f"sub{i}.nowhere{i % 97}.net", f"/a{i}/") for i in range(20_000)]]
+    got = url_rules.judge_urls(pages, spark.createDataFrame(rules, "verdict string, host string, path string"))
+    assert "Python" not in got._jdf.queryExecution().toString() and "ArrowEval" not in got._jdf.queryExecution().toString()
+    split = [(r.page_id, r.host, r.path) for r in pages.select("page_id", *[c.alias(n) for c, n in zip(url_rules.split_url(), ("host", "path"), strict=True)]).collect()]
+    by_end = {}
+    for verdict, host, path in rules:
+        by_end.setdefault(host, []).append((len(host + path), host + path, verdict, path))
+    want = {}
+    for key, host, path in split:
+        labels = host.split(".")
+        found = [x for i in range(len(labels)) for x in by_end.get(".".join(labels[i:]), []) if path.startswith(x[3])]
+        best = max(found, default=(0, None, "allow"))
+        want[key] = (best[1], best[2])
+    assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == want
+
+
 # --- main text ---
 
 
