@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.session import keep
+from flowloom.session import forget, keep
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One contraction: ``small`` links smaller neighbours, else larger ones, to the least."""
+def _star(edges: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """One contraction: ``small`` links smaller neighbours, else larger ones, to the least;
+    also the table of the least, which is to go afterwards."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # written, so that both sides of the join are plain shuffles and a hub's can be split
     least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
@@ -23,10 +24,10 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v").distinct(), least
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(u, v): each node that has an edge, but the least of its component, with that least.
 
     ``edges`` has two columns of one ordered type, u and v; their direction, repeats and
@@ -36,11 +37,14 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = edges.dropna().select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = keep(now, "edges")
     seen = None
-    for _ in range(rounds):
+    while True:  # each round shortens all paths, so their number grows with the logarithm of the longest
         # after a small star each edge leads down, which is what the next round takes
-        now = keep(_star(_star(now, small=False), small=True), "edges")
+        large, first = _star(now, small=False)
+        small, second = _star(large, small=True)
+        then = keep(small, "edges")
+        forget(now, first, second)
+        now = then
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == seen:
             return now
         seen = sums
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

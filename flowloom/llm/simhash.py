@@ -1,37 +1,46 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A fingerprint is cut into three blocks; if two fingerprints differ in at most four
-bits, some block differs in at most one. In each block the anchors are the words of a
-covering code: the perfect Hamming code of length 15 (covering radius 1) next to the
-block's other bits as they are. A fingerprint goes to every anchor within the radius
-plus the threshold, 1 + 1 bits, of its block. Of two that differ in one bit there, the
-nearest anchor of either is within two bits of the other, so they meet at an anchor.
-At the anchors whole fingerprints are compared, so the result is exact.
+A fingerprint is cut into blocks; if two fingerprints differ in at most four bits, some
+block differs in few. In each block the anchors are the words of a covering code: a perfect
+Hamming code (covering radius 1) next to the block's other bits as they are. A fingerprint
+goes to every anchor within the radius plus what a block may differ in. Of two that differ
+no more there, the nearest anchor of either is so near to the other that they meet at an
+anchor. At the anchors whole fingerprints are compared, so the result is exact.
+
+There are two layouts. Three blocks, of which one differs in at most one bit, with a code of
+length 15 send a fingerprint to 45 anchors of 2^17 or 2^18 a block. Two blocks, of which one
+differs in at most two bits, with a code of length 31 send it to up to 343 anchors of 2^27 a
+block, so that an anchor has some hundred times fewer rows. The number of distinct
+fingerprints, which is counted, tells which is less work; both give all links.
 
 Equal fingerprints are one from the start. An anchor reports its links as a forest, not
 as all pairs, and an anchor with more rows than ``CHUNK`` is cut into chunks that are
 compared two at a time in different tasks.
 
-Null and blank texts have fingerprint zero and link like any other. Repeated rows stay.
+Null and blank texts have fingerprint zero and link like any other. Repeated rows stay, each
+with its row. An empty table gives no rows. A long text is taken whole. Only the key and the
+computed columns are returned, so other columns, whatever their names, are not in the way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.batches import add_columns, map_batches, slices, utf8
+from flowloom.llm.batches import add_columns, map_batches, quoted, slices, utf8
 from flowloom.llm.components import connected
-from flowloom.session import keep
+from flowloom.session import forget, keep
 
 BITS, THRESHOLD = 64, 4
-#: First bit and width of each block.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: Length and radius of the perfect code that covers a block's low bits.
-CODE, RADIUS = 15, 1
+#: The covering radius of the codes, and what moving a row to an anchor costs in comparisons there.
+RADIUS, MOVE = 1, 1_000
 #: Rows of one anchor that a task takes at once.
 CHUNK = 8_192
 #: Groups of at most this size are compared many at a time.
@@ -81,48 +90,64 @@ def with_simhash(df: DataFrame, text: str = "text", size: int = 4) -> DataFrame:
     return add_columns(df, [text], "fingerprint long", run)
 
 
-def _syndromes() -> np.ndarray:
-    """Of every word of CODE bits: the exclusive or of the numbers (from 1) of its set bits."""
-    words = np.arange(1 << CODE)
-    out = np.zeros(1 << CODE, np.int64)
-    for bit in range(CODE):
-        out ^= np.where(words >> bit & 1, bit + 1, 0)
-    return out
+@dataclass(frozen=True)
+class Layout:
+    """First bit and width of each block, and the length of the code over its low bits."""
 
+    blocks: tuple[tuple[int, int], ...]
+    code: int
 
-def _patterns(width: int) -> list[np.ndarray]:
-    """For each syndrome the bit patterns of weight up to RADIUS + 1 that lead to an anchor."""
-    reach = RADIUS + THRESHOLD // len(BLOCKS)
-    syndrome = _syndromes()
-    weight = np.bitwise_count(np.arange(1 << CODE))
-    rest = np.arange(1 << (width - CODE))
-    rest_weight = np.bitwise_count(rest)
-    out = []
-    for s in range(CODE + 1):
-        low = np.flatnonzero((syndrome == s) & (weight <= reach))
-        out.append(np.concatenate([low[i] | rest[rest_weight <= reach - int(weight[low[i]])] << CODE for i in range(len(low))]))
-    return out
+    @property
+    def reach(self) -> int:
+        """Bits to the farthest anchor of a block: of some block not more than an even share differ."""
+        return RADIUS + THRESHOLD // len(self.blocks)
 
+    def syndrome(self, values: np.ndarray) -> np.ndarray:
+        """The exclusive or of the numbers (from 1) of the set bits that the code covers; 0 in its words."""
+        out = np.zeros(len(values), np.int64)
+        for bit in range(self.code):
+            out ^= (values >> bit & 1) * (bit + 1)
+        return out
 
-def anchors_of(prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def patterns(self, width: int) -> list[np.ndarray]:
+        """For each syndrome the bit patterns within reach that lead to an anchor."""
+        found: list[list[int]] = [[] for _ in range(self.code + 1)]
+        for weight in range(self.reach + 1):
+            for bits in combinations(range(width), weight):
+                found[reduce(xor, (b + 1 for b in bits if b < self.code), 0)].append(sum(1 << b for b in bits))
+        return [np.array(x, np.int64) for x in found]
+
+    def work(self, prints: int) -> float:
+        """About how many comparisons the links of so many fingerprints take, moves included."""
+        total = 0.0
+        for _, width in self.blocks:
+            copies = max(map(len, self.patterns(width)))
+            total += prints * copies * (MOVE + prints * copies / 2 ** (width - self.code.bit_length()) / 2)
+        return total
+
+
+LAYOUTS = (Layout(((0, 22), (22, 21), (43, 21)), 15), Layout(((0, 32), (32, 32)), 31))
+
+
+def anchors_of(prints: np.ndarray, layout: Layout = LAYOUTS[0]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(block, anchor, row) of all anchors that each fingerprint goes to."""
-    syndrome = _syndromes()
-    for number, (first, width) in enumerate(BLOCKS):
+    for number, (first, width) in enumerate(layout.blocks):
         part = prints.view(np.uint64) >> np.uint64(first) & np.uint64((1 << width) - 1)
         part = part.astype(np.int64)
-        of = syndrome[part & ((1 << CODE) - 1)]
-        for s, flips in enumerate(_patterns(width)):
+        of = layout.syndrome(part)
+        for s, flips in enumerate(layout.patterns(width)):
             rows = np.flatnonzero(of == s)
-            yield number, (part[rows, None] ^ flips).ravel(), np.repeat(rows, len(flips))
+            for some in np.array_split(rows, max(1, len(rows) * len(flips) // 200_000)):
+                yield number, (part[some, None] ^ flips).ravel(), np.repeat(some, len(flips))
 
 
-def _dealt(prints: DataFrame) -> DataFrame:
+def _dealt(prints: DataFrame, layout: Layout) -> DataFrame:
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
         for (values,) in batches:
             numbers = values.to_numpy(zero_copy_only=False)
-            for block, anchor, rows in anchors_of(numbers):
-                for i in range(0, len(rows), 100_000):
-                    yield [(anchor[i : i + 100_000] << 2 | block), numbers[rows[i : i + 100_000]]]
+            for block, anchor, rows in anchors_of(numbers, layout):
+                if len(rows):
+                    yield [anchor << 2 | block, numbers[rows]]
 
     return map_batches(prints, ["fingerprint"], "anchor long, fingerprint long", run)
 
@@ -168,9 +193,12 @@ def links_in_groups(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, layout: Layout | None = None) -> DataFrame:
     """(u, v) links of distinct fingerprints; all within THRESHOLD bits, or of one group that is joined by such."""
-    dealt = _dealt(prints)
+    if layout is None:
+        n = prints.count()
+        layout = min(LAYOUTS, key=lambda x: x.work(n))
+    dealt = _dealt(prints, layout)
     crowded = keep(dealt.groupBy("anchor").count().where(F.col("count") > CHUNK).select("anchor", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "crowded")
     dealt = dealt.join(crowded, "anchor", "left")
     own = F.pmod(F.xxhash64("fingerprint"), F.col("chunks"))
@@ -201,10 +229,13 @@ def near_duplicate_groups(df: DataFrame, key: str = "doc_id", text: str = "text"
     component_id is the least key reachable over links, the row's own included; keys may
     repeat, and a null key is never the least unless its whole group has no other.
     """
-    marked = keep(with_simhash(df.select(F.col(f"`{key}`").alias("__key__"), F.col(f"`{text}`").alias("__text__")), "__text__", size).select("__key__", "fingerprint"), "simhash")
-    prints = keep(marked.groupBy("fingerprint").agg(F.min("__key__").alias("first")), "prints")
-    roots = connected(links(prints.select("fingerprint"))).select(F.col("u").alias("fingerprint"), F.col("v").alias("root"))
+    asked = df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
+    marked = keep(with_simhash(asked, "text", size).select("key", "fingerprint"), "simhash")
+    prints = keep(marked.groupBy("fingerprint").agg(F.min("key").alias("first")), "prints")
+    found = keep(links(prints.select("fingerprint")), "links")
+    roots = connected(found).select(F.col("u").alias("fingerprint"), F.col("v").alias("root"))
     grouped = prints.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     first = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = grouped.join(first, "root").select("fingerprint", "component_id")
-    return marked.join(of_print, "fingerprint").select(F.col("__key__").alias(key), "fingerprint", "component_id")
+    of_print = keep(grouped.join(first, "root").select("fingerprint", "component_id"), "groups")
+    forget(prints, found, roots)
+    return marked.join(of_print, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")

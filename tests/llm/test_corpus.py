@@ -48,7 +48,8 @@ def brute_components(keys, prints, most=4):
     return [min(groups[find(i)]) for i in range(len(keys))]
 
 
-def test_anchors_meet_within_four_bits():
+@pytest.mark.parametrize("layout", simhash.LAYOUTS)
+def test_anchors_meet_within_four_bits(layout):
     rng = np.random.default_rng(5)
     one = rng.integers(-(2**63), 2**63 - 1, 500)
     other = one.view(np.uint64).copy()
@@ -57,7 +58,7 @@ def test_anchors_meet_within_four_bits():
             other[i] ^= np.uint64(1) << np.uint64(b)
     sets = [[set() for _ in one], [set() for _ in one]]
     for k, values in enumerate((one, other.view(np.int64))):
-        for block, anchors, rows in anchors_of(values):
+        for block, anchors, rows in anchors_of(values, layout):
             for a, r in zip(anchors.tolist(), rows.tolist(), strict=True):
                 sets[k][r].add((block, a))
     assert all(a & b for a, b in zip(*sets, strict=True))
@@ -95,6 +96,30 @@ def test_simhash_of_documents(spark):
     assert [r.component_id for r in got] == brute_components([r.doc_id for r in got], prints)
 
 
+@pytest.mark.parametrize("layout", simhash.LAYOUTS)
+def test_links_of_each_layout(spark, layout):
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(2**63), 2**63 - 1, 60)
+    values = np.concatenate([base, *[base ^ np.bitwise_xor.reduce(np.int64(1) << rng.integers(0, 63, (k, 60)), axis=0) for k in (1, 2, 3, 4, 5, 6)]])
+    values = np.unique(values).tolist()
+    got = connected(simhash.links(spark.createDataFrame([(v,) for v in values], "fingerprint long"), layout)).collect()
+    root = {r.u: r.v for r in got}
+    want = brute_components(values, [v & (2**64 - 1) for v in values])
+    assert [root.get(v, v) for v in values] == want
+
+
+def test_layouts_by_number():
+    few, many = simhash.LAYOUTS
+    assert few.work(10**6) < many.work(10**6) and few.work(10**9) > many.work(10**9)
+
+
+def test_simhash_beside_columns_of_any_name(spark):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    odd = docs.selectExpr("doc_id as `a``b`", "text as key", "1 as fingerprint", "map(1, 2) as component_id", "3 as first")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(near_duplicate_groups(odd, "a`b", "key")) == rows(near_duplicate_groups(docs))
+
+
 def test_simhash_of_odd_rows(spark):
     rows = [(5, None), (3, ""), (9, " \t\n"), (1, "one two"), (2, "ONE  two"), (2, "ONE  two"), (7, "x " * 30_000), (8, "É é")]
     got = near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
