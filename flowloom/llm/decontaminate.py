@@ -14,6 +14,8 @@ scans are merged row by row.
 Null texts have no words. Items without words are in no document. Repeated rows each
 get their row; an item_id that repeats counts once. Items
 with a null item_id hit like all others; they count as one item, which has no name.
+An empty table of documents stays empty, an empty benchmark hits nothing. Long texts are
+scanned whole. Other columns stay, whatever their names; those named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.batches import add_columns, utf8
+from flowloom.llm.batches import add_columns, quoted, utf8
 from flowloom.session import keep
 
 WINDOW = 13
@@ -86,7 +88,7 @@ def benchmark_blocks(benchmark: DataFrame, item: str, text: str, size: int) -> I
     def block() -> list[tuple[str, list[str | None]]]:
         return [(w.decode("latin-1"), list(o)) for w, o in owners.items()]
 
-    rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.encode(F.col(f"`{text}`").cast("string"), "UTF-8").alias("t")).dropna(subset=["t"])
+    rows = benchmark.select(F.col(quoted(item)).cast("string").alias("i"), F.encode(F.col(quoted(text)).cast("string"), "UTF-8").alias("t")).dropna(subset=["t"])
     for row in rows.toLocalIterator():
         for w in windows_of(bytes(row.t), size):
             if w not in owners:
@@ -119,6 +121,7 @@ def mark_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     UTF-8, of the stretches of hit words.
     """
     names = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    carried = [f"{what}_{uuid.uuid4().hex}" for what in ("ranges", "items")]  # no column of df
     blocks = benchmark_blocks(benchmark, item, item_text, size)
     block, out = next(blocks), df
     done = 0
@@ -126,21 +129,22 @@ def mark_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
         if done and done % SCANS == 0:
             out = keep(out, "scanned")
         done += 1
-        out = _scan_block(out, text, block, out is not df, "__ranges array<struct<a:int,b:int>>, __items array<string>", None)
+        hand_on = f"{carried[0]} array<struct<a:int,b:int>>, {carried[1]} array<string>"
+        out = _scan_block(out, text, block, carried if out is not df else [], hand_on, None)
         block = following
-    out = _scan_block(out, text, block, out is not df, names + ", hits array<struct<start:int,end:int>>" * spans, spans)
-    return out.drop("__ranges", "__items")
+    out = _scan_block(out, text, block, carried if out is not df else [], names + ", hits array<struct<start:int,end:int>>" * spans, spans)
+    return out.drop(*carried)
 
 
-def _scan_block(df: DataFrame, text: str, block: list[tuple[str, list[str | None]]], more: bool, outputs: str, spans: bool | None) -> DataFrame:
-    """Scan with the automaton of one block. ``more``: the hits of earlier blocks are there.
+def _scan_block(df: DataFrame, text: str, block: list[tuple[str, list[str | None]]], earlier: list[str], outputs: str, spans: bool | None) -> DataFrame:
+    """Scan with the automaton of one block. ``earlier``: the columns of earlier blocks' hits.
     ``spans`` None: hand the hits on; else sum them up."""
     sent, key = df.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        for texts, *earlier in batches:
+        for texts, *found in batches:
             automaton = _automaton(key, sent.value)
-            old = [x.to_pylist() for x in earlier] or None
+            old = [x.to_pylist() for x in found] or None
             rows = []
             for i, raw in enumerate(utf8(texts)):
                 words = words_of(raw)
@@ -151,7 +155,6 @@ def _scan_block(df: DataFrame, text: str, block: list[tuple[str, list[str | None
                 rows.append(([{"a": a, "b": b} for a, b in ranges], list(items)) if spans is None else _sum_up(raw, words, ranges, items, spans))
             yield [list(c) for c in zip(*rows, strict=True)] if rows else _none(outputs)
 
-    earlier = ["__ranges", "__items"] if more else []
     return add_columns(df, [text, *earlier], outputs, run)
 
 

@@ -8,10 +8,14 @@ its training texts; a text gets the language whose prototype has the largest cos
 Letters are folded to lower case; whatever is not a letter is one boundary symbol, and
 a text has one at both ends. A null text, or one without a letter, is ``und`` with
 score 0, as is every text if nothing could be learned. Ties go to the name that sorts first.
+Repeated rows each get their row, and are learned from each. An empty table stays empty. Long
+texts are taken whole. Other columns stay, whatever their names; those named as an output are
+replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.batches import add_columns, map_batches, slices
+from flowloom.llm.batches import add_columns, map_batches, quoted, slices
 
 DIMENSIONS = 512
 N = 3
 #: n-grams of which a worker keeps the vectors (512 bytes each); beyond it starts afresh.
 KEPT = 30_000
-#: Languages that the prototypes may have: they are sent to every task, 4 KB each.
+#: Languages whose prototypes are sent to every task at once, 2 KB each; more take more scans.
 LANGUAGES = 4096
 
 
@@ -120,13 +124,10 @@ def learn_profiles(df: DataFrame, text: str = "text", label: str = "lang") -> di
         names = list(sums)
         yield [[x for x in names for _ in range(DIMENSIONS)], np.tile(np.arange(DIMENSIONS, dtype=np.int32), len(names)), np.concatenate([np.empty(0), *[np.rint(sums[x]) for x in names]]).astype(np.int64)]
 
-    parts = map_batches(df.where(F.col(f"`{label}`").isNotNull()), [text, label], "name string, place int, total long", run)
+    parts = map_batches(df.where(F.col(quoted(label)).isNotNull()), [text, label], "name string, place int, total long", run)
     whole = parts.groupBy("name", "place").agg(F.sum("total").alias("total")).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("place", "total")))["total"].alias("vector"))
-    rows = whole.orderBy("name").limit(LANGUAGES + 1).collect()
-    if len(rows) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} labels")
     out = {}
-    for row in rows:
+    for row in whole.orderBy("name").toLocalIterator():
         vector = np.array(row["vector"], np.float64)
         if (length := np.sqrt(vector @ vector)) > 0:
             out[row["name"]] = vector / length
@@ -136,6 +137,12 @@ def learn_profiles(df: DataFrame, text: str = "text", label: str = "lang") -> di
 def identify(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """``df`` with lang_pred and score (the cosine, 0 at least)."""
     names = sorted(profiles)
+    if len(names) > LANGUAGES:
+        left, right = (uuid.uuid4().hex for _ in range(2))
+        first = identify(df, {x: profiles[x] for x in names[:LANGUAGES]}, text)
+        both = identify(first.withColumnsRenamed({"lang_pred": left, "score": right}), {x: profiles[x] for x in names[LANGUAGES:]}, text)
+        better = (F.col("score") > F.col(right)) | (F.col(left) == "und")
+        return both.withColumns({"lang_pred": F.when(better, F.col("lang_pred")).otherwise(F.col(left)), "score": F.greatest("score", right)}).drop(left, right)
     matrix = np.array([profiles[x] for x in names], np.float32).reshape(len(names), DIMENSIONS)
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
@@ -160,10 +167,10 @@ def identify(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text")
 
 def held_out(key: str = "doc_id"):
     """Rows that are never learned from: crc32 of the key as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(F.col(quoted(key)).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train_and_identify(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """``df`` with held_out, lang_pred and score; learned from the rows that are not held out."""
-    profiles = learn_profiles(df.where(~held_out(key)).select(text, label), text, label)
+    profiles = learn_profiles(df.where(~held_out(key)).select(quoted(text), quoted(label)), text, label)
     return identify(df, profiles, text).withColumn("held_out", held_out(key))

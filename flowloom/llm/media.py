@@ -8,7 +8,9 @@ with zeros), finds the strongest
 bins of each window and pairs each peak with those of the next windows. A pair is one
 number: the time, the two bins and the distance in time.
 
-A null text counts as empty: 64 zero bytes, no peaks. Equal texts give equal values.
+A null text counts as empty: 64 zero bytes, no peaks. Equal texts give equal values, and
+repeated rows each get their row. An empty table stays empty. Long texts are taken whole.
+Other columns stay, whatever their names; those named as an output are replaced.
 """
 
 from __future__ import annotations

@@ -61,7 +61,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(to_media(_texts(spark, sf_dir)).drop("text"), codes=False).drop("media")
+    return media_features(to_media(_texts(spark, sf_dir)).drop("text")).drop("media")
 
 
 _ALL = (

@@ -9,7 +9,9 @@ left of a sequence is its token count.
 Merging all places of one pair together gives what merging them one by one gives,
 because a symbol made by a merge only takes part in pairs of higher rank.
 
-Null texts count as empty (0 bytes, 0 tokens). Repeated rows each get their row.
+Null texts count as empty (0 bytes, 0 tokens). Repeated rows each get their row. An empty
+table stays empty. Long texts are taken whole. Other columns stay, whatever their names;
+those named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.batches import add_columns, slices
+from flowloom.llm.batches import add_columns, quoted, slices
 from flowloom.llm.chunks import LONG, Recent, cut
 
 #: Pre-tokens, and pieces of text, of which a worker keeps the counts in each of two generations.
@@ -169,7 +171,7 @@ def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_
             yield [np.array(count([t or "" for t in texts.to_pylist()]), np.int64)]
 
     out = add_columns(df, [text], "n_tokens long", run)
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    size = F.coalesce(F.octet_length(quoted(text)), F.lit(0)).cast("long")
     kept = [c for c in out.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
-    return out.select(*[F.col(f"`{c}`") for c in kept], size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return out.select(*[F.col(quoted(c)) for c in kept], size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

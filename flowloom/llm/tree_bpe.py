@@ -15,7 +15,9 @@ encoding of the whole string.
 
 Decoding concatenates the tokens' bytes pairwise, up a balanced tree.
 
-Null texts count as empty: no ids, and the hashes of empty input.
+Null texts count as empty: no ids, and the hashes of empty input. Repeated rows each get their
+row. An empty table stays empty. Long texts are taken whole. Other columns stay, whatever
+their names; those named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.batches import add_columns
+from flowloom.llm.batches import add_columns, quoted
 from flowloom.llm.chunks import LONG, Recent, cut
 
 #: Pieces of text of which a worker keeps the ids in each of two generations.
@@ -239,5 +241,5 @@ def bpe_digests(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_m
 def round_trip(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``df`` whose text is not what its ids decode to (there are none)."""
     out = decode_bpe(encode_bpe(df, text))
-    return out.where(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary") != F.col("decoded"))
+    return out.where(F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary") != F.col("decoded"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from flowloom.llm import decontaminate, simhash
+from flowloom.llm import decontaminate, language_id, simhash
 from flowloom.llm.components import connected
 from flowloom.llm.decontaminate import mark_contamination
 from flowloom.llm.language_id import train_and_identify
@@ -230,6 +230,56 @@ def test_pipeline_against_brute_force(spark):
     assert out.columns == [*docs.columns, "ids", "n_tokens"] and all(len(r.ids) == r.n_tokens for r in got)
 
 
+def test_stages_keep_columns_of_any_name_and_kind(spark):
+    rows = [(1, "the cat sat on the mat", "en", {"a": 1}, None, 2), (1, "the cat sat on the mat", "en", {"a": 1}, 2, None), (2, "a dog ran out of the old house in the rain", "en", None, 1, 1), (None, None, None, None, None, None)]
+    kinds = "doc_id long, text string, lang string, `m``ap` map<string,int>, __key__ int, __ranges int"
+    docs = spark.createDataFrame(rows, kinds).selectExpr("*", "1 as __items", "array(2) as `x.y`", "3 as fingerprint", "4 as key", "5 as contaminated", "6 as LANG_PRED", "7 as component_id")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        left = sorted(str(r.doc_id) for r in out.collect())
+        assert left == {"language_id": ["1", "1", "2"], "simhash_dedup": ["1", "2", "None"]}.get(name, ["1", "1", "2", "None"])
+
+
+def test_benchmark_in_blocks_beside_columns_of_any_name(spark, monkeypatch):
+    monkeypatch.setattr("flowloom.llm.decontaminate.AUTOMATON_BYTES", 200)
+    docs = table(spark, SMALL, "documents").select("doc_id", "text").limit(50)
+    odd = docs.selectExpr("doc_id", "text as `t``x`", "1 as __ranges", "2 as __items", "3 as n_hit")
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "n_words", "n_hit", "items_sha256").collect()))
+    benchmark = table(spark, SMALL, "benchmark").limit(10)
+    got = mark_contamination(odd, benchmark, "t`x")
+    assert rows(got) == rows(mark_contamination(docs, benchmark)) and {"__ranges", "__items"} <= set(got.columns)
+
+
+def plain_vector(text):
+    """The bundle of a text's n-grams, each letter's vector rotated by its place and bound."""
+    m = language_id._memory()
+    keys, counts, _ = language_id.grams(text)
+    return sum(int(c) * m.bundle(np.array([k]), np.array([1])).astype(float) for k, c in zip(keys.tolist(), counts.tolist(), strict=True))
+
+
+def test_languages_by_a_plain_profile(spark):
+    rows = [(i, f"{w} the sea {i}", "en") for i, w in enumerate(("cat", "dog", "hen"))] + [(10 + i, f"{w} das Meer {i}", "de") for i, w in enumerate(("Hund", "Huhn", "Kuh"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in train_and_identify(docs).collect()}
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    sums = {}
+    for _, text, lang in learned:
+        sums[lang] = sums.get(lang, 0) + plain_vector(text)
+    for key, text, _ in rows:
+        v = plain_vector(text)
+        near = {x: float(v @ s / np.linalg.norm(v) / np.linalg.norm(s)) for x, s in sums.items()}
+        assert got[key].lang_pred == max(sorted(near), key=near.get)
+        assert got[key].score == pytest.approx(max(near.values()), abs=0.02)
+
+
+def test_equal_cosines_and_many_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "one text", "l%02d" % (i % 7)) for i in range(40)] + [(99, "", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in train_and_identify(docs).collect()} == {"l00", "und"}
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    assert {r.lang_pred for r in train_and_identify(docs).collect()} == {"l00", "und"}
+
+
 def test_stages_keep_columns_and_bear_odd_rows(spark):
     rows = [(1, "the cat sat on the mat", "en", "s", 22, 0.5, "mine"), (1, "the cat sat on the mat", "en", "s", 22, 0.5, "mine"), (2, None, None, None, None, None, None), (None, "a null id here", "en", "s", 3, None, "x"), (4, "THE CAT sat on the mat", "en", "s", 22, 0.1, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string")

@@ -407,6 +407,21 @@ def test_peaks_of_a_tone():
     assert ((pairs >> 10 & 255) == 20).any() and len(np.unique(pairs)) == len(pairs)
 
 
+def test_peak_pairs_by_hand():
+    payload = hashlib.sha256(b"noise").digest() * 40
+    x = np.frombuffer(payload, np.uint8).astype(float)
+    x = np.r_[x, np.zeros(-(len(x) - media.FRAME) % media.HOP)]
+    found = []
+    for t, begin in enumerate(range(0, len(x) - media.FRAME + 1, media.HOP)):
+        part = x[begin : begin + media.FRAME]
+        shape = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1))
+        power = np.abs(np.fft.rfft((part - part.mean()) * shape))
+        tops = [k for k in range(1, len(power) - 1) if power[k] > power[k - 1] and power[k] >= power[k + 1]]
+        found += [(t, k) for k in sorted(sorted(tops, key=lambda k: -power[k])[: media.PEAKS])]
+    want = {a << 18 | i << 10 | j << 2 | (b - a) for a, i in found for b, j in found if 1 <= b - a <= media.AHEAD}
+    assert set(media.fingerprint(payload).tolist()) == want
+
+
 @pytest.mark.parametrize("size", [320, 448])
 def test_the_last_bytes_are_in_a_window(size):
     payload = bytes(range(65, 91)) * 20
