@@ -156,7 +156,7 @@ def identify(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text")
                     scores.append(0.0)
                     continue
                 vector = memory.bundle(keys, counts)
-                near = matrix @ vector / max(float(np.sqrt(vector @ vector)), 1e-9)
+                near = np.round(matrix @ vector / max(float(np.sqrt(vector @ vector)), 1e-9), 5)  # what is closer is a tie
                 best = int(np.argmax(near))
                 predictions.append(names[best])
                 scores.append(min(1.0, max(0.0, float(near[best]))))
