@@ -143,7 +143,7 @@ def identify(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text")
         both = identify(first.withColumnsRenamed({"lang_pred": left, "score": right}), {x: profiles[x] for x in names[LANGUAGES:]}, text)
         better = (F.col("score") > F.col(right)) | (F.col(left) == "und")
         return both.withColumns({"lang_pred": F.when(better, F.col("lang_pred")).otherwise(F.col(left)), "score": F.greatest("score", right)}).drop(left, right)
-    matrix = np.array([profiles[x] for x in names], np.float32).reshape(len(names), DIMENSIONS)
+    matrix = np.array([profiles[x] for x in names], np.float64).reshape(len(names), DIMENSIONS)
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
         memory = _memory()
@@ -155,8 +155,8 @@ def identify(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text")
                     predictions.append("und")
                     scores.append(0.0)
                     continue
-                vector = memory.bundle(keys, counts)
-                near = np.round(matrix @ vector / max(float(np.sqrt(vector @ vector)), 1e-9), 5)  # what is closer is a tie
+                vector = memory.bundle(keys, counts).astype(np.float64)
+                near = np.round(matrix @ vector / max(float(np.sqrt(vector @ vector)), 1e-9), 9)  # what is closer is a tie
                 best = int(np.argmax(near))
                 predictions.append(names[best])
                 scores.append(min(1.0, max(0.0, float(near[best]))))

@@ -59,7 +59,7 @@ RUN_BYTES, AT_ONCE = 4 << 20, 100_000
 #: Bytes of text whose n-grams are added up together.
 RANGE_BYTES = 8 << 20
 #: Bytes of text whose n-grams meet their weights together.
-WEIGH_BYTES = 64 << 20
+WEIGH_BYTES = 32 << 20
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -198,7 +198,7 @@ def counted(texts: DataFrame, text: str, grams_of: Callable[[Symbols], Iterator[
             yield from total()
 
     dealt = map_batches(texts, [text], "size byte, at long, block binary", deal)
-    dealt = dealt.repartition("size", "at").sortWithinPartitions("size", "at")
+    dealt = dealt.repartition(2 << bits, "size", "at").sortWithinPartitions("size", "at")
     return map_batches(dealt, ["size", "at", "block"], "size byte, a long, b long, n long", add)
 
 
