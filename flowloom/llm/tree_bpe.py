@@ -184,17 +184,21 @@ def _coder(path: str):
     return encode, tree.decode
 
 
-def encode_bpe(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    """``df`` with the column ids array<int>; special tokens are ordinary text."""
+def encode_bpe(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken", check: bool = False) -> DataFrame:
+    """``df`` with the column ids array<int>; special tokens are ordinary text. With ``check``
+    the ids are decoded again, and should they not give the text, the task fails."""
 
     def run(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
         import public_tokenizers
 
-        encode, _ = _coder(public_tokenizers.path(vocabulary))
+        encode, decode = _coder(public_tokenizers.path(vocabulary))
         for (texts,) in batches:
             ids, ends = array("I"), array("i", [0])
             for t in texts.to_pylist():
-                ids.extend(encode(t or ""))
+                own = encode(t or "")
+                if check and decode(own) != (t or "").encode():
+                    raise ValueError(f"token ids do not decode to their text: {(t or '')[:40]!r}")
+                ids.extend(own)
                 ends.append(len(ids))
             yield [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))]
 
