@@ -17,7 +17,7 @@ from flowloom.llm.decontaminate import mark_contamination
 from flowloom.llm.language_id import train_and_identify
 from flowloom.llm.simhash import near_duplicate_groups
 from flowloom.llm.batches import quoted
-from flowloom.llm.tree_bpe import decode_bpe, encode_bpe
+from flowloom.llm.tree_bpe import encode_bpe
 from flowloom.session import keep, table
 
 
@@ -57,12 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids and the number of these. The ids are decoded again:
     should they not give a document's text, the stage fails. A null text has no ids."""
-    inner = {c: f"own_{i}_{uuid4().hex}" for i, c in enumerate(docs.columns) if c.lower() in ("ids", "n_tokens", "decoded")}
-    out = decode_bpe(encode_bpe(docs.withColumnsRenamed(inner)))
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    size = F.when(same, F.size("ids")).otherwise(F.raise_error(F.lit("token ids do not decode to their text"))).cast("long")
-    kept = [F.col(quoted(inner.get(c, c))).alias(c) for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
-    return out.select(*kept, "ids", size.alias("n_tokens"))
+    return encode_bpe(docs, check=True).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
