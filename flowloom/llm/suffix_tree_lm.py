@@ -56,10 +56,12 @@ SECOND = 32
 END = b"\n"
 #: Bytes of text that a task takes at once, and rows that it hands on at once.
 RUN_BYTES, AT_ONCE = 4 << 20, 100_000
+#: Bytes of text that are scored at once.
+SCORE_BYTES = 1 << 20
 #: Bytes of text whose n-grams are added up together.
 RANGE_BYTES = 8 << 20
 #: Bytes of text whose n-grams meet their weights together.
-WEIGH_BYTES = 32 << 20
+WEIGH_BYTES = 16 << 20
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -120,12 +122,12 @@ def symbols(texts: pa.Array) -> Symbols:
     return Symbols(codes[:, 1].copy(), codes[:, 0] | np.uint64(1), ids, np.repeat(np.arange(len(texts)), sizes), starts)
 
 
-def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Where runs of texts of about ``RUN_BYTES`` begin and end; a longer text is alone."""
+def runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """Where runs of texts of about ``most`` bytes begin and end; a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
     for i, size in enumerate(sizes.tolist()):
-        if i > begin and total + size > RUN_BYTES:
+        if i > begin and total + size > most:
             yield begin, i
             begin, total = i, 0
         total += size
@@ -339,15 +341,18 @@ def _slots(hot: pa.Table, floor: float) -> tuple[np.ndarray, ...]:
     return slots, np.r_[g, np.uint64(0)], np.r_[h, np.uint64(2)], np.r_[words > 0, False], np.r_[root, 0.0], np.r_[hot["w_sum"].to_numpy(), 0.0]
 
 
-#: What is known of a text, as far as one place knows it: its tokens are told once.
-_SUMS = "k:long,tokens:long,known:long,base:double,score:double"
+#: What is known of a text before its n-grams that are not hot have met their weights.
+_TOLD = "tokens:long,known:long,base:double,score:double"
 
 
 def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     The n-grams of a run of texts that are not hot meet their weights by ranges of hashes,
-    like those that are counted; what a range knows of a text is added to what others know.
+    like those that are counted. A range tells a run the sums of those of its texts that have
+    n-grams there, so what is moved is bounded by the n-grams; a run adds the ranges' sums up.
+    A run is known by its content, and rows are to come in the same order if read again, as
+    they do from files.
     """
     docs = df.select(F.col(quoted(key)).alias("id"), F.col(quoted(text)).alias("text"))
     training = docs.where(F.col("id").isNotNull() & ~held_out("id"))
@@ -357,17 +362,21 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
     bits = max(0, (max(room, 1) - 1) // WEIGH_BYTES).bit_length()
     sent = docs.sparkSession.sparkContext.broadcast((*hot, bitmap(table.where("h = 0"))))
     kind = docs.schema["id"].dataType
-    sums = f"struct<id:{kind.simpleString()},{_SUMS}>"
+    told = f"array<struct<id:{kind.simpleString()},{_TOLD}>>"
+    told_type = to_arrow_type(StructType.fromDDL(f"docs {told}")["docs"].dataType)
     never = float(np.log10(ALPHA / (floor or 1.0)))
 
     def deal(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
+        from xxhash import xxh3_128_digest
+
         slots, codes, high, is_word, root, weight, known_grams = sent.value
         mask = np.uint64(len(slots) - 1)
         for keys, idents, values in batches:
-            for begin, end in runs(values):
+            for begin, end in runs(values, SCORE_BYTES):
                 some = symbols(values.slice(begin, end - begin))
                 owner, grams = some.owner, some.low[some.ids]
                 texts = end - begin
+                run = xxh3_128_digest(keys.slice(begin, texts).to_numpy().tobytes() + grams.tobytes())
                 known, base, score = (np.zeros(texts) for _ in range(3))
                 rows = []
                 for size in range(1, depth + 2):
@@ -392,15 +401,14 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
                     rows.append((g[~here], h[~here], of[~here].astype(np.uint32)))
                 words, others = rows[0], [np.concatenate(x) for x in zip(*rows[1:], strict=True)]
                 sizes = np.bincount(owner, minlength=texts) - 1
-                ident, mark = idents.slice(begin, texts).to_pylist(), keys.slice(begin, texts).to_pylist()
-                told = [dict(id=i, k=k, tokens=t, known=int(n), base=b, score=b + s) for i, k, t, n, b, s in zip(ident, mark, *(x.tolist() for x in (sizes, known, base, score)), strict=True)]
-                bare = [dict(id=i, k=k, tokens=None, known=0, base=0.0, score=0.0) for i, k in zip(ident, mark, strict=True)]
-                one = {at: block for at, block in _ranged(bits, *words)}
-                two = {at: block for at, block in _ranged(bits, others[0], others[2])}
+                ident = idents.slice(begin, texts).to_pylist()
+                own = [dict(id=i, tokens=t, known=int(n), base=b, score=b + s) for i, t, n, b, s in zip(ident, *(x.tolist() for x in (sizes, known, base, score)), strict=True)]
+                one = dict(_ranged(bits, *words))
+                two = dict(_ranged(bits, others[0], others[2]))
                 # the texts themselves go to some range
-                first = mark[0] & (1 << bits) - 1
+                first = int.from_bytes(run[:8], "big") & (1 << bits) - 1
                 ranges = sorted({first, *one, *two})
-                yield [ranges, [one.get(at, b"") for at in ranges], [two.get(at, b"") for at in ranges], pa.array([told if at == first else bare for at in ranges], docs_type)]
+                yield [[run] * len(ranges), ranges, [one.get(at, b"") for at in ranges], [two.get(at, b"") for at in ranges], pa.array([own if at == first else None for at in ranges], told_type)]
 
     def weigh(texts: pa.Table, weights: pa.Table) -> pa.Table:
         g, h, w = (weights[c].to_numpy().view(t) for c, t in (("g", np.uint64), ("h", np.uint64), ("w", np.float64)))
@@ -409,12 +417,12 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
         words = words[np.argsort(g[words])]
         codes, code = np.unique(g[others], return_inverse=True)
         weight = np.r_[np.bincount(code, w[others], len(codes)), 0.0]
-        found = []
-        for one, two, told in zip(texts["words"], texts["grams"], texts["docs"], strict=True):
-            told = told.values
-            size = len(told)
-            known, base, score = (told.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("known", "base", "score"))
+        sums = []
+        for one, two in zip(texts["words"], texts["grams"], strict=True):
             wanted, high, of = _unranged(one.as_py(), np.uint64, np.uint64, np.uint32)
+            grams, to = _unranged(two.as_py(), np.uint64, np.uint32)
+            some, at = np.unique(np.r_[of, to], return_inverse=True)
+            size, of, to = len(some), at[: len(of)], at[len(of) :]
             place = np.full(len(wanted), -1)
             at = np.searchsorted(g[words], wanted)
             while len(words):  # one step, but for words of which one hash is equal
@@ -427,38 +435,43 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
                 at[open_] += 1
             met = place >= 0
             root = np.where(met, np.log10((n[place] + ALPHA) / (floor or 1.0)) if len(n) else never, never)
+            known, base, score = (np.zeros(size) for _ in range(3))
             known += np.bincount(of[met], n[place[met]] > 0, size)
             base += np.bincount(of, root, size)
             score += np.bincount(of, root + (np.where(met, w[place], 0.0) if len(w) else 0.0), size)
-            wanted, to = _unranged(two.as_py(), np.uint64, np.uint32)
             if len(codes):
-                at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
-                score += np.bincount(to, weight[np.where(codes[at] == wanted, at, len(codes))], size)
-            tokens = told.field("tokens")
-            full = np.bincount(of, minlength=size) + np.bincount(to, minlength=size) > 0
-            full = pa.array(full | tokens.is_valid().to_numpy(zero_copy_only=False))
-            columns = [told.field("id"), told.field("k"), tokens, pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
-            found.append(pa.Table.from_arrays(columns, names).filter(full))
-        return pa.concat_tables(found) if found else pa.Table.from_arrays([pa.nulls(0, t) for t in kinds], names)
-
-    docs_type = to_arrow_type(StructType.fromDDL(f"docs array<{sums}>")["docs"].dataType)
-    told = StructType.fromDDL(f"id {kind.simpleString()}, k long, tokens long, known long, base double, score double")
-    names, kinds = told.names, [to_arrow_type(f.dataType) for f in told]
-    dealt = map_batches(docs.select(F.xxhash64("text").alias("k"), "id", "text"), ["k", "id", "text"], f"at long, words binary, grams binary, docs array<{sums}>", deal)
+                at = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
+                score += np.bincount(to, weight[np.where(codes[at] == grams, at, len(codes))], size)
+            sums.append(b"".join(x.tobytes() for x in (some.astype(np.uint32), known.astype(np.uint32), base, score)))
+        return pa.Table.from_arrays([texts["run"], texts["docs"], pa.array(sums, pa.binary())], ["run", "docs", "sums"])
+
+    def finish(parts: pa.Table) -> pa.Table:
+        own = parts["docs"].drop_null()
+        copies = len(own)  # runs of equal content are copies of each other
+        own = own[0].values
+        known, base, score = (np.zeros(len(own)) for _ in range(3))
+        for block in parts["sums"]:
+            some, *told = _unranged(block.as_py(), np.uint32, np.uint32, np.float64, np.float64)
+            for to, x in zip((known, base, score), told, strict=True):
+                to[some] += x / copies
+        known, base, score = (own.field(c).to_numpy() + x for c, x in (("known", known), ("base", base), ("score", score)))
+        out = pa.Table.from_arrays([own.field("id"), own.field("tokens"), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(score)], names)
+        return pa.concat_tables([out] * copies)
+
+    names = ["id", "n_tokens", "n_known", "base_score", "score"]
+    dealt = map_batches(docs.select(F.xxhash64("id", "text").alias("k"), "id", "text"), ["k", "id", "text"], f"run binary, at long, words binary, grams binary, docs {told}", deal)
     place = F.shiftrightunsigned("g", 64 - bits) if bits else F.lit(0).cast("long")
     weights = table.select(place.alias("at"), "g", "h", "words", "w")
-    parts = dealt.groupBy("at").cogroup(weights.groupBy("at")).applyInArrow(weigh, told)
-    # rows of one id and text are copies of each other
-    sums = parts.groupBy("id", "k").agg(F.count("tokens").alias("copies"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("sum"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    return sums.select("*", copies).select(
+    parts = dealt.groupBy("at").cogroup(weights.groupBy("at")).applyInArrow(weigh, f"run binary, docs {told}, sums binary")
+    sums = parts.groupBy("run").applyInArrow(finish, f"id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    return sums.select(
         F.col("id").alias(key),
         held_out("id").alias("held_out"),
         "n_tokens",
-        (F.col("known") / F.col("copies")).cast("long").alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies")).alias("base_score"),
-        (F.col("sum") / F.col("copies")).alias("score"),
+        "base_score",
+        "score",
     )
 
 
