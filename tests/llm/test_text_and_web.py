@@ -152,6 +152,16 @@ def test_scores_beside_columns_of_any_name(spark):
     assert {r[0]: r.score for r in got.collect()} == pytest.approx(want)
 
 
+def test_runs_of_equal_content_are_each_scored(spark, monkeypatch):
+    rows = [(1, "a b a b")] * 4 + [(2, "a b"), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(lm, "SCORE_BYTES", 1)  # a run for each text
+    got = score_texts(docs).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((k, len((t or "").split()) + 1) for k, t in rows)
+    check_scores([type(r)(**r.asDict(), text=dict(rows)[r.doc_id]) for r in got])
+    assert len({r.score for r in got if r.doc_id == 1}) == 1
+
+
 def test_contexts_of_three_words_are_learned(spark):
     rows = [(i, ("a x y p", "b x y q", "k n s", "l n t")[i % 4]) for i in range(1, 400)]
     asked = [(1004, "a x y p"), (1010, "a x y q"), (1018, "b x y q"), (1019, "b x y p")]  # held out
