@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import decontaminate, url_rules, warc
+from flowloom.llm import decontaminate, merkle, mixing, periodic_runs, url_rules, warc
 from flowloom.llm.decontaminate import mark_contamination
 from flowloom.llm.language_id import train_and_identify
 from flowloom.llm.main_text import extract_main_text
@@ -64,6 +64,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(to_media(_texts(spark, sf_dir)).drop("text")).drop("media")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_words(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir)
+    texts = texts.withColumn("text", periodic_runs.planted(F.col("text"), F.col("doc_id")))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(texts, with_texts=False))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), changes={"text": merkle.tampered_text()})
+
+
 _ALL = (
     op1_token_counts,
     op2_byte_bpe,
@@ -75,6 +89,9 @@ _ALL = (
     op8_language_id,
     op9_decontamination,
     op10_media,
+    op11_mixing,
+    op12_periodic_runs,
+    op13_merkle,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -83,4 +100,6 @@ ORACLES: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op6_url_filters": url_rules.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
+    "op11_mixing": mixing.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }

@@ -18,6 +18,9 @@ COLUMNS = {
     "op8_language_id": "doc_id held_out lang_pred score",
     "op9_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op10_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+    "op11_mixing": "doc_id size source_size target taken",
+    "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
