@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -25,14 +27,21 @@ def feature_vector(features: Column, names: list[str], fallback: Column | None =
     is replaced by ``fallback`` (a flow that is flat instead of nested).
     """
     source = features if fallback is None else F.coalesce(features, fallback)
-    entries = F.transform(F.coalesce(F.map_entries(source), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(normal_key(e["key"]).alias("key"), e["value"].alias("value")))
+    entries = F.reverse(F.coalesce(F.map_entries(source), F.array().cast("array<struct<key:string,value:string>>")))
+    plain = [name.lower().translate(str.maketrans("", "", " _/-")) for name in names]
+    # keys and numbers are made once for all names; of equal keys the last one comes first
+    rows = F.struct(F.transform(entries, lambda e: normal_key(e["key"])).alias("keys"), F.transform(entries, lambda e: tolerant_number(e["value"])).alias("numbers"))
+
+    def look_up(r: Column) -> Column:
+        place = lambda n: F.array_position(r["keys"], n).cast("int") - 1
+        return F.array(*[F.coalesce(F.get(r["numbers"], place(n)), F.lit(0.0)).cast("float") for n in plain])
+
+    return bound(rows, look_up)
 
-    def of(rows: Column, name: str) -> Column:
-        plain = name.lower().translate(str.maketrans("", "", " _/-"))
-        return tolerant_number(F.try_element_at(F.filter(rows, lambda e: e["key"] == plain), F.lit(-1))["value"]).cast("float")
 
-    # the one element of an array binds the entries, which are so made once for all names
-    return F.get(F.transform(F.array(entries), lambda rows: F.array(*[of(rows, n) for n in names])), 0)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once: the one element of an array binds it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def scaled(vector: Column, means: list[float], deviations: list[float]) -> Column:

@@ -200,6 +200,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("weight", F.sum("n").over(every) / (F.count("*").over(every) * F.col("n")))
 
 
+def weighted(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
+    """``df`` with the balanced weight of each row's class: a row for each class is joined."""
+    return df.join(class_weights(df, label).select(F.col(label).alias("__label"), F.col("weight").alias(name)), F.col(label).eqNullSafe(F.col("__label"))).drop("__label")
+
+
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Counts, and shares of each true class."""
     counts = df.groupBy(truth, predicted).agg(F.count("*").alias("n"))

@@ -67,14 +67,18 @@ def packet_filter(protocol: int | None = None, host: str | None = None, port: in
 FLOW_LINE = "flow_id string, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, start_time_us long, end_time_us long, features map<string,string>, interface string, net_interface string, __bad string"
 
 
-def parse_flow_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Flows from JSON lines, batch or stream. Lines that do not begin with a brace are
-    other output and go; a malformed one has only its text, in ``malformed``."""
+def parse_flow_lines(lines: DataFrame, line: str = "value", keep: list[str] | None = None, all_lines: bool = False) -> DataFrame:
+    """Flows from JSON lines, batch or stream, with the columns ``keep`` of ``lines``.
+
+    A malformed line has only its text, in ``malformed``. Lines that do not begin with a brace
+    are other output and go, or if ``all_lines`` are malformed too; so is a null line then.
+    """
     flow = F.from_json(line, FLOW_LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
-    rows = lines.where(F.ltrim(line).startswith("{")).select(flow.alias("f"))
+    begins = F.coalesce(F.ltrim(line).startswith("{"), F.lit(False))
+    rows = (lines if all_lines else lines.where(begins)).select(*(keep or []), flow.alias("f"), F.when(~begins, F.coalesce(line, F.lit(""))).alias("__other"))
     interface = F.coalesce(F.nullif("f.interface", F.lit("")), F.nullif("f.net_interface", F.lit("")))
     names = [x.split()[0] for x in FLOW_LINE.split(", ")][:9]
-    return rows.select(*[F.col(f"f.{n}").alias(n) for n in names], interface.alias("interface"), F.col("f.__bad").alias("malformed"))
+    return rows.select(*(keep or []), *[F.col(f"f.{n}").alias(n) for n in names], interface.alias("interface"), F.coalesce("__other", "f.__bad").alias("malformed"))
 
 
 def tail(lines: DataFrame, order: list[str], n: int, by: list[str] | None = None) -> DataFrame:
