@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +156,57 @@ def test_swapping_all_ends_only_changes_identities(spark):
     assert sum(r.packets for r in one) == len(packets)
 
 
+def split_walk(timeouts, rows):
+    """The rules followed packet by packet, with the state of one flow."""
+    session = first = last = flow = sender = closed = None
+    fins, out = set(), []
+    for number, packet_id, ts, from_a, fin, rst in rows:
+        over = number != session or ts - last > timeouts.idle or ts - first > timeouts.active
+        if over or (closed is not None and ts - closed > timeouts.closed):
+            session, flow, first, last, sender, closed, fins = number, packet_id, ts, ts, from_a, None, set()
+        last = max(last, ts)
+        if fin:
+            fins.add(from_a == sender)
+        if rst or len(fins) == 2:
+            closed = ts
+        out.append((flow, from_a == sender, closed))
+    return out
+
+
+def sorted_sessions(rng, late):
+    rows = []
+    for _ in range(rng.randint(1, 4)):
+        begin, ts = len(rows), rng.randint(0, 100)
+        for _ in range(rng.randint(1, 60)):
+            rows.append((begin, len(rows), ts - rng.randint(0, 9) * (late and rng.random() < 0.2), rng.random() < 0.6, rng.random() < 0.15, rng.random() < 0.08))
+            ts += rng.choice([0, 0, 1, 2, 5])
+    return rows
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_packets_that_are_split_together_are_those_of_the_walk(monkeypatch, late):
+    rng = random.Random(1)
+    for _ in range(500):
+        timeouts = Timeouts(idle=rng.choice([5, 20]), active=rng.choice([15, 40]), closed=rng.choice([0, 2, 6]))
+        rows = sorted_sessions(rng, late)
+        monkeypatch.setattr(ss, "CHUNK", rng.choice([1, 7, 1000]))
+        names = ["session", "pkt_id", "ts_us", "from_a", "fin", "rst"]
+        packets = pa.table({c: pa.array([r[i] for r in rows]) for i, c in enumerate(names)})
+        got = [row for b in ss._split(timeouts)(iter(packets.to_batches(max_chunksize=rng.choice([1, 5, 50])))) for row in zip(*[b.column(c).to_pylist() for c in ("flow", "is_fwd", "closed_us")])]
+        assert got == split_walk(timeouts, rows)
+
+
+def test_a_key_of_a_million_packets():
+    n = 1_000_000
+    ts = np.cumsum(np.random.default_rng(0).integers(0, 3, n))
+    fin, from_a = (np.random.default_rng(i).random(n) < share for i, share in ((1, 5e-4), (2, 0.5)))
+    none = np.zeros(n, bool)
+    timeouts = Timeouts(idle=10, active=2000, closed=5)
+    first, *_ = ss.split_flows(ts, from_a, fin, none, None, timeouts)
+    want = split_walk(timeouts, zip([0] * n, range(n), ts.tolist(), from_a.tolist(), fin.tolist(), none.tolist()))
+    assert first.tolist() == [f for f, _, _ in want] and len(set(first.tolist())) > 400
+
+
 def test_no_packets(spark):
     none = frame(spark, [packet(0)]).where("false")
     assert fx.flow_features(ss.exact_flows(none, T), T).count() == 0

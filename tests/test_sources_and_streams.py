@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from flowloom.functions.labels import class_label, class_number, severity
 from flowloom.functions.vectors import argmax, feature_vector, softmax
 from flowloom.operators import dashboard, ml, prep, store
-from flowloom.operators.sessions import Timeouts
+from flowloom.operators.bucket_store import BucketStore
+from flowloom.operators.sessions import Timeouts, exact_flows
 from flowloom.plans.service import Service
 from flowloom.session import table
 from flowloom.sources import files, packets as pk
 from flowloom.sources.synthetic import simulate
-from flowloom.streaming.flows import FlowStream, advance, upsert_batches
+from flowloom.streaming.flows import last_packet, stream_exact_flows, upsert_batches
 from flowloom.streaming.sinks import write_parquet
 from test_flows import SCHEMA, frame, random_packets
 
@@ -108,32 +109,47 @@ def test_filters(spark):
     assert count(dst_ip="H").total_flows == 2 and count(interface="eth0").total_flows == 1
 
 
-def test_stream_is_the_batch_and_bears_a_repeat(spark, tmp_path):
-    t = Timeouts()
-    rows = [(p[0], *p[1:]) for p in random_packets(5, 200)]
-    rows.sort()
+def run_stream(spark, folder, parts, timeouts):
+    """The parts as a stream that is started anew for each; the flows that have ended, by number."""
+    for i, part in enumerate(parts):
+        part.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        flows = stream_exact_flows(source, timeouts)
+        flows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+        yield spark.read.schema(flows.schema).parquet(f"{folder}/out")
+
+
+def test_a_stream_that_is_started_again_is_the_batch(spark, tmp_path):
+    t = Timeouts(idle=4_000_000, active=9_000_000, closed=300_000)
+    rows = sorted((p[0], *p[1:]) for p in random_packets(5, 300))
     packets = frame(spark, rows)
-    whole, _ = advance(packets, t, None)
-    stream = FlowStream(f"file://{tmp_path}/out", t)
-    for i in range(3):
-        packets.where(f"pkt_id % 200 >= {i * 70} and pkt_id < {i * 70 + 70}").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
-    stream.start(source).awaitTermination()
-    again = spark.read.schema(SCHEMA).parquet(f"file://{tmp_path}/in").where("pkt_id >= 140")
-    stream.take(again, 2)  # the last batch once more, as after a failure
-    stream.flush(spark, 2)
-    got = stream.finished(spark)
-    key = ["flow", "packets", "flow_duration", "flow_iat_max", "fin_flag_count", "total_tcp_flow_time"]
-    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, whole.select(*key).collect()))
+    key = ["pkt_id", "flow", "is_fwd", "closed_us", "tcp_flags"]
+    want = sorted((tuple(r) for r in exact_flows(packets, t).select(*key).collect()), key=repr)
+    parts = [packets.where(f"pkt_id >= {i * 100} and pkt_id < {i * 100 + 100}") for i in range(3)]
+    parts.append(last_packet(spark, max(r[0] for r in rows), t).select(*packets.columns))
+    counts = []
+    for out in run_stream(spark, f"file://{tmp_path}", parts, t):
+        counts.append(out.count())
+    assert sorted((tuple(r) for r in out.select(*key).collect()), key=repr) == want
+    assert 0 < counts[0] < 100 and counts == sorted(counts)  # open flows wait for later runs
+    assert len({r[1] for r in want}) > 10
+
+
+def test_no_packets_in_a_stream(spark, tmp_path):
+    t = Timeouts()
+    nothing = frame(spark, [])
+    (out,) = run_stream(spark, f"file://{tmp_path}", [nothing], t)
+    assert out.count() == 0
 
 
 def test_upserts_of_batches(spark, tmp_path):
-    take = upsert_batches(f"file://{tmp_path}/t")
+    store = BucketStore(f"file://{tmp_path}/t", "flow_id string, seq int, v string", buckets=4)
+    take = upsert_batches(store)
     take(spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "flow_id string, seq int, v string"), 0)
     second = spark.createDataFrame([("a", 3, "z"), ("a", 4, "w")], "flow_id string, seq int, v string")
     take(second, 1)
     take(second, 1)
-    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/t/version=1").collect())) == [("a", 4, "w"), ("b", 2, "y")]
+    assert sorted(map(tuple, store.read(spark).collect())) == [("a", 4, "w"), ("b", 2, "y")]
 
 
 def test_cleaning(spark):
