@@ -21,23 +21,32 @@ def as_vectors(df: DataFrame, vector: str, name: str = "features") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.col(vector).cast("array<double>")))
 
 
-def train_forest(df: DataFrame, label: str, features: str = "features", trees: int = 100, depth: int = 15, share: float = 0.3, seed: int = 42, weight: str | None = None) -> RandomForestClassificationModel:
+def train_forest(df: DataFrame, label: str, features: str = "features", trees: int = 100, depth: int = 15, share: float = 0.3, seed: int = 42, weight: str | None = None) -> RandomForestClassificationModel | None:
+    """A random forest; none without rows."""
+    if df.select(label).limit(1).count() == 0:
+        return None
     forest = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth, subsamplingRate=share, seed=seed)
     return (forest.setWeightCol(weight) if weight else forest).fit(df)
 
 
-def importances(spark: SparkSession, model: RandomForestClassificationModel) -> DataFrame:
-    """(place, importance) of each feature."""
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(model.featureImportances.toArray())], "place int, importance double")
+def importances(spark: SparkSession, model: RandomForestClassificationModel | None) -> DataFrame:
+    """(place, importance) of each feature; empty without a model."""
+    found = model.featureImportances.toArray() if model else []
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(found)], "place int, importance double")
 
 
-def predict(model: RandomForestClassificationModel, df: DataFrame) -> DataFrame:
-    """``df`` with probabilities array<double> and class_id."""
+def predict(model: RandomForestClassificationModel | None, df: DataFrame) -> DataFrame:
+    """``df`` with probabilities array<double> and class_id; both are null without a model."""
+    if model is None:
+        return df.withColumns({"probabilities": F.lit(None).cast("array<double>"), "class_id": F.lit(None).cast("int")})
     out = model.transform(df)
     return out.withColumns({"probabilities": vector_to_array("probability"), "class_id": F.col("prediction").cast("int")}).drop("probability", "rawPrediction", "prediction")
 
 
 def explained_variance(df: DataFrame, features: str = "features", k: int = 2) -> list[float]:
+    """Shares of the variance along the first principal axes; none without rows."""
+    if df.select(features).limit(1).count() == 0:
+        return []
     return [float(x) for x in PCA(k=k, inputCol=features, outputCol="__pca").fit(df).explainedVariance]
 
 

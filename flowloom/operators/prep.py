@@ -47,9 +47,9 @@ def drop_identifiers(df: DataFrame, names: set[str], label: str) -> DataFrame:
     return df.select(*[f.name for f in df.schema if f.name not in names and (f.name == label or not isinstance(f.dataType, T.StringType))])
 
 
-def narrow(df: DataFrame) -> DataFrame:
-    """Fractional columns as float, whole ones as int, others as they are."""
-    kind = lambda f: "float" if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else "int" if isinstance(f.dataType, T.IntegralType) else None
+def narrow(df: DataFrame, whole: str = "int") -> DataFrame:
+    """Fractional columns as float, whole ones as ``whole``, others as they are."""
+    kind = lambda f: "float" if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else whole if isinstance(f.dataType, T.IntegralType) else None
     return df.select(*[F.col(f.name).cast(k).alias(f.name) if (k := kind(f)) else F.col(f.name) for f in df.schema])
 
 
@@ -70,6 +70,30 @@ def cleaning_stats(before: DataFrame, after: DataFrame, part: str) -> DataFrame:
     return both.withColumns({"removed_rows": F.col("original_rows") - F.col("final_rows")})
 
 
+def file_statistics(rows: DataFrame, part: str, columns: list[str], needed: list[str]) -> DataFrame:
+    """For each part (a source file) its rows, those that stay if infinite and missing values of
+    ``needed`` columns that the part has make a row go, and how many of ``columns`` it has. One pass."""
+    clean = infinite_to_null(rows)
+    has = lambda c: F.max(F.col(c).isNotNull().cast("int"))
+    sums = clean.groupBy(part).agg(
+        F.count("*").alias("original_rows"), *[has(c).alias(f"__has_{c}") for c in columns],
+        *[F.count(c).alias(f"__with_{c}") for c in needed])
+    complete = F.least(F.col("original_rows"), *[F.when(F.col(f"__has_{c}") == 1, F.col(f"__with_{c}")).otherwise(F.col("original_rows")) for c in needed])
+    status = F.when(complete > 0, "success").otherwise("empty")
+    out = sums.select(part, status.alias("status"), "original_rows", complete.alias("final_rows"), sum((F.col(f"__has_{c}") for c in columns), F.lit(0)).cast("int").alias("columns"))
+    return out.withColumn("removed_rows", F.col("original_rows") - F.col("final_rows"))
+
+
+def column_counts(df: DataFrame) -> DataFrame:
+    """(column, n_unique, n_null) for each column, in one grouping of (column, value) pairs.
+
+    Values are compared as strings; a value of a hot column is one group, pre-aggregated.
+    """
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns]))
+    counts = df.select(pairs).groupBy("column", "v").agg(F.count("*").alias("n"))
+    return counts.groupBy("column").agg(F.count("v").alias("n_unique"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_null"))
+
+
 # --- labels and sampling ------------------------------------------------------
 
 
@@ -79,16 +103,24 @@ def distribution(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()), 2))
 
 
-def encode_labels(df: DataFrame, label: str, first: str = "Benign") -> DataFrame:
-    """``df`` with label_id: labels sorted, ``first`` before all others.
+def encode_labels(df: DataFrame, label: str, first: str | None = "Benign") -> DataFrame:
+    """``df`` with label_id: labels sorted, ``first`` before all others if there is such a name.
 
-    The numbers are made from the distinct labels, a small table, and joined.
+    The numbers are made from the distinct labels, a small table, and joined. A null label has none.
     """
     names = df.select(label).distinct().where(F.col(label).isNotNull())
-    order = W.partitionBy().orderBy(F.col(label) != first, label)
+    order = W.partitionBy().orderBy(*([F.col(label) != first] if first is not None else []), label)
     return df.join(names.withColumn("label_id", (F.row_number().over(order) - 1).cast("int")), label, "left")
 
 
+def encode_with(df: DataFrame, label: str, names: list[str], name: str = "label_id", strict: bool = True) -> DataFrame:
+    """``df`` with the place of each label in ``names``. An unknown or null label is an error if
+    ``strict``, as soon as its row is read; else it has no number."""
+    place = F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col(label)), F.lit(0)) - 1
+    wrong = F.raise_error(F.concat(F.lit("no number for label "), F.coalesce(F.col(label), F.lit("null"))))
+    return df.withColumn(name, (F.coalesce(place, wrong) if strict else place).cast("int"))
+
+
 def bucket(key: Column, of: int = 1000, factor: int = 7919) -> Column:
     """A number from 0 to of - 1 that depends on the key alone: sampling that can be repeated."""
     return F.pmod(key * factor, F.lit(of))
@@ -149,15 +181,19 @@ def moments(df: DataFrame, vector: str) -> DataFrame:
 
 
 def standardise(df: DataFrame, vector: str, name: str = "scaled") -> DataFrame:
-    """Each place less its mean, over its population deviation (1 where that is 0)."""
+    """Each place less its mean, over its population deviation (1 where that is 0). Without rows there is nothing to scale."""
     from flowloom.functions.vectors import scaled
 
     rows = moments(df, vector).orderBy("place").collect()  # one for each feature
+    if not rows:
+        return df.withColumn(name, F.col(vector).cast("array<double>"))
     return df.withColumn(name, scaled(F.col(vector), [r["mean"] for r in rows], [r["std"] for r in rows]))
 
 
 def correlated(df: DataFrame, vector: str, places_used: list[int], most: float = 0.95) -> list[int]:
-    """Places that correlate by more than ``most`` with one before them; the matrix is d x d."""
+    """Places that correlate by more than ``most`` with one before them; the matrix is d x d. None without rows."""
+    if df.select(vector).limit(1).count() == 0:
+        return []
     picked = F.transform(F.array(*map(F.lit, places_used)), lambda i: F.get(F.col(vector), i).cast("double"))
     matrix = Correlation.corr(df.select(array_to_vector(picked).alias("v")), "v").first()[0].toArray()
     return [places_used[j] for j in range(len(places_used)) if any(abs(matrix[i, j]) > most for i in range(j))]

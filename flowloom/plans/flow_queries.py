@@ -199,7 +199,7 @@ two as (select o.*, f.closed_us, lead(start_us) over (partition by o.key order b
 select flow, packets, next_us, case when next_us is null then 'flush' when closed_us is not null and next_us - closed_us > {T.closed} then 'closed'
   when next_us - end_us > {T.idle} then 'idle' else 'active' end as expire_reason from two""",
     **{name: _group_sql(columns) for name, columns in GROUPS.items()},
-    "flow_json": f"with {EXACT}, {FEATURES} select flow, flow_id, start_us as start_time_us, 38 as n_features, round(flow_duration, 2) as flow_duration, round(packet_length_mean, 4) as packet_length_mean from feats",
+    "flow_json": f"with {EXACT}, {FEATURES} select flow, flow_id, start_us as start_time_us, 38 as n_features, printf('%.2f', flow_duration)::double as flow_duration, printf('%.4f', packet_length_mean)::double as packet_length_mean from feats",
     "capture_counters": f"with {PACKETS} select count(*) as packets, sum(ip_len + 14)::bigint as bytes, count(*) filter (protocol = 6) as tcp, count(*) filter (protocol = 17) as udp, 0::bigint as non_ip, 0::bigint as other from packets",
     "decoded_packets": f"with {PACKETS} select pkt_id, src_ip, dst_ip, src_port, dst_port, protocol, ip_len, ip_hdr_len, payload_len, tcp_flags, tcp_win from packets",
     "ip_to_string": f"with {PACKETS} select pkt_id, {_IP.format('src_ip')} as src, {_IP.format('dst_ip')} as dst from packets",

@@ -172,7 +172,7 @@ def _score_sql() -> str:
     moments = ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as d_{c}" for c in fx.FEATURES)
     scaled = ", ".join(f"({c} - m_{c}) / case when d_{c} = 0 then 1 else d_{c} end" for c in fx.FEATURES)
     return f"""with {flow_queries.EXACT}, {flow_queries.FEATURES}, {labels},
-good as (select flow, flow_id, {", ".join(f"round({c}::double, {decimals[c]})::float::double as {c}" for c in fx.FEATURES)} from feats where flow % 20 <> 7),
+good as (select flow, flow_id, {", ".join(f"printf('%.{decimals[c]}f', {c}::double)::double::float::double as {c}" for c in fx.FEATURES)} from feats where flow % 20 <> 7),
 moments as (select {moments} from good),
 vectors as (select flow, flow_id, [{scaled}] as v from good, moments),
 margins as (select flow, flow_id, [{", ".join(sums)}] as m from vectors),

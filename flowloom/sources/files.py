@@ -98,6 +98,13 @@ def read_classes(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(name for _, name in sorted(rows[0]["m"].items(), key=lambda x: int(x[0])))
 
 
+def read_by_name(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet files of different columns in one scan, by name, with ``file``, the folder each row
+    is from; a column that a file lacks is null there. Spark merges the schemas."""
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    return rows.withColumn("file", F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1))
+
+
 def union_by_name(parts: list[DataFrame]) -> DataFrame:
     """Files of one kind together; a column that some lack is null there."""
     out = parts[0]

@@ -89,7 +89,7 @@ def decode(frames: DataFrame, data: str = "bytes") -> DataFrame:
     out = out.withColumns({
         "src_port": F.when(ports, number(raw, l4, 2)).cast("int"),
         "dst_port": F.when(ports, number(raw, l4 + 2, 2)).cast("int"),
-        "payload_len": F.greatest(payload, F.lit(0)).cast("int"),
+        "payload_len": F.when(ports, F.greatest(payload, F.lit(0))).cast("int"),
         "tcp_flags": F.when(tcp, number(raw, l4 + 13, 1)).when(udp, 0).cast("int"),
         "tcp_win": F.when(tcp, number(raw, l4 + 14, 2)).when(udp, 0).cast("int"),
         "outcome": F.when(size < 14, "short").when(F.col("__type") != 0x0800, "non_ip").when(F.col("protocol").isNull(), "short")

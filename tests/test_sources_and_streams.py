@@ -13,10 +13,10 @@ from flowloom.functions.vectors import argmax, feature_vector, softmax
 from flowloom.operators import dashboard, ml, prep, store
 from flowloom.operators.bucket_store import BucketStore
 from flowloom.operators.sessions import Timeouts, exact_flows
+from flowloom.plans import store_queries
 from flowloom.plans.service import Service
 from flowloom.session import table
 from flowloom.sources import files, packets as pk
-from flowloom.sources.synthetic import simulate
 from flowloom.streaming.flows import last_packet, stream_exact_flows, upsert_batches
 from flowloom.streaming.sinks import write_parquet
 from test_flows import SCHEMA, frame, random_packets
@@ -185,19 +185,20 @@ def test_retraining_and_versions(spark, tmp_path):
         registry.switch(spark, "none", at)
 
 
-def test_service_on_simulated_flows(spark):
-    rows = simulate(spark, 500, 1_700_000_000_000_000)
-    flows = rows.select("seq", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", F.lit("eth0").alias("interface"), F.lit(1.0).alias("flow_pkts_s"), "created_at")
-    found = rows.select("seq", "flow_id", "class_id", "is_malicious", "attack_type", "confidence", "severity", F.col("created_at").alias("inserted_at"))
+def test_service_on_flows_of_the_events(spark):
+    sf = "/root/testdata/sf0.001"
+    flows, found = store_queries.flows_of(spark, sf), store_queries.detections_of(spark, sf)
     service = Service(spark, flows, found, now=1_700_000_001.0)
+    both = flows.join(found.drop("seq"), "flow_id").toPandas()
+    bad = both[both["is_malicious"] == 1]
     total = service.stats().first()
-    assert total.total_flows == 500 and 90 < total.total_attacks < 210
+    assert (total.total_flows, total.total_attacks) == (flows.count(), len(bad))
     assert service.stats(category="threats").first().total_flows == total.total_attacks
-    assert sum(r["count"] for r in service.attack_distribution().collect()) == total.total_attacks
+    assert {r["attack_type"]: r["count"] for r in service.attack_distribution().collect()} == bad.groupby("attack_type").size().to_dict()
     alerts = service.alerts(20, 5, interface="eth0").collect()
     assert len(alerts) == 20 and alerts == sorted(alerts, key=lambda r: (-r.detected_at, r.flow_id))
-    assert [r.seq for r in service.flows_page(3, 1).collect()] == [498, 497, 496]
-    assert service.training_stats().agg(F.sum("samples")).first()[0] == found.where("confidence >= 0.7").count()
+    assert [r.seq for r in service.flows_page(3, 1).collect()] == sorted((r.seq for r in flows.select("seq").collect()), reverse=True)[1:4]
+    assert service.training_stats().agg(F.sum("samples")).first()[0] == (both["confidence"] >= 0.7).sum()
     assert (service.health().first().status, service.retraining_status().first().status) == ("ok", "idle")
 
 
