@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowloom.llm.batches import quoted
-from flowloom.llm.ordering import carried, group_key, numbered, sorted_table
+from flowloom.operators.ordering import carried, group_key, numbered, sorted_table
 from flowloom.session import forget, keep, ship_package
 
 #: Children of a node, and levels and leaves of a block.

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowloom.llm.batches import quoted
-from flowloom.llm.ordering import carried, group_key, numbered, range_limits, sorted_table
+from flowloom.operators.ordering import carried, group_key, numbered, range_limits, sorted_table
 from flowloom.session import forget, keep
 
 WEIGHTS = (1, 2, 3)
