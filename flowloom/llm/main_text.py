@@ -1,24 +1,31 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's streaming parser turns a page into lines: a line ends where a
-block element begins or ends, and keeps its text, its number of tags and the elements
-it is in. The ratio of text to tags of each line is smoothed with a Gaussian over the
-neighbouring lines. Lines of menus, headers, footers, sidebars, notices, adverts, forms
-and reader comments, as elements, roles, classes or ids tell, are faint: their ratio counts
-``FAINT`` times. Two means of the logarithms of all ratios part the lines in two clusters;
-where these are less than a factor ``APART`` from each other, they are one. Lines of the
-upper cluster are content, whatever they are in.
-
-Lines of the upper cluster make regions, which grow over lines that are not faint, however
-short. One inside an ``article`` or ``main`` takes all such lines of it. Elsewhere lines of
+block element begins or ends, and keeps its text, its number of tags, the text of its links
+and the elements it is in. The ratio is that of text outside links to tags, to which a
+link's text counts as one more for each ``LINK`` characters, so that menus and lists of
+links have a low one. It is smoothed with a Gaussian over the neighbouring lines. Two
+means of the logarithms of all ratios part the lines in two clusters; where these are less
+than a factor ``APART`` from each other, they are one. Lines of the upper cluster are content.
+
+Lines of the upper cluster make regions, which grow over the lines beside them, however short.
+One inside an ``article`` or ``main`` takes all lines of it. Elsewhere lines of
 the upper cluster make one region if they are in the same container or at most ``NEAR``
 lines with text apart; it holds all lines from its first one to the end of the element that
 holds them all, and the headings before it. Beside a region inside such an element, one
 outside counts only if it is as dense.
 
+Elements, roles, classes and ids only break up regions: no region grows over menus, headers,
+and what else is beside an article. They say nothing of whether such a part is
+content: lists of links are left out as their ratio is low. Only prose that is
+not the article's, which no ratio can tell from it, is no region at all: reader comments,
+notices, adverts, sidebars, footers, forms, teasers, and menus and headers of which less
+than half is links.
+
 Class, id, role and element are judged after parsing: an element that holds most of the
-page's text, or the only ``article`` or ``main``, makes nothing faint. Of an article, and
-inside it, only whole class names count, and no id. Scripts, styles, form fields and the page's head
+page's text, or the only ``article`` or ``main``, breaks nothing. Inside an article a class
+counts by any word, and an id by all of its words, if the element has less than ``PART`` of the
+article's text, else classes by whole names only. Scripts, styles, form fields, hidden elements and the page's head
 have no text.
 
 A null or empty page, or one without text, has an empty main text; an empty table stays
@@ -30,6 +37,7 @@ kept. Other columns stay; one called text or n_chars, but the page itself, is re
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -40,67 +48,85 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowloom.llm.batches import add_columns, quoted
 
-#: Width of the Gaussian in lines, how much of a faint line's ratio counts, and the factor between two clusters.
-SIGMA, FAINT, APART = 1.0, 0.01, 3.0
+#: Width of the Gaussian in lines, characters of link text that count as a tag, and the factor between two clusters.
+SIGMA, LINK, APART = 1.0, 4, 3.0
 #: Characters of a line's text beyond which more do not raise its ratio.
 LONG_LINE = 400
-#: Lines with text by which lines of a region are apart at most, and the share of a page's text that a class or role does not make faint.
+#: Lines with text by which lines of a region are apart at most, and the share of a page's text that no class or role breaks off.
 NEAR, MOST = 3, 2 / 3
+#: The share of an article's text below which an element in it is judged by any word of its class or id.
+PART = 1 / 3
 
 #: Elements by what they do to lines.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select button datalist applet map".split())
 CONTENT = frozenset(("article", "main"))
-#: Elements whose lines are faint, of which SOFT may turn out to hold the article, and blocks that hold a line, no region.
+#: Elements beside an article, of which SOFT may turn out to hold it, and blocks that hold a line, no region.
 BESIDE = frozenset("nav footer menu dialog".split())
 SOFT = frozenset("form aside".split())
 LINES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li ul ol dl dd dt pre blockquote figure figcaption caption address summary table thead tbody tfoot tr option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id that name what is not the article.
-ASIDE_WORDS = frozenset(
+#: Words of class and id that name prose that is not the article's, and parts told by their ratio.
+PROSE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion banner "
-    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc "
-    "header masthead topbar footer bottombar colophon copyright "
-    "sidebar sidebars aside rail widget widgets related recommended recommendations trending popular "
+    "sidebar sidebars aside rail widget widgets related recommended recommendations trending popular more teaser teasers "
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login paywall "
     "form search share sharing social "
-    "comment comments commentlist respond reply replies disqus discussion".split()
+    "comment comments commentlist respond reply replies disqus discussion "
+    "footer bottombar colophon copyright".split()
+)
+MENU_WORDS = frozenset(
+    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc "
+    "header masthead topbar".split()
 )
+#: Elements and roles that hold such prose.
+PROSE_ELEMENTS = frozenset("form aside dialog footer".split())
+PROSE_ROLES = frozenset("contentinfo complementary search form dialog alert alertdialog".split())
 #: Words that begin a class which only tells of the layout, and those that mean an article's own title inside it.
 LAYOUT = frozenset(("has", "with", "no", "without", "is"))
 TITLES = frozenset(("header", "banner"))
+#: Words of ids that a section of an article may have too.
+SECTIONS = frozenset(("discussion", "search", "form", "more", "related", "alert"))
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: What an element's names say: nothing, that it is beside an article, and that it holds other prose.
+NOTHING, BREAKS, PROSE = 0, 1, 2
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+
+
 class LineParser(HTMLParser):
-    """Collects (text, tags, innermost element, heading) for each line, and the elements.
+    """Collects (text, tags, characters of links, innermost element, heading) for each line, and the elements.
 
     Elements are numbered as they begin, so that what is in one has numbers up to its last."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool, int]] = []  # element, silent, content, number
+        self.count: Counter[str] = Counter()  # of open elements by name
         self.silent = 0
         self.content = 0
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
+        self.linked = 0
         self.names = [""]  # the page itself is element 0
         self.parents = [0]
         self.last = [0]
-        self.aside = [False]
+        self.beside = [NOTHING]
+        self.part = [NOTHING]  # what it is if it has little of an article's text
         self.article = [False]
 
     def close_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         if text or self.tags:
             heading = any(x[0] in HEADINGS for x in self.open[-3:])
-            self.lines.append((text, self.tags, self.open[-1][3] if self.open else 0, heading))
+            self.lines.append((text, self.tags, min(self.linked, len(text)), self.open[-1][3] if self.open else 0, heading))
         self.parts.clear()
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -117,15 +143,20 @@ class LineParser(HTMLParser):
             elif tag not in ("li", "dd", "dt", "td", "th", "tr", "option"):
                 self.end_paragraph()
         self.tags += 1
-        hidden = any(n == "hidden" or (n == "aria-hidden" and v == "true") for n, v in attrs)
+        hidden = any(n == "hidden" or (n == "aria-hidden" and v == "true") or (n == "style" and v and _HIDDEN.search(v)) for n, v in attrs)
         silent = tag in SILENT or (hidden and tag not in ("html", "body", "main"))
-        aside = tag in SOFT or tag in BESIDE or (tag == "header" and not self.content) or (bool(attrs) and tag not in ("html", "body", "main") and _is_aside(attrs, self.content > 0 or tag in CONTENT))
-        content = tag in CONTENT and not silent and not aside
+        inside = self.content > 0 or tag in CONTENT
+        own = PROSE if tag in PROSE_ELEMENTS else BREAKS if tag in BESIDE or (tag == "header" and not self.content) else NOTHING
+        named = attrs if tag not in ("html", "body", "main") else []
+        beside = max(own, _named(named, inside))
+        content = tag in CONTENT and not silent and not beside
         self.open.append((tag, silent, content, len(self.names)))
+        self.count[tag] += 1
         self.names.append(tag)
         self.parents.append(self.open[-2][3] if len(self.open) > 1 else 0)
         self.last.append(len(self.last))
-        self.aside.append(aside)
+        self.beside.append(beside)
+        self.part.append(_named(named, False, True) if self.content and tag not in HEADINGS else NOTHING)
         self.article.append(content)
         self.silent += silent
         self.content += content
@@ -138,6 +169,8 @@ class LineParser(HTMLParser):
 
     def end_paragraph(self) -> None:
         """A block begins: an open paragraph, and the inline elements in it, end."""
+        if not self.count["p"]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == "p":
@@ -148,7 +181,8 @@ class LineParser(HTMLParser):
                 return
 
     def drop(self) -> None:
-        _, silent, content, number = self.open.pop()
+        tag, silent, content, number = self.open.pop()
+        self.count[tag] -= 1
         self.last[number] = len(self.names) - 1
         self.silent -= silent
         self.content -= content
@@ -159,6 +193,8 @@ class LineParser(HTMLParser):
         elif tag == "br" and not self.silent:
             self.parts.append(" ")
         self.tags += 1
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 while len(self.open) > i:
@@ -170,25 +206,31 @@ class LineParser(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.parts.append(data)
+            if self.count["a"]:
+                self.linked += len(data)
 
 
-def _is_aside(attrs: list[tuple[str, str | None]], in_content: bool) -> bool:
+def _named(attrs: list[tuple[str, str | None]], whole: bool, part: bool = False) -> int:
+    """What class, id and role say of an element; of ``whole`` class names if asked, which leaves ids
+    out. The id of a ``part`` of an article must be all such words, and none that a section may have."""
+    found = NOTHING
     for name, value in attrs:
         if value and name in ("class", "id"):
-            if in_content and name == "id":
+            if whole and name == "id":
                 continue
             words = set()
             for one in value.split():
                 parts = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower())
                 if parts and parts[0] not in LAYOUT:
-                    words.update(parts if not in_content or ASIDE_WORDS.issuperset(parts) else ())
-            if in_content:
+                    words.update(parts if not whole or (PROSE_WORDS | MENU_WORDS).issuperset(parts) else ())
+            if whole:
                 words -= TITLES
-            if not ASIDE_WORDS.isdisjoint(words):
-                return True
+            if part and name == "id" and not (words and (PROSE_WORDS | MENU_WORDS) - SECTIONS >= words):
+                continue
+            found = max(found, NOTHING if words.isdisjoint(PROSE_WORDS | MENU_WORDS) else BREAKS if words.isdisjoint(PROSE_WORDS) else PROSE)
         elif value and name == "role" and value.lower() in ROLES:
-            return True
-    return False
+            found = max(found, PROSE if value.lower() in PROSE_ROLES else BREAKS)
+    return found
 
 
 def _sums(parser: LineParser, own: list[int]) -> list[int]:
@@ -199,38 +241,43 @@ def _sums(parser: LineParser, own: list[int]) -> list[int]:
     return out
 
 
-def _places(parser: LineParser) -> tuple[list[bool], list[int]]:
-    """Which elements are faint, and the outermost article that each is in (0: none)."""
+def _places(parser: LineParser) -> tuple[list[int], list[int]]:
+    """What each element is beside an article, and the outermost article that each is in (0: none)."""
     size = len(parser.names)
-    own = [0] * size
-    for text, _, at, _ in parser.lines:
+    own, links = [0] * size, [0] * size
+    for text, _, linked, at, _ in parser.lines:
         own[at] += len(text)
-    chars = _sums(parser, own)
-    aside = [a and (parser.names[i] in BESIDE or chars[i] < MOST * chars[0]) for i, a in enumerate(parser.aside)]
+        links[at] += linked
+    chars, links = _sums(parser, own), _sums(parser, links)
+    beside = [b if parser.names[i] in BESIDE or chars[i] < MOST * chars[0] else NOTHING for i, b in enumerate(parser.beside)]
+    beside = [PROSE if b == BREAKS and 2 * links[i] < chars[i] else b for i, b in enumerate(beside)]
     articles = _sums(parser, [int(a and chars[i] > 0) for i, a in enumerate(parser.article)])
 
-    def spread() -> tuple[list[bool], list[int]]:
-        faint, inside = [False] * size, [0] * size
+    def spread() -> tuple[list[int], list[int]]:
+        what, inside = [NOTHING] * size, [0] * size
         for i in range(1, size):
             above = parser.parents[i]
-            faint[i] = faint[above] or aside[i]
-            inside[i] = 0 if faint[i] else inside[above] or (i if parser.article[i] else 0)
-        return faint, inside
+            article = inside[above]
+            small = article and parser.names[i] in BLOCKS and chars[i] < PART * chars[article]
+            what[i] = max(what[above], beside[i], parser.part[i] if small else NOTHING)
+            inside[i] = 0 if what[i] else article or (i if parser.article[i] else 0)
+        return what, inside
 
-    faint, inside = spread()
-    if articles[0] and not any(inside[at] and text for text, _, at, _ in parser.lines):
-        aside = [a and not articles[i] for i, a in enumerate(aside)]
-        faint, inside = spread()
-    return faint, inside
+    what, inside = spread()
+    if articles[0] and not any(inside[at] and text for text, _, _, at, _ in parser.lines):
+        beside = [b if not articles[i] else NOTHING for i, b in enumerate(beside)]
+        what, inside = spread()
+    return what, inside
 
 
 @dataclass
 class Line:
     text: str
     tags: int
+    linked: int  # characters of its links
     at: int  # the innermost element
     heading: bool
-    faint: bool
+    beside: int
     article: int  # the outermost article or main, 0 if there is none
 
 
@@ -243,8 +290,8 @@ def lines_of(html: str) -> tuple[list[Line], LineParser]:
     while parser.open:
         parser.drop()
     parser.last[0] = len(parser.names) - 1
-    faint, inside = _places(parser)
-    return [Line(text, tags, at, heading, faint[at], inside[at]) for text, tags, at, heading in parser.lines], parser
+    beside, inside = _places(parser)
+    return [Line(text, tags, linked, at, heading, beside[at], inside[at]) for text, tags, linked, at, heading in parser.lines], parser
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -254,23 +301,24 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[reach : reach + len(values)] / weights
 
 
-def _container(parser: LineParser, at: int) -> int:
-    """The element that holds the line's paragraph, list or table beside others."""
+def _containers(parser: LineParser) -> list[int]:
+    """For a line in each element, the element that holds its paragraph, list or table beside others."""
     names, parents = parser.names, parser.parents
-    while at and names[at] not in BLOCKS:
-        at = parents[at]
-    if names[at] in ("td", "th"):
-        at = parents[at]
-    while at and (names[at] in LINES or names[at] not in BLOCKS):
-        at = parents[at]
-    return at
+    block, region = [0] * len(names), [0] * len(names)
+    for i in range(1, len(names)):
+        block[i] = i if names[i] in BLOCKS else block[parents[i]]
+        region[i] = i if names[i] in BLOCKS and names[i] not in LINES else region[parents[i]]
+    return [region[parents[b] if names[b] in ("td", "th") else b] for b in block]
+
+
+def ratio(text: int, linked: int, tags: int) -> float:
+    """Characters outside links over tags, to which links count by their text."""
+    return min(text - linked, LONG_LINE) / (max(tags, 1) + linked / LINK)
 
 
 def ratios(lines: list[Line]) -> np.ndarray:
-    """The smoothed text-to-tag ratio of each line, what is faint counting less."""
-    size = np.array([min(len(x.text), LONG_LINE) for x in lines], np.float64)
-    tags = np.array([max(x.tags, 1) for x in lines], np.float64)
-    return smooth(size / tags) * np.where([x.faint for x in lines], FAINT, 1.0)
+    """The smoothed text-to-tag ratio of each line."""
+    return smooth(np.array([ratio(len(x.text), x.linked, x.tags) for x in lines], np.float64))
 
 
 def two_means(values: np.ndarray) -> float:
@@ -297,14 +345,15 @@ class Region:
 def content_lines(lines: list[Line], parser: LineParser) -> np.ndarray:
     """Which lines are content: those of the upper cluster, and what their regions grow over."""
     full = np.array([x.text != "" for x in lines])
-    faint = np.array([x.faint for x in lines])
+    beside = np.array([x.beside for x in lines])
     height = np.log1p(ratios(lines))
-    high = full & (height >= two_means(height[full]))
+    high = full & (height >= two_means(height[full])) & (beside != PROSE)
     place = np.cumsum(full)
+    containers = _containers(parser)
     regions: list[Region] = []
     for i in np.flatnonzero(high).tolist():
         line, last = lines[i], regions[-1] if regions else None
-        own = line.article or _container(parser, line.at)
+        own = line.article or containers[line.at]
         if last and last.article == (line.article > 0) and (own == last.held or (not line.article and (place[i] - place[last.last] <= NEAR or line.at <= parser.last[last.held]))):
             while not last.held <= own <= parser.last[last.held]:
                 last.held = parser.parents[last.held]
@@ -322,7 +371,7 @@ def content_lines(lines: list[Line], parser: LineParser) -> np.ndarray:
             after += 1
         while first and (r.held <= lines[first - 1].at <= parser.last[r.held] if r.article else lines[first - 1].heading or not full[first - 1]):
             first -= 1
-        out[first:after] |= high[first:after] | ~faint[first:after]
+        out[first:after] |= high[first:after] | (beside[first:after] == NOTHING)
     return out & full
 
 

@@ -7,6 +7,7 @@ import html
 import io
 import math
 import re
+import time
 import wave
 import zlib
 from collections import Counter
@@ -330,6 +331,29 @@ def test_names_inside_an_article(part):
     assert main_text(f"<article><p>{LONG}</p>{part.format('Part')}<div class='comments'>Reply</div></article>") == f"{LONG}\n\nPart"
 
 
+PROSE = "Some other text that readers wrote about this, and it is long enough to look like an article."
+INSIDE = ['<div class="comments-section"><p>{}</p></div>', '<div id="comments"><p>{}</p></div>', '<div class="related-posts"><p>{}</p></div>', '<div class="newsletter-box"><p>{}</p></div>', '<div class="share-bar">{}</div>', '<div class="social-share-buttons">{}</div>', '<div style="display: none">{}</div>']
+
+
+@pytest.mark.parametrize("part", INSIDE)
+def test_other_prose_inside_an_article(part):
+    page = f"<body><nav><a href=x>Home</a><a href=y>About</a></nav><article><h1>Head</h1><p>{LONG * 3}</p><p>{LONG * 3}</p>{part.format(PROSE)}</article></body>"
+    assert main_text(page) == f"Head\n\n{LONG * 3}\n\n{LONG * 3}"
+
+
+@pytest.mark.parametrize("part", ["<ul>" + "".join(f'<li><a href="/{i}">Another story about number {i} and things</a></li>' for i in range(8)) + "</ul>", '<div class="more-stories"><p>It happened elsewhere. Many people were there.</p></div>'])
+def test_teasers_beside_an_article(part):
+    page = f"<body><div class=post><h1>Head</h1><p>{LONG * 3}</p><p>{LONG * 3}</p></div>{part}</body>"
+    assert main_text(page) == f"Head\n\n{LONG * 3}\n\n{LONG * 3}"
+
+
+def test_elements_that_stay_open_take_no_longer():
+    began = time.perf_counter()
+    assert main_text("<b>" * 20_000 + f"<p>{LONG}</p>" * 2000).count(LONG) == 2000
+    assert main_text("<b>" * 20_000 + "<i>x</i></em>" * 2000) == "x" * 2000
+    assert time.perf_counter() - began < 4
+
+
 def test_link_lists_are_told_by_their_ratio(monkeypatch):
     links = "".join(f"<li><a href=/{i}>Go to {i}</a></li>" for i in range(12))
     page = f"<body><div><ul>{links}</ul></div><div><h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div><ul>{links}</ul></div></body>"
@@ -341,7 +365,7 @@ def test_link_lists_are_told_by_their_ratio(monkeypatch):
 def test_the_ratio_decides_on_pages(monkeypatch):
     pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
     texts = [main_text(p) for p in pages]
-    monkeypatch.setattr(main_text_module, "ratios", lambda lines: np.ones(len(lines)))
+    monkeypatch.setattr(main_text_module, "ratio", lambda text, linked, tags: 100.0)
     assert sum(main_text(p) != t for p, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)
 
 
@@ -356,12 +380,12 @@ def test_ratio_smoothing_and_two_means_by_hand():
     m = main_text_module
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 40):
-        lines = [m.Line("x" * int(a), int(b), 0, False, bool(f), 0) for a, b, f in zip(rng.integers(0, 900, n), rng.integers(0, 5, n), rng.integers(0, 2, n), strict=True)]
-        raw = [min(len(x.text), 400) / max(x.tags, 1) for x in lines]
+        lines = [m.Line("x" * int(a), int(b), int(a * c), 0, False, int(f), 0) for a, b, c, f in zip(rng.integers(0, 900, n), rng.integers(0, 5, n), rng.random(n), rng.integers(0, 3, n), strict=True)]
+        raw = [min(len(x.text) - x.linked, 400) / (max(x.tags, 1) + x.linked / 4) for x in lines]
         want = []
         for i in range(n):
             near = [(math.exp(-((j - i) ** 2) / 2), raw[j]) for j in range(max(0, i - 3), min(n, i + 4))]
-            want.append(sum(w * r for w, r in near) / sum(w for w, _ in near) * (0.01 if lines[i].faint else 1))
+            want.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
         assert m.ratios(lines) == pytest.approx(want)
         values = np.log1p(want)
 
