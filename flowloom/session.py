@@ -97,6 +97,11 @@ def forget(*frames: DataFrame) -> None:
 
 def _remove(spark: SparkSession, path: str) -> None:
     _KEPT.pop(path, None)
+    remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can reach it."""
     context = spark.sparkContext
     if context._jsc is not None:  # else the session has ended
         folder = context._jvm.org.apache.hadoop.fs.Path(path)
