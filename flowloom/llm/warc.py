@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowloom.llm.batches import map_batches, quoted
-from flowloom.session import keep, shared_folder
+from flowloom.session import keep, remove_folder, shared_folder
 
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, key: str = "pa
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     number = F.when(F.col("copies") > 1, F.monotonically_increasing_id().cast("string")).otherwise("")
     again = F.coalesce(F.col("first.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.lit(False))
-    # a response that rows repeat has no one id
+    # a response that rows repeat has no one id: its revisits go by the digest
     of = F.when(F.col("first.copies") == 1, name("first.page_id", "first.url", F.lit("")))
     rows = rows.withColumns({"number": number, "again": again, "uri": uri}).withColumns({"id": name("page_id", "url", F.col("number")), "of": of})
     part = lambda what: _uuid(F.concat(F.lit(what), F.col("id")))
@@ -112,8 +112,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, key: str = "pa
     revisit = _record("revisit", [*common, ("WARC-Profile", F.lit(_PROFILE)), ("WARC-Refers-To", F.col("of"))], head)
     beside = lambda what, kind: [("WARC-Record-ID", part(what)), ("WARC-Target-URI", F.col("uri")), ("WARC-Concurrent-To", F.col("id")), ("Content-Type", F.lit(kind))]
     request = _record("request", beside("request", "application/http; msgtype=request"), F.concat(F.lit("GET "), "uri", F.lit(f" HTTP/1.1{CRLF * 2}")))
-    told = [("page-id", F.col("page_id").cast("string")), ("payload-bytes", F.octet_length("payload").cast("string")), ("refers-to-page", F.when(F.col("again"), F.col("first.page_id").cast("string")))]
-    fields = F.concat(*[F.coalesce(F.concat(F.lit(f"{n}: "), v, F.lit(CRLF)), F.lit("")) for n, v in told])
+    fields = F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit(""))
     metadata = _record("metadata", beside("metadata", "application/warc-fields"), fields)
     sizes = sorted(r[0] for r in pages.select(_size(F.coalesce(F.octet_length(F.col(quoted(html))), F.lit(0)))).distinct().collect())
     for i in sizes or [0]:
@@ -197,17 +196,28 @@ def capture_digests(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     folder = shared_folder(spark, "warc")
     write_archives(pages, folder, least)
-    kind = dict(pages.dtypes)["page_id"]
-    captures = assemble(keep(read_records(spark, folder, payloads=False).drop("payload").withColumn("payload", F.lit(None).cast("binary")), "records"))
-    told = lambda name: F.element_at("metadata.fields", name)
-    return captures.select(
-        F.try_element_at("metadata.fields", F.lit("page-id")).cast(kind).alias("page_id"),
-        F.coalesce("response.payload_bytes", told("payload-bytes").cast("long")).alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.kind").alias("record_type"),
-        F.try_element_at("metadata.fields", F.lit("refers-to-page")).cast(kind).alias("refers_to"),
-        F.col("response.uri").alias("uri"),
-    )
+    records = keep(read_records(spark, folder, payloads=False).drop("payload").withColumn("payload", F.lit(None).cast("binary")), "records")
+    remove_folder(spark, folder)
+    return captured(assemble(records), dict(pages.dtypes)["page_id"])
+
+
+def captured(captures: DataFrame, kind: str = "long") -> DataFrame:
+    """Each assembled capture's page_id, payload_bytes, payload_digest, record_type, refers_to and uri.
+
+    A revisit is resolved as in any archive: by the record that it refers to, or if it names none
+    by its payload's digest; that response tells the payload's size and the page. Only a row's own
+    page_id comes from its metadata record; it is null in archives that have none.
+    """
+    own = F.try_element_at("metadata.fields", F.lit("page-id")).cast(kind).alias("page_id")
+    rows = captures.select("record_id", own, *[F.col(f"response.{c}").alias(c) for c in ("kind", "uri", "refers_to", "payload_digest", "payload_bytes")])
+    first = rows.where("kind = 'response'")
+    known = first.select(F.col("record_id").alias("of"), F.col("page_id").alias("of_page"), F.col("payload_bytes").alias("of_bytes"))
+    by_digest = first.groupBy("payload_digest").agg(F.max(F.struct("page_id", "payload_bytes")).alias("r"))
+    known = known.unionByName(by_digest.select(F.concat(F.lit("sha1:"), "payload_digest").alias("of"), F.col("r.page_id").alias("of_page"), F.col("r.payload_bytes").alias("of_bytes")))
+    again = rows.where("kind = 'revisit'").withColumn("of", F.coalesce("refers_to", F.concat(F.lit("sha1:"), "payload_digest"))).join(known, "of", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type")]
+    one = first.select(*columns, F.lit(None).cast(kind).alias("refers_to"), "uri")
+    return one.unionByName(again.withColumn("payload_bytes", F.col("of_bytes")).select(*columns, F.col("of_page").alias("refers_to"), "uri"))
 
 
 #: The same rows from the pages alone.

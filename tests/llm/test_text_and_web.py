@@ -298,6 +298,22 @@ def test_articles_of_pages(spark):
         assert r.n_chars == len(r.text)
 
 
+def test_an_archive_of_others_is_resolved_by_its_references(spark, tmp_path):
+    """Without metadata records all is told by the archive itself, but for the page ids."""
+    rows = [(1, "http://a", "same"), (2, "http://b", "same"), (3, "http://c", "other"), (4, "http://d", "same"), (5, "u", "twice"), (6, "v", "twice"), (6, "v", "twice"), (None, "w", "same")]
+    pages = pages_of(spark, rows)
+    want = warc.capture_digests(pages).collect()
+    folder = f"file://{tmp_path}/archives"
+    warc.write_archives(pages, folder)
+    records = warc.read_records(spark, folder)
+    got = warc.captured(warc.assemble(records.where("kind <> 'metadata'"))).collect()
+    strip = lambda some: sorted((r.payload_bytes, r.payload_digest, r.record_type, r.uri) for r in some)
+    assert strip(got) == strip(want) and all(r.page_id is None for r in got)
+    named = records.where("kind = 'revisit'").count()
+    assert named == sum(r.record_type == "revisit" for r in want) == 4
+    assert {r.page_id: r.refers_to for r in want if r.record_type == "revisit"} == {1: 4, 2: 4, None: 4, 5: 6}
+
+
 LONG = "A sentence that is long enough to be taken for the text of an article by anyone."
 
 
