@@ -356,41 +356,41 @@ def _grow(tree: Tree, nodes: list[tuple[int, Row]], cuts: list[list[float]], set
 # --- prediction ---------------------------------------------------------------
 
 
-def _constant(name: str, values: list, kind: str) -> Column:
-    """A list as one constant: read from JSON when the plan is made."""
-    return F.from_json(F.lit(json.dumps({name: values})), f"{name} array<{kind}>")[name]
+_TABLES = "feature array<int>, cut array<double>, left array<int>, right array<int>, value array<double>, class array<int>, roots array<int>, base array<double>"
 
 
-def margins(model: Ensemble, vector: Column) -> Column:
-    """The margins of a vector by column expressions: nodes are tables of constants, and all
-    trees are walked together, a level at a time."""
-    offsets, roots = {"feature": [], "cut": [], "left": [], "right": [], "value": [], "class": []}, []
+def _tables(model: Ensemble) -> Column:
+    """The nodes of all trees, numbered through, as one constant: read from JSON when the plan is made."""
+    of: dict[str, list] = {name.split()[0]: [] for name in _TABLES.split(", ")}
     for i, tree in enumerate(model.trees):
-        at = len(offsets["feature"])
-        roots.append(at)
-        offsets["feature"] += [max(f, 0) for f in tree.feature]
-        offsets["cut"] += tree.cut
-        offsets["left"] += [at + x for x in tree.left]
-        offsets["right"] += [at + x for x in tree.right]
-        offsets["value"] += tree.value
-        offsets["class"] += [i % model.classes] * len(tree.feature)
-    kinds = {"cut": "double", "value": "double"}
-    of = {name: _constant(name, values, kinds.get(name, "int")) for name, values in offsets.items()}
-    base = _constant("base", model.base, "double")
-    if not model.trees:
-        return F.when(vector.isNotNull(), base)
-
-    def walked(x: Column) -> Column:
-        node = _constant("roots", roots, "int")
-        for _ in range(max(tree.depth for tree in model.trees)):
+        at = len(of["feature"])
+        of["roots"].append(at)
+        of["feature"] += [max(f, 0) for f in tree.feature]
+        of["cut"] += tree.cut
+        of["left"] += [at + x for x in tree.left]
+        of["right"] += [at + x for x in tree.right]
+        of["value"] += tree.value
+        of["class"] += [i % model.classes] * len(tree.feature)
+    return F.from_json(F.lit(json.dumps(of | {"base": model.base})), _TABLES)
+
+
+def margins(model: Ensemble, vector: Column) -> Column:
+    """The margins of a vector by column expressions: nodes are a constant table, and all trees
+    are walked together, a level at a time. A null vector has none."""
+    levels = max((tree.depth for tree in model.trees), default=0)
+
+    def walked(of: Column, x: Column) -> Column:
+        node = of["roots"]
+        for _ in range(levels):
             node = F.transform(node, lambda i: F.when(F.get(x, F.get(of["feature"], i)) <= F.get(of["cut"], i), F.get(of["left"], i)).otherwise(F.get(of["right"], i)))
         return node
 
-    def summed(leaves: Column) -> Column:
-        one = lambda start, k: F.aggregate(F.filter(leaves, lambda i: F.get(of["class"], i) == k), start, lambda a, i: a + F.get(of["value"], i))
-        return F.transform(base, lambda start, k: one(start, k))
+    def summed(of: Column, leaves: Column) -> Column:
+        own = lambda k: F.filter(leaves, lambda i: F.get(of["class"], i) == k)
+        return F.transform(of["base"], lambda start, k: F.aggregate(own(k), start, lambda a, i: a + F.get(of["value"], i)))
 
-    return F.when(vector.isNotNull(), bound(clean(vector), lambda x: bound(walked(x), summed)))
+    found = bound(_tables(model), lambda of: bound(clean(vector), lambda x: bound(walked(of, x), lambda leaves: summed(of, leaves))))
+    return F.when(vector.isNotNull(), found)
 
 
 def importances(model: Ensemble, places: int) -> list[int]:
