@@ -252,10 +252,20 @@ def test_benchmark_in_blocks_beside_columns_of_any_name(spark, monkeypatch):
 
 
 def plain_vector(text):
-    """The bundle of a text's n-grams, each letter's vector rotated by its place and bound."""
-    m = language_id._memory()
-    keys, counts, _ = language_id.grams(text)
-    return sum(int(c) * m.bundle(np.array([k]), np.array([1])).astype(float) for k, c in zip(keys.tolist(), counts.tolist(), strict=True))
+    """Letter by letter: each of three letters' random signs turned by its place, multiplied, and added up."""
+    symbols = [0]
+    for c in f"{text} ":
+        symbol = ord(c.lower()) if c.isalpha() else 0
+        if symbol or symbols[-1]:
+            symbols.append(symbol)
+    total = np.zeros(512)
+    for gram in zip(symbols, symbols[1:], symbols[2:]):
+        product = np.ones(512)
+        for place, symbol in enumerate(reversed(gram)):
+            signs = np.random.default_rng([symbol, 20_240]).integers(0, 2, 512, dtype=np.int8) * 2.0 - 1
+            product *= np.concatenate([signs[512 - place :], signs[: 512 - place]])
+        total += product
+    return total
 
 
 def test_languages_by_a_plain_profile(spark):
