@@ -210,10 +210,12 @@ def captured(captures: DataFrame, kind: str = "long") -> DataFrame:
     """
     own = F.try_element_at("metadata.fields", F.lit("page-id")).cast(kind).alias("page_id")
     rows = captures.select("record_id", own, *[F.col(f"response.{c}").alias(c) for c in ("kind", "uri", "refers_to", "payload_digest", "payload_bytes")])
+    rows = keep(rows, "captures")  # without payloads; both sides of the join come from it
     first = rows.where("kind = 'response'")
     known = first.select(F.col("record_id").alias("of"), F.col("page_id").alias("of_page"), F.col("payload_bytes").alias("of_bytes"))
-    by_digest = first.groupBy("payload_digest").agg(F.max(F.struct("page_id", "payload_bytes")).alias("r"))
-    known = known.unionByName(by_digest.select(F.concat(F.lit("sha1:"), "payload_digest").alias("of"), F.col("r.page_id").alias("of_page"), F.col("r.payload_bytes").alias("of_bytes")))
+    if rows.where("kind = 'revisit' and refers_to is null").limit(1).count():
+        by_digest = first.groupBy("payload_digest").agg(F.max(F.struct("page_id", "payload_bytes")).alias("r"))
+        known = known.unionByName(by_digest.select(F.concat(F.lit("sha1:"), "payload_digest").alias("of"), F.col("r.page_id").alias("of_page"), F.col("r.payload_bytes").alias("of_bytes")))
     again = rows.where("kind = 'revisit'").withColumn("of", F.coalesce("refers_to", F.concat(F.lit("sha1:"), "payload_digest"))).join(known, "of", "left")
     columns = ["page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type")]
     one = first.select(*columns, F.lit(None).cast(kind).alias("refers_to"), "uri")
