@@ -95,8 +95,18 @@ def _size(size: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Write the captures of ``pages`` to gzip files in ``folder``."""
-    rows = plan_captures(pages, least, key, url, html)
+    """Write the captures of ``pages`` to gzip files in ``folder``: those of each size of payload
+    apart, as equal payloads are of one size."""
+    of_size = _size(F.coalesce(F.octet_length(F.col(quoted(html))), F.lit(0)))
+    sizes = sorted(r[0] for r in pages.select(of_size).distinct().collect())
+    for i in sizes or [0]:
+        some = pages if len(sizes) < 2 else pages.where(of_size == i)
+        records = _records(plan_captures(some, least, key, url, html))
+        records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * PER_FILE[i][1]).text(f"{folder}/size={i}")
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """The three records of each planned capture, as text."""
     text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     name = lambda page, uri, more: _uuid(F.concat_ws("|", F.lit("capture"), text(page), "digest", F.col(uri), more))
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
@@ -114,11 +124,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, key: str = "pa
     request = _record("request", beside("request", "application/http; msgtype=request"), F.concat(F.lit("GET "), "uri", F.lit(f" HTTP/1.1{CRLF * 2}")))
     fields = F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit(""))
     metadata = _record("metadata", beside("metadata", "application/warc-fields"), fields)
-    sizes = sorted(r[0] for r in pages.select(_size(F.coalesce(F.octet_length(F.col(quoted(html))), F.lit(0)))).distinct().collect())
-    for i in sizes or [0]:
-        some = rows if len(sizes) < 2 else rows.where(_size(F.octet_length("payload")) == i)
-        records = some.select(F.explode(F.array(F.when(F.col("again"), revisit).otherwise(response), request, metadata)).alias("value"))
-        records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * PER_FILE[i][1]).text(f"{folder}/size={i}")
+    return rows.select(F.explode(F.array(F.when(F.col("again"), revisit).otherwise(response), request, metadata)).alias("value"))
 
 
 def parse(archive: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
