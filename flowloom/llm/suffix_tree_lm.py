@@ -60,8 +60,14 @@ RUN_BYTES, AT_ONCE = 4 << 20, 100_000
 SCORE_BYTES = 1 << 20
 #: Bytes of text whose n-grams are added up together.
 RANGE_BYTES = 8 << 20
+#: Ranges that n-grams are dealt into over the network, as a power of two; finer ones are made where these arrive.
+COARSE = 12
+#: Bytes of n-grams that are added up before they are dealt into finer ranges.
+SPLIT_BYTES = 64 << 20
 #: Bytes of text whose n-grams meet their weights together.
 WEIGH_BYTES = 16 << 20
+#: Texts of a run at most, and n-grams of one text in a row: both are told by 16 bits.
+MOST = (1 << 16) - 1
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -123,11 +129,12 @@ def symbols(texts: pa.Array) -> Symbols:
 
 
 def runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
-    """Where runs of texts of about ``most`` bytes begin and end; a longer text is alone."""
+    """Where runs of texts of about ``most`` bytes, and not more than MOST texts, begin and end;
+    a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
     for i, size in enumerate(sizes.tolist()):
-        if i > begin and total + size > most:
+        if i > begin and (total + size > most or i - begin == MOST):
             yield begin, i
             begin, total = i, 0
         total += size
@@ -155,12 +162,18 @@ def _parts(*columns: np.ndarray) -> Iterator[list[np.ndarray]]:
 
 
 def _blocks(size: int, bits: int, grams: np.ndarray, *columns: np.ndarray) -> Iterator[list]:
-    """What one row for each range of hashes holds of the n-grams: three arrays of 64 bits."""
-    edges = np.searchsorted(grams >> np.uint64(64 - bits) if bits else np.zeros(len(grams), np.uint64), np.arange((1 << bits) + 1))
-    full = np.flatnonzero(np.diff(edges))
-    blocks = [b"".join(c[edges[i] : edges[i + 1]].tobytes() for c in columns) for i in full.tolist()]
+    """What one row for each range of hashes holds of the n-grams, which rise: three arrays of 64 bits."""
+    at = (grams >> np.uint64(64 - bits) if bits else np.zeros(len(grams), np.uint64)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
+    edges = np.r_[first, len(at)].tolist()
+    blocks = [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(edges, edges[1:], strict=False)]
     if blocks:
-        yield [np.full(len(full), size, np.int8), full.astype(np.int64), pa.array(blocks, pa.binary())]
+        yield [np.full(len(first), size, np.int8), at[first], pa.array(blocks, pa.binary())]
+
+
+def _sum_of(size: int, blocks: list[bytes]) -> tuple[np.ndarray, ...]:
+    columns = [np.concatenate(x) for x in zip(*[np.frombuffer(x, np.uint64).reshape(3, -1) for x in blocks], strict=True)]
+    return _summed(columns[0], columns[1], columns[2].view(np.int64), size == 1)
 
 
 def counted(texts: DataFrame, text: str, grams_of: Callable[[Symbols], Iterator[tuple]], room: int) -> DataFrame:
@@ -169,21 +182,36 @@ def counted(texts: DataFrame, text: str, grams_of: Callable[[Symbols], Iterator[
 
     A run's n-grams, each once, are dealt out by ranges of their hashes, which are fine
     enough for a range to hold the n-grams of about ``RANGE_BYTES`` of ``room`` bytes of text.
-    A task adds up one range after the other. As a run sends an n-gram once, none is hot.
+    A task adds up one range after the other. As a run sends an n-gram once, none is hot. Over
+    the network go at most 2^COARSE ranges a size; the task that one arrives at deals it
+    into its finer ones, so that neither partitions nor rows grow with the corpus squared.
     """
     bits = max(0, (max(room, 1) - 1) // RANGE_BYTES).bit_length()
+    coarse = min(bits, COARSE)
 
     def deal(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
         for (values,) in batches:
             for begin, end in runs(values):
                 for size, a, b, n in grams_of(symbols(values.slice(begin, end - begin))):
-                    yield from _blocks(size, bits, *_summed(a, b, n, size == 1))
+                    yield from _blocks(size, coarse, *_summed(a, b, n, size == 1))
+
+    def split(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
+        held, room = {}, 0
+        for sizes, _, blocks in batches:
+            for size, block in zip(sizes.to_pylist(), blocks, strict=True):
+                held.setdefault(size, []).append(block.as_py())
+                room += len(held[size][-1])
+                if room > SPLIT_BYTES:
+                    for size in list(held):
+                        yield from _blocks(size, bits, *_sum_of(size, held.pop(size)))
+                    room = 0
+        for size, some in held.items():
+            yield from _blocks(size, bits, *_sum_of(size, some))
 
     def add(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
         def total() -> Iterator[list]:
             size = key[0]
-            columns = [np.concatenate(x) for x in zip(*[np.frombuffer(x, np.uint64).reshape(3, -1) for x in held], strict=True)]
-            _, a, b, n = _summed(columns[0], columns[1], columns[2].view(np.int64), size == 1)
+            _, a, b, n = _sum_of(size, held)
             often = n >= (1 if size == 1 else LEAST_STEP)
             for a, b, n in _parts(a[often].view(np.int64), b[often].view(np.int64), n[often]):
                 yield [np.full(len(a), size, np.int8), a, b, n]
@@ -200,7 +228,10 @@ def counted(texts: DataFrame, text: str, grams_of: Callable[[Symbols], Iterator[
             yield from total()
 
     dealt = map_batches(texts, [text], "size byte, at long, block binary", deal)
-    dealt = dealt.repartition(2 << bits, "size", "at").sortWithinPartitions("size", "at")
+    dealt = dealt.repartition(2 << coarse, "size", "at")
+    if coarse < bits:
+        dealt = map_batches(dealt, ["size", "at", "block"], "size byte, at long, block binary", split)
+    dealt = dealt.sortWithinPartitions("size", "at")
     return map_batches(dealt, ["size", "at", "block"], "size byte, a long, b long, n long", add)
 
 
@@ -398,13 +429,13 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
                     if size == 1:
                         known += np.bincount(to, is_word[place], texts)
                         base += np.bincount(to, root[place], texts)
-                    rows.append((g[~here], h[~here], of[~here].astype(np.uint32)))
+                    rows.append((of[~here].astype(np.uint16), g[~here], h[~here]))
                 words, others = rows[0], [np.concatenate(x) for x in zip(*rows[1:], strict=True)]
                 sizes = np.bincount(owner, minlength=texts) - 1
                 ident = idents.slice(begin, texts).to_pylist()
                 own = [dict(id=i, tokens=t, known=int(n), base=b, score=b + s) for i, t, n, b, s in zip(ident, *(x.tolist() for x in (sizes, known, base, score)), strict=True)]
                 one = dict(_ranged(bits, *words))
-                two = dict(_ranged(bits, others[0], others[2]))
+                two = dict(_ranged(bits, *others[:2]))
                 # the texts themselves go to some range
                 first = int.from_bytes(run[:8], "big") & (1 << bits) - 1
                 ranges = sorted({first, *one, *two})
@@ -419,10 +450,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
         weight = np.r_[np.bincount(code, w[others], len(codes)), 0.0]
         sums = []
         for one, two in zip(texts["words"], texts["grams"], strict=True):
-            wanted, high, of = _unranged(one.as_py(), np.uint64, np.uint64, np.uint32)
-            grams, to = _unranged(two.as_py(), np.uint64, np.uint32)
-            some, at = np.unique(np.r_[of, to], return_inverse=True)
-            size, of, to = len(some), at[: len(of)], at[len(of) :]
+            some, of, wanted, high = _unranged(one.as_py(), 2)
             place = np.full(len(wanted), -1)
             at = np.searchsorted(g[words], wanted)
             while len(words):  # one step, but for words of which one hash is equal
@@ -435,14 +463,16 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
                 at[open_] += 1
             met = place >= 0
             root = np.where(met, np.log10((n[place] + ALPHA) / (floor or 1.0)) if len(n) else never, never)
-            known, base, score = (np.zeros(size) for _ in range(3))
-            known += np.bincount(of[met], n[place[met]] > 0, size)
-            base += np.bincount(of, root, size)
-            score += np.bincount(of, root + (np.where(met, w[place], 0.0) if len(w) else 0.0), size)
-            if len(codes):
+            size = len(some)
+            known = np.bincount(of[met], n[place[met]] > 0, size)
+            base = np.bincount(of, root, size)
+            score = np.bincount(of, root + (np.where(met, w[place], 0.0) if len(w) else 0.0), size)
+            told = [np.array([size], np.uint32), some, known.astype(np.uint32), base, score]
+            some, of, grams = _unranged(two.as_py(), 1)
+            if len(codes) and len(grams):
                 at = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
-                score += np.bincount(to, weight[np.where(codes[at] == grams, at, len(codes))], size)
-            sums.append(b"".join(x.tobytes() for x in (some.astype(np.uint32), known.astype(np.uint32), base, score)))
+                told += [some, np.bincount(of, weight[np.where(codes[at] == grams, at, len(codes))], len(some))]
+            sums.append(b"".join(x.tobytes() for x in told))
         return pa.Table.from_arrays([texts["run"], texts["docs"], pa.array(sums, pa.binary())], ["run", "docs", "sums"])
 
     def finish(parts: pa.Table) -> pa.Table:
@@ -451,9 +481,14 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
         own = own[0].values
         known, base, score = (np.zeros(len(own)) for _ in range(3))
         for block in parts["sums"]:
-            some, *told = _unranged(block.as_py(), np.uint32, np.uint32, np.float64, np.float64)
+            block = block.as_py()
+            size = int(np.frombuffer(block, np.uint32, 1)[0])
+            of_words, of_grams = block[4 : 4 + 22 * size], block[4 + 22 * size :]
+            some, *told = _columns(of_words, size, np.uint16, np.uint32, np.float64, np.float64)
             for to, x in zip((known, base, score), told, strict=True):
                 to[some] += x / copies
+            some, x = _columns(of_grams, len(of_grams) // 10, np.uint16, np.float64)
+            score[some] += x / copies
         known, base, score = (own.field(c).to_numpy() + x for c, x in (("known", known), ("base", base), ("score", score)))
         out = pa.Table.from_arrays([own.field("id"), own.field("tokens"), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(score)], names)
         return pa.concat_tables([out] * copies)
@@ -475,17 +510,37 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
     )
 
 
-def _ranged(bits: int, grams: np.ndarray, *others: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(range, block) of n-grams and what goes with each; in a range they stay in their order."""
-    at = (grams >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(grams), np.uint16)
-    order = np.argsort(at, kind="stable")
-    full, first = np.unique(at[order], return_index=True)
-    columns = [c[order] for c in (grams, *others)]
-    for i, begin, end in zip(full.tolist(), first.tolist(), np.r_[first[1:], len(grams)].tolist()[: len(full)], strict=True):
-        yield i, b"".join(c[begin:end].tobytes() for c in columns)
-
-
-def _unranged(block: bytes, *kinds: type) -> list[np.ndarray]:
+def _ranged(bits: int, of: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(range, block) of n-grams, the first of the columns, and what goes with each: the number of
+    texts, these, how many n-grams each has there, and the columns, by text."""
+    at = (columns[0] >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(of), np.uint16)
+    order = np.lexsort((of, at))
+    at, of, *columns = (c[order] for c in (at, of, *columns))
+    start = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (of[1:] != of[:-1])][: len(at)])
+    size = np.diff(np.r_[start, len(at)])
+    parts = -(-size // MOST)  # a text with more n-grams than 16 bits tell is there more than once
+    step = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(start, parts) + MOST * step
+    size = np.diff(np.r_[start, len(at)]).astype(np.uint16)
+    text = of[start]
+    full, first = np.unique(at, return_index=True)
+    edges = np.r_[first, len(at)]
+    entries = np.searchsorted(start, edges).tolist()
+    edges = edges.tolist()
+    for i, where in enumerate(full.tolist()):
+        a, b = entries[i : i + 2]
+        yield where, b"".join((np.uint32(b - a).tobytes(), text[a:b].tobytes(), size[a:b].tobytes(), *[c[edges[i] : edges[i + 1]].tobytes() for c in columns]))
+
+
+def _unranged(block: bytes, columns: int) -> tuple[np.ndarray, ...]:
+    """The distinct texts of a block, which of them each n-gram is of, and the columns of 64 bits."""
+    entries = int(np.frombuffer(block, np.uint32, 1)[0]) if block else 0
+    text, size = _columns(block[4 : 4 + 4 * entries], entries, np.uint16, np.uint16)
+    rest = block[4 + 4 * entries :]
+    some, at = np.unique(text, return_inverse=True)
+    return some, np.repeat(at, size), *_columns(rest, len(rest) // (8 * columns), *[np.uint64] * columns)
+
+
+def _columns(block: bytes, n: int, *kinds: type) -> list[np.ndarray]:
     sizes = [np.dtype(k).itemsize for k in kinds]
-    n = len(block) // sum(sizes)
     return [np.frombuffer(block, k, n, n * sum(sizes[:i])) for i, k in enumerate(kinds)]

@@ -126,6 +126,30 @@ def test_scores_equal_a_plain_tree(spark, monkeypatch):
         assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_ranges_dealt_twice_and_long_rows_of_one_text(spark, monkeypatch):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    want = {r.doc_id: (r.n_known, r.base_score, r.score) for r in score_texts(docs).collect()}
+    for name, value in {"COARSE": 1, "RANGE_BYTES": 1 << 14, "WEIGH_BYTES": 1 << 15, "HOT": 10}.items():
+        monkeypatch.setattr(lm, name, value)
+    got = {r.doc_id: (r.n_known, r.base_score, r.score) for r in score_texts(docs).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert {k: v[1:] for k, v in got.items()} == {k: pytest.approx(v[1:], rel=1e-9) for k, v in want.items()}
+
+
+@pytest.mark.parametrize(("bits", "most"), [(0, 65535), (3, 65535), (3, 7)])
+def test_blocks_of_a_range_tell_all_rows(monkeypatch, bits, most):
+    monkeypatch.setattr(lm, "MOST", most)
+    rng = np.random.default_rng(1)
+    of, g, h = rng.integers(0, 50, 3000).astype(np.uint16), *rng.integers(0, 2**63, (2, 3000)).astype(np.uint64) * np.uint64(2)
+    seen = []
+    for at, block in lm._ranged(bits, of, g, h):
+        some, owner, a, b = lm._unranged(block, 2)
+        assert not bits or (a >> np.uint64(64 - bits) == at).all()
+        seen += zip(some[owner].tolist(), a.tolist(), b.tolist(), strict=True)
+    assert sorted(seen) == sorted(zip(of.tolist(), g.tolist(), h.tolist(), strict=True))
+    assert list(lm._ranged(bits, of[:0], g[:0])) == [] and len(lm._unranged(b"", 1)[2]) == 0
+
+
 def test_probabilities_sum_to_one(spark):
     rows = table(spark, SMALL, "documents").select("doc_id", "text").collect()
     tree = PlainTree(training(rows))
