@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from flowloom.llm import decontaminate, language_id, simhash
+from flowloom.llm import decontaminate, language_id, simhash, wide_simhash
 from flowloom.llm.components import connected
 from flowloom.llm.decontaminate import mark_contamination
 from flowloom.llm.language_id import train_and_identify
@@ -139,6 +139,85 @@ def test_crowded_anchors_are_cut_into_chunks(spark, monkeypatch):
     assert [r.component_id for r in got] == brute_components([r.doc_id for r in got], prints)
 
 
+def brute_wide(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII_LOWER))
+    parts = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    rest, out = 2**64 - 1, 0
+    for k in range(4):
+        hashes = [xxh64_intdigest(p.encode(), seed=42) for p in parts]
+        if k:
+            hashes = [h + k * 0x9E3779B97F4A7C15 & rest for h in hashes]
+            hashes = [(h ^ h >> 30) * 0xBF58476D1CE4E5B9 & rest for h in hashes]
+            hashes = [(h ^ h >> 27) * 0x94D049BB133111EB & rest for h in hashes]
+            hashes = [h ^ h >> 31 for h in hashes]
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << 64 * k
+    return out
+
+
+def test_wide_simhashes(monkeypatch):
+    texts = ["", " ", "one two", "a b c d e f", "word " * 40, " ".join(str(i % 37) for i in range(3000)), "É é x y z w"]
+    monkeypatch.setattr(wide_simhash, "AT_ONCE", 64)
+    got = wide_simhash.wide_simhashes([t.encode() for t in texts])
+    assert [sum(int(x) << 64 * i for i, x in enumerate(r)) for r in got] == [brute_wide(t) for t in texts]
+
+
+def test_words_within_two_bits_of_a_block_meet():
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 2**63, 300).astype(np.uint64)
+    other = one.copy()
+    for i in range(300):
+        for b in rng.choice(24, i % 3, replace=False):
+            other[i] ^= np.uint64(1) << np.uint64(b)
+    sets = [[set() for _ in one] for _ in range(2)]
+    for k, values in enumerate((one, other)):
+        for block, anchors, rows in anchors_of(values.view(np.int64), wide_simhash.BANDS):
+            for a, r in zip(anchors.tolist(), rows.tolist(), strict=True):
+                if not block:
+                    sets[k][r].add(a)
+    assert all(a & b for a, b in zip(*sets, strict=True))
+
+
+@pytest.mark.parametrize("most", [wide_simhash.FEW, 3])
+def test_wide_links_at_an_anchor(monkeypatch, most):
+    monkeypatch.setattr(wide_simhash, "FEW", most)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (8, 4)).astype(np.uint64)
+    values = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 63, (8, 4)).astype(np.uint64)) for _ in range(12)]), axis=0)
+    keys = np.sort(rng.integers(0, 4, len(values)))
+    got = wide_simhash.links_in_groups(keys, values)
+    ints = [sum(int(x) << 64 * i for i, x in enumerate(r)) for r in values]
+    root = list(range(len(values)))
+    for _ in range(20):
+        for a, b in zip(*(x.tolist() for x in got), strict=True):
+            root[a] = root[b] = min(root[a], root[b])
+    for key in range(4):
+        some = np.flatnonzero(keys == key).tolist()
+        assert [root[i] for i in some] == brute_components(some, [ints[i] for i in some], wide_simhash.NEAR)
+
+
+@pytest.mark.parametrize("chunk", [wide_simhash.CHUNK, 4])
+def test_copies_of_a_similarity_of_four_fifths(spark, monkeypatch, chunk):
+    """Copies whose sets of five-word shingles share 0.8 to 1: nine in ten are found; others stay alone."""
+    monkeypatch.setattr(wide_simhash, "CHUNK", chunk)
+    rng = np.random.default_rng(8)
+    rows, near = [], {}
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        copy = list(words)
+        for at in rng.choice(len(words), int(rng.integers(0, max(1, len(words) // 40) + 1)), replace=False):
+            copy[at] = f"n{at}"
+        a, b = shingles(words), shingles(copy)
+        near[i] = len(a & b) / len(a | b)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in wide_simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i in near) and all(got[1000 + i] in (i, 1000 + i) for i in near)
+    asked = [i for i, s in near.items() if s >= 0.8]
+    assert len(asked) > 150 and sum(got[1000 + i] == i for i in asked) >= 0.9 * len(asked)
+    assert all(got[1000 + i] == i for i, s in near.items() if s == 1)
+    assert not any(got[1000 + i] == i for i, s in near.items() if s < 0.5)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -220,8 +299,8 @@ def test_pipeline_against_brute_force(spark):
     docs = table(spark, SMALL, "documents")
     items = [(r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()]
     rows = [r for r in docs.orderBy("doc_id").collect() if r.text and any(c.isalpha() for c in r.text)]
-    prints = [brute_fingerprint(r.text) for r in rows]
-    first = brute_components([r.doc_id for r in rows], prints)
+    prints = [brute_wide(r.text) for r in rows]
+    first = brute_components([r.doc_id for r in rows], prints, wide_simhash.NEAR)
     kept = [r for r, c in zip(rows, first, strict=True) if r.doc_id == c]
     clean = [r.doc_id for r in kept if not ((h := brute_hits(r.text, items))[1] and 20 * h[1] >= h[0])]
     out = corpus_pipeline.run(spark, SMALL)
