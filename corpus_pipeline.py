@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.llm.decontaminate import mark_contamination
 from flowloom.llm.language_id import train_and_identify
-from flowloom.llm.simhash import near_duplicate_groups
 from flowloom.llm.batches import quoted
 from flowloom.llm.tree_bpe import encode_bpe
+from flowloom.llm.wide_simhash import similar_groups
 from flowloom.session import keep, table
 
 
@@ -37,11 +37,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id stays, once: of rows
     with one doc_id and text, one. A null doc_id is the largest. Null and blank texts are a
-    group like others. Shingles are of four words and links of four bits, as in op4_simhash."""
+    group like others. Shingles are of five words; links are of fingerprints of 256 bits that
+    differ in at most 45, which is a similarity of about 0.8."""
     name = f"key_{uuid4().hex}"
     text = F.md5(F.coalesce(F.concat(F.lit("="), "text"), F.lit("")).cast("binary"))
     keyed = docs.withColumn(name, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text.alias("text")))
-    groups = near_duplicate_groups(keyed, name)
+    groups = similar_groups(keyed, name)
     first = groups.where(F.col(name) == F.col("component_id")).select(name).distinct()
     return keyed.dropDuplicates([name]).join(first, name, "left_semi").select(*[F.col(quoted(c)) for c in docs.columns])
 
@@ -55,8 +56,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids and the number of these. The ids are decoded again:
-    should they not give a document's text, the stage fails. A null text has no ids."""
+    """The documents with their token ids and the number of these, which replace columns called ids
+    or n_tokens. The ids are decoded again: should they not give a document's text, the stage
+    fails. A null text has no ids; rows that repeat are each encoded."""
     return encode_bpe(docs, check=True).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
