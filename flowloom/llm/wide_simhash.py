@@ -11,8 +11,12 @@ word is within one bit of both; the anchor nearest to it is within reach of both
 meet there. Of pairs of a similarity of 0.8 about 0.86 meet in some block, of 0.9 0.99. What
 meets is compared by whole fingerprints; links are by the fingerprints, not by the texts.
 
-Equal fingerprints are one from the start. An anchor reports its links, or a forest of them
-if they are many, never all pairs; an anchor with more rows than ``CHUNK`` is cut into chunks
+Equal fingerprints are one from the start. Links are found in two rounds. The first takes
+only the anchors within the radius, which are few, and joins most of a large group of copies.
+The second takes all anchors and links what the first has left apart: rows that it joined
+bear one label, and only rows of different labels are compared. Either reports a forest over
+the labels that a task has at hand, never all pairs, so the number of links grows with a
+group's size, not with its square. An anchor with more rows than ``CHUNK`` is cut into chunks
 that are compared two at a time in different tasks.
 
 Null and blank texts have fingerprint zero and are a group. Repeated rows stay, each with its
@@ -27,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from flowloom.llm.batches import map_batches, quoted, slices, utf8
@@ -50,7 +55,15 @@ class Bands(Layout):
         return RADIUS + 1
 
 
-BANDS = Bands(((0, 24), (24, 24)), 15)
+@dataclass(frozen=True)
+class Seeds(Bands):
+    @property
+    def reach(self) -> int:
+        """Bits to the nearest anchor; those anchors are among the ones of ``Bands``."""
+        return RADIUS
+
+
+BANDS, SEEDS = Bands(((0, 24), (24, 24)), 15), Seeds(((0, 24), (24, 24)), 15)
 
 
 def part_of(hashes: np.ndarray, part: int) -> np.ndarray:
@@ -99,42 +112,42 @@ def _near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return bits <= NEAR
 
 
-def _forest(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (row, row) that join what is reachable, one for each row but the roots."""
-    left = np.arange(len(prints))
-    while len(left):
-        root, front, left = left[0], left[:1], left[1:]
-        while len(front) and len(left):
-            near = np.zeros(len(left), bool)
-            for i in range(0, len(front), 64):
-                near |= _near(prints[front[i : i + 64], None], prints[None, left]).any(axis=0)
-            front, left = left[near], left[~near]
-            yield front, np.full(len(front), root)
+def _joined(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``roots``, the least of what each label is joined to, with labels a and b joined as well."""
+    while len(a):
+        x, y = roots[a], roots[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(roots, np.maximum(x, y), np.minimum(x, y))
+        while ((up := roots[roots]) != roots).any():
+            roots = up
+    return roots
 
 
-def links_of_group(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, row) of distinct fingerprints at one anchor: all, or a forest if that is less than a quarter."""
-    n, found, total = len(prints), [(np.zeros(0, np.int64),) * 2], 0
+def join_group(roots: np.ndarray, labels: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """``roots`` with the labels of near fingerprints at one anchor joined; those that are joined already are not compared."""
+    order = np.argsort(roots[labels], kind="stable")
+    labels, prints = labels[order], prints[order]
+    n = len(labels)
     step = max(1, (1 << 19) // max(n, 1))
     for i in range(0, n, step):
-        a, b = np.nonzero(_near(prints[i : i + step, None], prints[None, i:]))
-        some = b > a
-        found.append((a[some] + i, b[some] + i))
-        total += int(some.sum())
-        if total > 4 * n:
-            found = [(np.zeros(0, np.int64),) * 2, *_forest(prints)]
-            break
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def links_in_groups(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, row) between rows of equal key (sorted)."""
+        own = roots[labels]
+        others = np.arange(i, n)
+        if (own[i : i + step] == own[i]).all():
+            others = others[own[i:] != own[i]]
+        if len(others):
+            a, b = np.nonzero(_near(prints[i : i + step, None], prints[None, others]))
+            roots = _joined(roots, labels[a + i], labels[others[b]])
+    return roots
+
+
+def links_in_groups(keys: np.ndarray, prints: np.ndarray, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (label, label), a forest, that join what is near among rows of equal key (sorted).
+    Labels are numbers from 0, that of the row by default; what has one label is joined already."""
+    labels = np.arange(len(keys)) if labels is None else labels
+    roots = np.arange(int(labels.max()) + 1 if len(labels) else 0)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
     sizes = np.diff(np.r_[starts, len(keys)])
-    found = [(np.zeros(0, np.int64),) * 2]
-    for start, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-        a, b = links_of_group(prints[start : start + n])
-        found.append((a + start, b + start))
     few = (sizes > 1) & (sizes <= FEW)
     begin, count = starts[few], sizes[few]
     for step in range(1, int(count.max()) if len(count) else 0):  # each row with the one so many places on
@@ -142,64 +155,67 @@ def links_in_groups(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, n
         begin, count = begin[more], count[more]
         width = count - step
         at = np.repeat(begin - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(int(width.sum()))
+        at = at[roots[labels[at]] != roots[labels[at + step]]]
         at = at[_near(prints[at], prints[at + step])]
-        found.append((at, at + step))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        roots = _joined(roots, labels[at], labels[at + step])
+    for start, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        roots = join_group(roots, labels[start : start + n], prints[start : start + n])
+    linked = np.flatnonzero(roots != np.arange(len(roots)))
+    return linked, roots[linked]
 
 
-def _anchors(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _anchors(prints: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for part in range(BANDED):
-        for block, anchor, rows in anchors_of(np.ascontiguousarray(prints[:, part]).view(np.int64), BANDS):
+        for block, anchor, rows in anchors_of(np.ascontiguousarray(prints[:, part]).view(np.int64), bands):
             if len(rows):
                 yield (anchor << 3 | 2 * part + block).astype(np.int32), rows
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(u, v) links of distinct fingerprints (column print)."""
+def links(prints: DataFrame, bands: Bands = BANDS) -> DataFrame:
+    """(u, v) links that join the labels of near fingerprints (columns print, each once, and label).
+    A label is one of the fingerprints that bear it, and null is the fingerprint itself."""
 
     def deal(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        for (values,) in batches:
+        for values, labels in batches:
             numbers = _numbers(values)
-            for anchor, rows in _anchors(numbers):
-                yield [anchor, _column(numbers[rows])]
+            for anchor, rows in _anchors(numbers, bands):
+                yield [anchor, _column(numbers[rows]), labels.take(pa.array(rows))]
 
     def count(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
         for (values,) in batches:  # an anchor is told once a batch
-            anchors = [anchor for anchor, _ in _anchors(_numbers(values))]
+            anchors = [anchor for anchor, _ in _anchors(_numbers(values), bands)]
             if anchors:
                 yield list(np.unique(np.concatenate(anchors), return_counts=True))
 
     counts = map_batches(prints, ["print"], "anchor int, n long", count).groupBy("anchor").agg(F.sum("n").alias("n"))
     crowded = keep(counts.where(F.col("n") > CHUNK).select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "crowded")
-    dealt = map_batches(prints, ["print"], "anchor int, print binary", deal).join(crowded, "anchor", "left")
+    dealt = map_batches(prints, ["print", "label"], "anchor int, print binary, label binary", deal).join(crowded, "anchor", "left")
     # a row of a crowded anchor goes to the cells of its chunk with each other one
     own, chunks = F.pmod(F.xxhash64("print"), F.col("chunks")), F.col("chunks")
     cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(own, j) * chunks + F.greatest(own, j))
     cell = F.explode(F.when(chunks.isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells))
-    dealt = dealt.select("anchor", cell.alias("cell"), "print").repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    dealt = dealt.select("anchor", cell.alias("cell"), "print", "label").repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
 
     def compare(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
-        rest: tuple[np.ndarray, ...] | None = None
-
-        def told(anchor: np.ndarray, cell: np.ndarray, value: np.ndarray) -> list:
-            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])]
-            a, b = links_in_groups(np.cumsum(new), value)
-            return [_column(value[a]), _column(value[b])]
-
-        for anchors, cells, values in batches:
-            now = anchors.to_numpy(zero_copy_only=False), cells.to_numpy(zero_copy_only=False), _numbers(values)
-            if rest is not None:
-                now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
-            anchor, cell, value = now
-            new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])][: len(anchor)])
-            last = int(new[-1]) if len(new) else 0
-            rest = tuple(x[last:] for x in now)
+        rest: list[pa.Array] | None = None
+
+        def told(new: np.ndarray, values: pa.Array, labels: pa.Array) -> list:
+            coded = pc.coalesce(labels, values).dictionary_encode()
+            a, b = links_in_groups(np.cumsum(new), _numbers(values), coded.indices.to_numpy().astype(np.int64))
+            return [coded.dictionary.take(pa.array(a)), coded.dictionary.take(pa.array(b))]
+
+        for batch in batches:
+            now = batch if rest is None else [pa.concat_arrays(x) for x in zip(rest, batch, strict=True)]
+            anchor, cell = (x.to_numpy(zero_copy_only=False) for x in now[:2])
+            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])][: len(anchor)]
+            last = int(np.flatnonzero(new)[-1]) if len(new) else 0
+            rest = [x[last:] for x in now]
             if last:
-                yield told(anchor[:last], cell[:last], value[:last])
+                yield told(new[:last], *(x[:last] for x in now[2:]))
         if rest is not None and len(rest[0]):
-            yield told(*rest)
+            yield told(np.arange(len(rest[0])) == 0, *rest[2:])
 
-    return map_batches(dealt, ["anchor", "cell", "print"], "u binary, v binary", compare).distinct()
+    return map_batches(dealt, ["anchor", "cell", "print", "label"], "u binary, v binary", compare).distinct()
 
 
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
@@ -213,10 +229,13 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     asked = df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
     marked = keep(map_batches(asked, ["key", "text"], f"key {asked.schema['key'].dataType.simpleString()}, print binary", mark), "wide")
     prints = keep(marked.groupBy("print").agg(F.min("key").alias("first")), "prints")
-    found = keep(links(prints.select("print")), "links")
-    roots = connected(found).select(F.col("u").alias("print"), F.col("v").alias("root"))
+    seeds = connected(links(prints.select("print", F.lit(None).cast("binary").alias("label")), SEEDS))
+    labels = seeds.select(F.col("u").alias("print"), F.col("v").alias("label"))
+    labelled = keep(prints.select("print").join(labels, "print", "left"), "labels")
+    joined = connected(seeds.unionAll(links(labelled)))
+    roots = joined.select(F.col("u").alias("print"), F.col("v").alias("root"))
     grouped = prints.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     first = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = keep(grouped.join(first, "root").select("print", "component_id"), "groups")
-    forget(prints, found, roots)
+    forget(prints, seeds, labelled, joined)
     return marked.join(of_print, "print").select(F.col("key").alias(key), "component_id")

@@ -218,6 +218,22 @@ def test_copies_of_a_similarity_of_four_fifths(spark, monkeypatch, chunk):
     assert not any(got[1000 + i] == i for i, s in near.items() if s < 0.5)
 
 
+def test_links_of_near_copies_grow_with_a_group_not_its_square(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 60))) for i in range(20)]
+    for i in range(100, 700):
+        copy = list(words)
+        copy[int(rng.integers(0, 300))] = f"n{i}"
+        rows.append((i, " ".join(copy)))
+    edges = []
+    plain = wide_simhash.connected
+    monkeypatch.setattr(wide_simhash, "connected", lambda links: edges.append(links.count()) or plain(links))
+    got = {r.doc_id: r.component_id for r in wide_simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 100 if i >= 100 else i for i, _ in rows}
+    assert max(edges) < 10 * len(rows)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
