@@ -30,8 +30,10 @@ not in the way.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from flowloom.llm.batches import map_batches, quoted
-from flowloom.session import forget, keep
+from flowloom.session import forget, keep, release_shuffles
 
 #: Words of the longest context; least occurrences of a state and of a step.
 DEPTH, LEAST_STATE, LEAST_STEP = 3, 8, 2
@@ -66,6 +68,8 @@ COARSE = 12
 SPLIT_BYTES = 64 << 20
 #: Bytes of text whose n-grams meet their weights together.
 WEIGH_BYTES = 16 << 20
+#: In how many passes n-grams meet their weights, as a power of two; one pass's are on the disks at a time.
+PASSES = 1
 #: Texts of a run at most, and n-grams of one text in a row: both are told by 16 bits.
 MOST = (1 << 16) - 1
 
@@ -161,6 +165,19 @@ def _parts(*columns: np.ndarray) -> Iterator[list[np.ndarray]]:
         yield [c[i : i + AT_ONCE] for c in columns]
 
 
+def giving_back(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``fn`` which at its end returns the memory it has freed to the system: a worker lives on
+    between tasks, and what it holds is not there for the others of its executor."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def _blocks(size: int, bits: int, grams: np.ndarray, *columns: np.ndarray) -> Iterator[list]:
     """What one row for each range of hashes holds of the n-grams, which rise: three arrays of 64 bits."""
     at = (grams >> np.uint64(64 - bits) if bits else np.zeros(len(grams), np.uint64)).astype(np.int64)
@@ -227,12 +244,12 @@ def counted(texts: DataFrame, text: str, grams_of: Callable[[Symbols], Iterator[
         if held:
             yield from total()
 
-    dealt = map_batches(texts, [text], "size byte, at long, block binary", deal)
+    dealt = map_batches(texts, [text], "size byte, at long, block binary", giving_back(deal))
     dealt = dealt.repartition(2 << coarse, "size", "at")
     if coarse < bits:
-        dealt = map_batches(dealt, ["size", "at", "block"], "size byte, at long, block binary", split)
+        dealt = map_batches(dealt, ["size", "at", "block"], "size byte, at long, block binary", giving_back(split))
     dealt = dealt.sortWithinPartitions("size", "at")
-    return map_batches(dealt, ["size", "at", "block"], "size byte, a long, b long, n long", add)
+    return map_batches(dealt, ["size", "at", "block"], "size byte, a long, b long, n long", giving_back(add))
 
 
 def _words_and_pairs(some: Symbols) -> Iterator[tuple]:
@@ -308,6 +325,7 @@ def grow(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[int,
     have two rows, one as a step and one as a state."""
     room = texts.agg(F.coalesce(F.sum(F.octet_length(quoted(text))), F.lit(0))).first()[0]
     counts = keep(counted(texts, text, _words_and_pairs, room), "counts")
+    release_shuffles(texts.sparkSession)
     words = counts.where("size = 1").select(F.col("a").alias("g"), F.col("b").alias("h"), "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = total + ALPHA * (kinds + 1)
@@ -339,6 +357,7 @@ def grow(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[int,
         kept += [states, level]
     weights = keep(weights.select("g", "h", F.when(F.col("h") != 0, F.col("n")).alias("words"), "n", "w"), "weights")
     forget(*kept)
+    release_shuffles(texts.sparkSession)
     return total, floor, weights
 
 
@@ -383,7 +402,8 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
     like those that are counted. A range tells a run the sums of those of its texts that have
     n-grams there, so what is moved is bounded by the n-grams; a run adds the ranges' sums up.
     A run is known by its content, and rows are to come in the same order if read again, as
-    they do from files.
+    they do from files. The ranges are met in 2^PASSES passes over the texts, and all but the
+    last pass leave a table of sums, so that the n-grams of one pass are on the disks at a time.
     """
     docs = df.select(F.col(quoted(key)).alias("id"), F.col(quoted(text)).alias("text"))
     training = docs.where(F.col("id").isNotNull() & ~held_out("id"))
@@ -397,11 +417,15 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
     told_type = to_arrow_type(StructType.fromDDL(f"docs {told}")["docs"].dataType)
     never = float(np.log10(ALPHA / (floor or 1.0)))
 
-    def deal(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
+    shift = min(PASSES, bits)
+    passes = 1 << shift
+
+    def deal(batches: Iterator[list[pa.Array]], turn: int) -> Iterator[list]:
         from xxhash import xxh3_128_digest
 
         slots, codes, high, is_word, root, weight, known_grams = sent.value
         mask = np.uint64(len(slots) - 1)
+        mine = lambda g: g >> np.uint64(64 - shift) == turn if shift else np.ones(len(g), bool)
         for keys, idents, values in batches:
             for begin, end in runs(values, SCORE_BYTES):
                 some = symbols(values.slice(begin, end - begin))
@@ -414,30 +438,38 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
                     if size > 1:
                         grams = longer(grams)
                         at = np.flatnonzero(owner[: len(grams)] == owner[size - 1 :])
+                        at = at[mine(grams[at])] if turn else at
                         at = at[_may(known_grams, grams[at])]
                         h = np.zeros(len(at), np.uint64)
                     else:
                         inside = np.ones(len(grams), bool)
                         inside[some.starts] = False
                         at = np.flatnonzero(inside)
+                        at = at[mine(grams[at])] if turn else at
                         h = some.high[some.ids[at]]
                     g, of = grams[at], owner[at]
                     place = slots[(g & mask).astype(np.int64)]
                     here = (codes[place] == g) & (high[place] == h)
                     place, to = place[here], of[here]
+                    away = ~here if turn else ~here & mine(g)
+                    rows.append((of[away].astype(np.uint16), g[away], h[away]))
+                    if turn:  # the first pass tells what is known of hot ones
+                        continue
                     score += np.bincount(to, weight[place], texts)
                     if size == 1:
                         known += np.bincount(to, is_word[place], texts)
                         base += np.bincount(to, root[place], texts)
-                    rows.append((of[~here].astype(np.uint16), g[~here], h[~here]))
                 words, others = rows[0], [np.concatenate(x) for x in zip(*rows[1:], strict=True)]
+                one, two = dict(_ranged(bits, *words)), dict(_ranged(bits, *others[:2]))
+                if turn:
+                    ranges = sorted({*one, *two})
+                    yield [[run] * len(ranges), ranges, [one.get(at, b"") for at in ranges], [two.get(at, b"") for at in ranges], pa.nulls(len(ranges), told_type)]
+                    continue
                 sizes = np.bincount(owner, minlength=texts) - 1
                 ident = idents.slice(begin, texts).to_pylist()
                 own = [dict(id=i, tokens=t, known=int(n), base=b, score=b + s) for i, t, n, b, s in zip(ident, *(x.tolist() for x in (sizes, known, base, score)), strict=True)]
-                one = dict(_ranged(bits, *words))
-                two = dict(_ranged(bits, *others[:2]))
-                # the texts themselves go to some range
-                first = int.from_bytes(run[:8], "big") & (1 << bits) - 1
+                # the texts themselves go to some range of the first pass
+                first = int.from_bytes(run[:8], "big") % ((1 << bits) // passes)
                 ranges = sorted({first, *one, *two})
                 yield [[run] * len(ranges), ranges, [one.get(at, b"") for at in ranges], [two.get(at, b"") for at in ranges], pa.array([own if at == first else None for at in ranges], told_type)]
 
@@ -494,10 +526,19 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
         return pa.concat_tables([out] * copies)
 
     names = ["id", "n_tokens", "n_known", "base_score", "score"]
-    dealt = map_batches(docs.select(F.xxhash64("id", "text").alias("k"), "id", "text"), ["k", "id", "text"], f"run binary, at long, words binary, grams binary, docs {told}", deal)
+    read = docs.select(F.xxhash64("id", "text").alias("k"), "id", "text")
     place = F.shiftrightunsigned("g", 64 - bits) if bits else F.lit(0).cast("long")
     weights = table.select(place.alias("at"), "g", "h", "words", "w")
-    parts = dealt.groupBy("at").cogroup(weights.groupBy("at")).applyInArrow(weigh, f"run binary, docs {told}, sums binary")
+    parts = None
+    for turn in range(passes):
+        dealt = map_batches(read, ["k", "id", "text"], f"run binary, at long, words binary, grams binary, docs {told}", giving_back(partial(deal, turn=turn)))
+        some = weights.where(F.floor(F.col("at") * passes / (1 << bits)) == turn)
+        met = dealt.groupBy("at").cogroup(some.groupBy("at")).applyInArrow(weigh, f"run binary, docs {told}, sums binary")
+        if turn < passes - 1:
+            met = keep(met, "sums")
+            del dealt
+            release_shuffles(docs.sparkSession)
+        parts = met if parts is None else parts.unionAll(met)
     sums = parts.groupBy("run").applyInArrow(finish, f"id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     return sums.select(
         F.col("id").alias(key),

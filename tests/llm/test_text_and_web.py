@@ -136,6 +136,39 @@ def test_ranges_dealt_twice_and_long_rows_of_one_text(spark, monkeypatch):
     assert {k: v[1:] for k, v in got.items()} == {k: pytest.approx(v[1:], rel=1e-9) for k, v in want.items()}
 
 
+def test_passes_over_the_ranges_add_up(spark, monkeypatch, tmp_path):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    docs = docs.unionAll(docs.limit(5))
+    monkeypatch.setattr(lm, "WEIGH_BYTES", 1 << 16)
+    monkeypatch.setattr(lm, "HOT", 100)
+    plain, tables, got = lm.keep, [], {}
+    monkeypatch.setattr(lm, "keep", lambda df, name: tables.append(name) or plain(df, name))
+    for passes in (0, 1, 2):
+        monkeypatch.setattr(lm, "PASSES", passes)
+        tables.clear()
+        rows = sorted(map(tuple, score_texts(docs).collect()))
+        assert tables.count("sums") == 2**passes - 1
+        got[passes] = [r[:5] for r in rows], [x for r in rows for x in r[5:]]
+    for passes in (1, 2):
+        assert got[passes][0] == got[0][0] and got[passes][1] == pytest.approx(got[0][1], rel=1e-9)
+
+
+def test_a_worker_gives_its_memory_back():
+    def work(batches):
+        held = [np.ones(2048, np.int64) for _ in range(12000)]  # about 200 MB in small pieces
+        yield from batches
+        last.append(held[-1])  # keeps the heap from shrinking by itself
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    last, sizes = [], []
+    for x in lm.giving_back(work)(iter([1])):
+        sizes.append((x, resident()))
+    assert sizes[0][0] == 1 and resident() < sizes[0][1] - 100
+
+
 @pytest.mark.parametrize(("bits", "most"), [(0, 65535), (3, 65535), (3, 7)])
 def test_blocks_of_a_range_tell_all_rows(monkeypatch, bits, most):
     monkeypatch.setattr(lm, "MOST", most)
