@@ -10,7 +10,7 @@ any context sum to 1, and the longest state that a text's last words end in deci
 
 The least counts are numbers, not shares: what two texts have in common is in the model, and
 the model grows with the texts. Its parts are Spark tables. Words are known by 127 bits of
-their XXH3 hash, in counts and joins alike; n-grams by 64 bits, each the hash of those of the
+two hashes, in counts and joins alike; n-grams by 64 bits, each the hash of those of the
 n-gram without its last and without its first word: a clash of these would alter a score, no
 count. The divergence test is a grouped aggregate. The log probability of a token is a sum
 over the n-grams that end there: what the n-gram adds to its suffix as a step, and what the
@@ -52,10 +52,12 @@ DEPTH, LEAST_STATE, LEAST_STEP = 3, 8, 2
 ALPHA, DISCOUNT = 0.1, 0.6
 #: N-grams whose weights are sent to tasks at most, and most bits of a bitmap.
 HOT, BITS = 1 << 18, 1 << 27
-#: First bit of the part of a hash that a bitmap's second bit is from.
-SECOND = 32
+#: First bits of the three parts of a hash that tell which bits of a bitmap's word it sets.
+MARKS = (28, 34, 40)
 #: The end of a text, also the context that its first word has; no word is a line feed.
 END = b"\n"
+#: Hashes that are made together, few enough for a core's cache.
+CACHED = 1 << 14
 #: Bytes of text that a task takes at once, and rows that it hands on at once.
 RUN_BYTES, AT_ONCE = 4 << 20, 100_000
 #: Bytes of text that are scored at once.
@@ -81,18 +83,40 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def _hash(value: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
-    turn = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
-    h = seed + (_P5 + np.uint64(8)) ^ turn(value * _P2, 31) * _P1
-    h = turn(h, 27) * _P1 + _P4
-    h = (h ^ h >> np.uint64(33)) * _P2
-    h = (h ^ h >> np.uint64(29)) * _P3
-    return h ^ h >> np.uint64(32)
+    """XXH64 of numbers of 64 bits, in place of one array."""
+
+    def turn(x: np.ndarray, k: int) -> None:
+        np.right_shift(x, np.uint64(64 - k), out=rest)
+        np.left_shift(x, np.uint64(k), out=x)
+        np.bitwise_or(x, rest, out=x)
+
+    def fold(x: np.ndarray, k: int) -> None:
+        np.right_shift(x, np.uint64(k), out=rest)
+        np.bitwise_xor(x, rest, out=x)
+
+    h = value * _P2
+    rest = np.empty_like(h)
+    turn(h, 31)
+    h *= _P1
+    h ^= seed + (_P5 + np.uint64(8))
+    turn(h, 27)
+    h *= _P1
+    h += _P4
+    for k, factor in ((33, _P2), (29, _P3)):
+        fold(h, k)
+        h *= factor
+    fold(h, 32)
+    return h
 
 
 def gram_hash(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """Hashes of n-grams from those without their last and without their first word: Spark's
     xxhash64 of both columns."""
-    return _hash(suffix, _hash(prefix, np.uint64(42)))
+    out = np.empty(len(prefix), np.uint64)
+    for i in range(0, len(out), CACHED):
+        some = slice(i, i + CACHED)
+        out[some] = _hash(suffix[some], _hash(prefix[some], np.uint64(42)))
+    return out
 
 
 def longer(grams: np.ndarray) -> np.ndarray:
@@ -100,36 +124,84 @@ def longer(grams: np.ndarray) -> np.ndarray:
     return gram_hash(grams[:-1], grams[1:])
 
 
+#: The seeds of a word's two hashes, words of more bytes than LANED are hashed by XXH3, and what a lane of so many bytes keeps.
+_SEEDS, LANED = (np.uint64(42), _P3), 64
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kinds: int = 2) -> list[np.ndarray]:
+    """Two hashes of 64 bits of each stretch of the bytes, or the first of them, the second one odd:
+    XXH64's rounds, with two seeds, over the length and the lanes of 8 bytes, the last filled up with zeros."""
+    lanes = np.zeros(len(data) // 8 + 2, "<u8")
+    lanes.view(np.uint8)[: len(data)] = data
+
+    def lane(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        low, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return (lanes[low] >> shift | lanes[low + 1] << np.uint64(1) << np.uint64(63) - shift) & _BYTES[np.minimum(left, 8)]
+
+    size = end - begin
+    out = [np.empty(len(begin), np.uint64) for _ in range(kinds)]
+    for i in range(0, len(begin), CACHED):
+        some = slice(i, i + CACHED)
+        first, length = lane(begin[some], size[some]), size[some].astype(np.uint64) * _P4
+        for x, seed in zip(out, _SEEDS, strict=False):
+            x[some] = _hash(first, length + seed)
+    more = np.flatnonzero(size > 8)
+    for done in range(8, LANED, 8):
+        more = more[size[more] > done]
+        next_ = lane(begin[more] + done, size[more] - done)
+        for x in out:
+            x[more] = _hash(next_, x[more])
+    if len(long := np.flatnonzero(size > LANED)):
+        from xxhash import xxh3_128_digest
+
+        codes = b"".join(xxh3_128_digest(data[i:j].tobytes()) for i, j in zip(begin[long].tolist(), end[long].tolist(), strict=True))
+        for x, h in zip(out, np.frombuffer(codes, ">u8").reshape(-1, 2).T, strict=False):
+            x[long] = h
+    for x in out[1:]:
+        x |= np.uint64(1)
+    return out
+
+
 @dataclass
 class Symbols:
     """The symbols of some texts in a row, each text between two ends."""
 
-    low: np.ndarray  # the two hashes of each distinct symbol
-    high: np.ndarray
-    ids: np.ndarray  # which symbol is where
-    owner: np.ndarray  # the text of each
+    owner: np.ndarray  # the text of the symbol at each place
     starts: np.ndarray  # where each text begins
-
-    def counts(self) -> np.ndarray:
-        """How often each symbol is in the texts; the end before a text is none of it."""
-        return np.bincount(self.ids, minlength=len(self.low)) - np.bincount(self.ids[self.starts], minlength=len(self.low))
-
-
-def symbols(texts: pa.Array) -> Symbols:
-    from xxhash import xxh3_128_digest
-
-    lines = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
-    words = lines.flatten()
-    full = pc.greater(pc.binary_length(words), 0)
-    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lines).to_numpy(zero_copy_only=False))[full.to_numpy(zero_copy_only=False)]
-    coded = words.filter(full).dictionary_encode()
-    distinct = [END, *coded.dictionary.cast(pa.binary()).to_pylist()]
-    codes = np.frombuffer(b"".join(map(xxh3_128_digest, distinct)), ">u8").astype(np.uint64).reshape(-1, 2)
-    sizes = np.bincount(owner, minlength=len(texts)) + 2
+    low: np.ndarray  # the two hashes of each symbol
+    high: np.ndarray | None = None
+
+    def inside(self) -> np.ndarray:
+        """The places that count; the end before a text is none of it."""
+        inside = np.ones(len(self.low), bool)
+        inside[self.starts] = False
+        return np.flatnonzero(inside)
+
+
+def symbols(texts: pa.Array, kinds: int = 2) -> Symbols:
+    """The symbols by two hashes, or by the first one."""
+    lower = pc.ascii_lower(texts.fill_null(""))
+    _, at, held = lower.buffers()
+    edges = np.frombuffer(at, np.int64 if pa.types.is_large_string(lower.type) else np.int32)[lower.offset : lower.offset + len(lower) + 1].astype(np.int64)
+    data = np.frombuffer(held or b"", np.uint8)[edges[0] : edges[-1]]
+    edges -= edges[0]
+    space = (data == 0x20) | (data - np.uint8(9) < 5)
+    first, last = ~space, ~space
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    full = edges[:-1] < edges[1:]
+    first[edges[:-1][full]] = ~space[edges[:-1][full]]
+    last[edges[1:][full] - 1] = ~space[edges[1:][full] - 1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    owner = np.repeat(np.arange(len(texts)), sizes := np.diff(np.searchsorted(begin, edges)))
+    sizes = sizes + 2
     starts = np.cumsum(sizes) - sizes
-    ids = np.zeros(int(sizes.sum()), np.int64)
-    ids[np.arange(len(owner)) + 2 * owner + 1] = coded.indices.to_numpy() + 1
-    return Symbols(codes[:, 1].copy(), codes[:, 0] | np.uint64(1), ids, np.repeat(np.arange(len(texts)), sizes), starts)
+    codes = [np.full(int(sizes.sum()), code[0]) for code in word_hashes(np.frombuffer(END, np.uint8), np.array([0]), np.array([len(END)]), kinds)]
+    words = np.arange(len(owner)) + 2 * owner + 1
+    for out, code in zip(codes, word_hashes(data, begin, end, kinds), strict=True):
+        out[words] = code
+    return Symbols(np.repeat(np.arange(len(texts)), sizes), starts, *codes)
 
 
 def runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
@@ -150,14 +222,17 @@ def _summed(prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray | None, words:
     """(hash, prefix, suffix, n) of each n-gram once, by rising hash, with the sum of its
     numbers; words are told apart by both of their hashes."""
     grams = gram_hash(prefix, suffix)
-    order = np.lexsort((suffix, prefix, grams)) if words else np.argsort(grams)
-    grams, prefix, suffix = grams[order], prefix[order], suffix[order]
-    new = grams[1:] != grams[:-1]
+    order = np.argsort(grams)
+    new = np.diff(grams[order]) != 0
     if words:
-        new |= (prefix[1:] != prefix[:-1]) | (suffix[1:] != suffix[:-1])
+        apart = lambda: (np.diff(prefix[order]) != 0) | (np.diff(suffix[order]) != 0)
+        if (apart() & ~new).any():
+            order = np.lexsort((suffix, prefix, grams))
+            new = (np.diff(grams[order]) != 0) | apart()
     first = np.flatnonzero(np.r_[True, new][: len(grams)])
     n = np.diff(np.r_[first, len(grams)]) if n is None else np.add.reduceat(n[order], first) if len(first) else n
-    return grams[first], prefix[first], suffix[first], n
+    once = order[first]
+    return grams[once], prefix[once], suffix[once], n
 
 
 def _parts(*columns: np.ndarray) -> Iterator[list[np.ndarray]]:
@@ -193,7 +268,7 @@ def _sum_of(size: int, blocks: list[bytes]) -> tuple[np.ndarray, ...]:
     return _summed(columns[0], columns[1], columns[2].view(np.int64), size == 1)
 
 
-def counted(texts: DataFrame, text: str, grams_of: Callable[[Symbols], Iterator[tuple]], room: int) -> DataFrame:
+def counted(texts: DataFrame, text: str, grams_of: Callable[[pa.Array], Iterator[tuple]], room: int) -> DataFrame:
     """(size, a, b, n): the sums of what ``grams_of`` tells of runs of texts, (size, a, b, n) with
     words as size 1; n-grams, but words, that sum to less than LEAST_STEP are left out.
 
@@ -209,7 +284,7 @@ def counted(texts: DataFrame, text: str, grams_of: Callable[[Symbols], Iterator[
     def deal(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
         for (values,) in batches:
             for begin, end in runs(values):
-                for size, a, b, n in grams_of(symbols(values.slice(begin, end - begin))):
+                for size, a, b, n in grams_of(values.slice(begin, end - begin)):
                     yield from _blocks(size, coarse, *_summed(a, b, n, size == 1))
 
     def split(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
@@ -252,34 +327,32 @@ def counted(texts: DataFrame, text: str, grams_of: Callable[[Symbols], Iterator[
     return map_batches(dealt, ["size", "at", "block"], "size byte, a long, b long, n long", giving_back(add))
 
 
-def _words_and_pairs(some: Symbols) -> Iterator[tuple]:
-    """The words (by both hashes) and the pairs of symbols (prefix and suffix)."""
-    yield 1, some.low, some.high, some.counts()
-    grams, same = some.low[some.ids], some.owner[1:] == some.owner[:-1]
-    yield 2, grams[:-1][same], grams[1:][same], None
+def _words(texts: pa.Array) -> Iterator[tuple]:
+    """The words by both of their hashes."""
+    some = symbols(texts)
+    at = some.inside()
+    yield 1, some.low[at], some.high[at], None
 
 
 def bitmap(grams: DataFrame) -> np.ndarray:
-    """Bits of which those are set that two parts of the hashes ``g`` fall on; a power of two, at most BITS."""
+    """64-bit words, a power of two of at most BITS bits, in which for each hash ``g`` those of
+    its bits are set that its lowest bits tell the word of."""
     rows = grams.count()
-    size = min(BITS, 1 << max(6, (16 * rows).bit_length()))
-    part = F.explode(F.array(F.col("g"), F.shiftrightunsigned("g", SECOND)))
-    words = grams.select(part.alias("part")).select(F.col("part").bitwiseAND(F.lit(size - 1)).alias("bit"))
-    words = words.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).toArrow()
-    out = np.zeros(size // 64, np.int64)
+    size = min(BITS, 1 << max(6, (16 * rows).bit_length())) // 64
+    bits = " | ".join(f"shiftleft(1L, int(shiftrightunsigned(g, {k}) & 63))" for k in MARKS)
+    words = grams.select(F.col("g").bitwiseAND(F.lit(size - 1)).cast("int").alias("word"), F.expr(bits).alias("bits"))
+    words = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint64)
 
 
 def _may(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    def has(part: np.ndarray) -> np.ndarray:
-        at = part & np.uint64(64 * len(bits) - 1)
-        return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-    out = has(grams)
-    some = np.flatnonzero(out)
-    out[some] = has(grams[some] >> np.uint64(SECOND))
-    return out
+    of = bits[(grams & np.uint64(len(bits) - 1)).astype(np.int64)]
+    out = np.uint64(1)
+    for k in MARKS:
+        out = out & of >> (grams >> np.uint64(k) & np.uint64(63))
+    return out.astype(bool)
 
 
 def _found(texts: DataFrame, text: str, size: int, sent: Broadcast, room: int) -> DataFrame:
@@ -287,9 +360,10 @@ def _found(texts: DataFrame, text: str, size: int, sent: Broadcast, room: int) -
     after what may be a candidate; the suffix of such a one is known to occur so often.
     Sent are the bitmaps of candidates and of what is known."""
 
-    def grams_of(some: Symbols) -> Iterator[tuple]:
+    def grams_of(texts: pa.Array) -> Iterator[tuple]:
         contexts, known = sent.value
-        grams = some.low[some.ids]
+        some = symbols(texts, kinds=1)
+        grams = some.low
         for _ in range(size - 2):
             grams = longer(grams)
         if len(grams) > 1:
@@ -324,20 +398,17 @@ def grow(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[int,
     text, a word's root aside; words is how often it occurs if it is a word. An n-gram may
     have two rows, one as a step and one as a state."""
     room = texts.agg(F.coalesce(F.sum(F.octet_length(quoted(text))), F.lit(0))).first()[0]
-    counts = keep(counted(texts, text, _words_and_pairs, room), "counts")
-    release_shuffles(texts.sparkSession)
-    words = counts.where("size = 1").select(F.col("a").alias("g"), F.col("b").alias("h"), "n")
+    words = keep(counted(texts, text, _words, room).select(F.col("a").alias("g"), F.col("b").alias("h"), "n"), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = total + ALPHA * (kinds + 1)
     level = words.select("g", "n", ((F.col("n") + ALPHA) / floor).alias("p"))
-    found = counts.where("size = 2").select(F.col("a").alias("prefix"), F.col("b").alias("suffix"), "n")
-    weights, kept = None, [counts]
+    weights, kept = None, [words]
     for size in range(2, depth + 2):
         candidates = level.where(F.col("n") >= LEAST_STATE)
-        if size > 2:
-            sent = texts.sparkSession.sparkContext.broadcast((bitmap(candidates), bitmap(level)))
-            found = _found(texts, text, size, sent, room)
-        below = level.where(F.col("n") >= LEAST_STEP).select(F.col("g").alias("suffix"), F.col("p").alias("below"))
+        known = level.where(F.col("n") >= LEAST_STEP)
+        sent = texts.sparkSession.sparkContext.broadcast((bitmap(candidates), bitmap(known)))
+        found = _found(texts, text, size, sent, room)
+        below = known.select(F.col("g").alias("suffix"), F.col("p").alias("below"))
         steps = keep(found.join(below, "suffix"), "steps")
         states = keep(_states(candidates.select(F.col("g").alias("prefix"), F.col("n").alias("total")), steps), "states")
         leaves = states.where("rest is not null").select(F.col("prefix").alias("g"), F.col("total").alias("n"), F.log10("rest").alias("w"))
@@ -351,8 +422,7 @@ def grow(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[int,
         level = steps.join(states, "prefix").withColumn("p", F.when(stays, p).otherwise(F.col("below")))
         level = keep(level.select(F.xxhash64("prefix", "suffix").alias("g"), "n", "p", F.when(stays, e).alias("e")), "level")
         weights = weights.unionAll(level.where("e is not null").select("g", F.lit(0).cast("long"), "n", "e"))
-        if size > 2:
-            sent.destroy()
+        sent.destroy()
         forget(steps)
         kept += [states, level]
     weights = keep(weights.select("g", "h", F.when(F.col("h") != 0, F.col("n")).alias("words"), "n", "w"), "weights")
@@ -429,7 +499,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
         for keys, idents, values in batches:
             for begin, end in runs(values, SCORE_BYTES):
                 some = symbols(values.slice(begin, end - begin))
-                owner, grams = some.owner, some.low[some.ids]
+                owner, grams = some.owner, some.low
                 texts = end - begin
                 run = xxh3_128_digest(keys.slice(begin, texts).to_numpy().tobytes() + grams.tobytes())
                 known, base, score = (np.zeros(texts) for _ in range(3))
@@ -442,11 +512,9 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
                         at = at[_may(known_grams, grams[at])]
                         h = np.zeros(len(at), np.uint64)
                     else:
-                        inside = np.ones(len(grams), bool)
-                        inside[some.starts] = False
-                        at = np.flatnonzero(inside)
+                        at = some.inside()
                         at = at[mine(grams[at])] if turn else at
-                        h = some.high[some.ids[at]]
+                        h = some.high[at]
                     g, of = grams[at], owner[at]
                     place = slots[(g & mask).astype(np.int64)]
                     here = (codes[place] == g) & (high[place] == h)
@@ -555,7 +623,8 @@ def _ranged(bits: int, of: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[i
     """(range, block) of n-grams, the first of the columns, and what goes with each: the number of
     texts, these, how many n-grams each has there, and the columns, by text."""
     at = (columns[0] >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(of), np.uint16)
-    order = np.lexsort((of, at))
+    order = np.argsort(of, kind="stable")  # both of few bits, which NumPy sorts without comparing
+    order = order[np.argsort(at[order], kind="stable")]
     at, of, *columns = (c[order] for c in (at, of, *columns))
     start = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (of[1:] != of[:-1])][: len(at)])
     size = np.diff(np.r_[start, len(at)])

@@ -14,6 +14,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -169,6 +170,33 @@ def test_a_worker_gives_its_memory_back():
     assert sizes[0][0] == 1 and resident() < sizes[0][1] - 100
 
 
+@pytest.mark.parametrize("part", [slice(None), slice(1, None), slice(3, 6), slice(1, 2)])
+def test_symbols_are_told_apart_by_their_bytes(part):
+    rows = ["a  b\tA\u00e9", None, "", " x ", "\x0b\x0c\r\n\x1c y" + "z" * 100, " ".join("w" * n for n in (1, 7, 8, 9, 16, 63, 64, 65, 66)), "\u00e9" * 40, "w\x00 w\x00\x00 w"][part]
+    for kind in (pa.string(), pa.large_string()):
+        some, codes, place = lm.symbols(pa.array(["", *rows], kind)[1:]), {}, 0
+        for i, row in enumerate(rows):
+            assert some.starts[i] == place
+            for word in [END, *re.findall(rb"[^\x20\x09-\x0D]+", (row or "").encode().lower()), END]:
+                code = int(some.low[place]), int(some.high[place])
+                assert codes.setdefault(word, code) == code and some.owner[place] == i and code[1] & 1
+                place += 1
+        assert place == len(some.low) and len({c[0] for c in codes.values()}) == len(codes)
+        assert (lm.symbols(pa.array(rows, kind), kinds=1).low == some.low).all()
+
+
+def test_pairs_of_rare_words_are_not_sent(spark, monkeypatch):
+    """Only a pair of a word of LEAST_STATE occurrences and one of LEAST_STEP can be a step."""
+    sent = []
+    plain = lm.counted
+    monkeypatch.setattr(lm, "counted", lambda *a: sent.append(plain(*a)) or sent[-1])
+    rows = [(i, f"often{i % 2} twice{i // 2} rare{i}") for i in range(1, 40)]
+    score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = sum(zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows)
+    assert len(sent) == 4 and sent[0].where("size != 1").count() == 0
+    assert 0 < sum(r.n for r in sent[0].collect()) == 4 * (len(rows) - held)
+
+
 @pytest.mark.parametrize(("bits", "most"), [(0, 65535), (3, 65535), (3, 7)])
 def test_blocks_of_a_range_tell_all_rows(monkeypatch, bits, most):
     monkeypatch.setattr(lm, "MOST", most)
