@@ -31,9 +31,11 @@ not in the way.
 from __future__ import annotations
 
 import ctypes
+import math
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from flowloom.llm.batches import map_batches, quoted
+from flowloom.llm.batches import batches_by_rows, map_batches, quoted
 from flowloom.session import forget, keep, release_shuffles
 
 #: Words of the longest context; least occurrences of a state and of a step.
@@ -52,6 +54,8 @@ DEPTH, LEAST_STATE, LEAST_STEP = 3, 8, 2
 ALPHA, DISCOUNT = 0.1, 0.6
 #: N-grams whose weights are sent to tasks at most, and most bits of a bitmap.
 HOT, BITS = 1 << 18, 1 << 27
+#: Hashes whose bits of a bitmap are set together, about, as a power of two.
+STRETCH = 20
 #: First bits of the three parts of a hash that tell which bits of a bitmap's word it sets.
 MARKS = (28, 34, 40)
 #: The end of a text, also the context that its first word has; no word is a line feed.
@@ -78,6 +82,10 @@ MOST = (1 << 16) - 1
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
+#: Keeps a table of hashes, which hardly repeat: to try a dictionary of them costs time only.
+_keep = partial(keep, **{"parquet.enable.dictionary": "false"})
+
+
 def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(quoted(key)).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
@@ -124,31 +132,36 @@ def longer(grams: np.ndarray) -> np.ndarray:
     return gram_hash(grams[:-1], grams[1:])
 
 
-#: The seeds of a word's two hashes, words of more bytes than LANED are hashed by XXH3, and what a lane of so many bytes keeps.
+#: The seeds of a word's two hashes, and words of more bytes than LANED are hashed by XXH3.
 _SEEDS, LANED = (np.uint64(42), _P3), 64
-_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kinds: int = 2) -> list[np.ndarray]:
     """Two hashes of 64 bits of each stretch of the bytes, or the first of them, the second one odd:
     XXH64's rounds, with two seeds, over the length and the lanes of 8 bytes, the last filled up with zeros."""
-    lanes = np.zeros(len(data) // 8 + 2, "<u8")
-    lanes.view(np.uint8)[: len(data)] = data
+    room = np.zeros(len(data) + 8, np.uint8)
+    room[: len(data)] = data
+    lanes = np.ndarray(len(data) + 1, "<u8", room, strides=(1,))  # the lane that begins at each byte
 
     def lane(at: np.ndarray, left: np.ndarray) -> np.ndarray:
-        low, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
-        return (lanes[low] >> shift | lanes[low + 1] << np.uint64(1) << np.uint64(63) - shift) & _BYTES[np.minimum(left, 8)]
+        rest = (8 - np.minimum(left, 8) << 3).view(np.uint64)  # bits of what follows
+        out = lanes[at]
+        out <<= rest
+        out >>= rest
+        return out
 
     size = end - begin
     out = [np.empty(len(begin), np.uint64) for _ in range(kinds)]
     for i in range(0, len(begin), CACHED):
         some = slice(i, i + CACHED)
-        first, length = lane(begin[some], size[some]), size[some].astype(np.uint64) * _P4
+        first, length = lane(begin[some], size[some]), size[some].view(np.uint64) * _P4
         for x, seed in zip(out, _SEEDS, strict=False):
             x[some] = _hash(first, length + seed)
     more = np.flatnonzero(size > 8)
     for done in range(8, LANED, 8):
         more = more[size[more] > done]
+        if not len(more):
+            break
         next_ = lane(begin[more] + done, size[more] - done)
         for x in out:
             x[more] = _hash(next_, x[more])
@@ -218,21 +231,38 @@ def runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def _sorted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Their order, and the hashes in it. Numbers that hold a hash's first bits and its place are
+    sorted without moving two arrays; the rare hashes that those bits do not tell apart are sorted in full."""
+    bits = len(grams).bit_length()
+    places = np.uint64((1 << bits) - 1)
+    order = grams & ~places
+    order |= np.arange(len(grams), dtype=np.uint64)
+    order.sort()
+    order &= places
+    order = order.view(np.int64)
+    out = grams[order]
+    if (out[1:] < out[:-1]).any():
+        order = np.argsort(grams)
+        out = grams[order]
+    return order, out
+
+
 def _summed(prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray | None, words: bool) -> tuple[np.ndarray, ...]:
     """(hash, prefix, suffix, n) of each n-gram once, by rising hash, with the sum of its
     numbers; words are told apart by both of their hashes."""
-    grams = gram_hash(prefix, suffix)
-    order = np.argsort(grams)
-    new = np.diff(grams[order]) != 0
+    order, grams = _sorted(all_ := gram_hash(prefix, suffix))
+    new = grams[1:] != grams[:-1]
     if words:
         apart = lambda: (np.diff(prefix[order]) != 0) | (np.diff(suffix[order]) != 0)
         if (apart() & ~new).any():
-            order = np.lexsort((suffix, prefix, grams))
-            new = (np.diff(grams[order]) != 0) | apart()
+            order = np.lexsort((suffix, prefix, all_))
+            grams = all_[order]
+            new = (grams[1:] != grams[:-1]) | apart()
     first = np.flatnonzero(np.r_[True, new][: len(grams)])
     n = np.diff(np.r_[first, len(grams)]) if n is None else np.add.reduceat(n[order], first) if len(first) else n
     once = order[first]
-    return grams[once], prefix[once], suffix[once], n
+    return grams[first], prefix[once], suffix[once], n
 
 
 def _parts(*columns: np.ndarray) -> Iterator[list[np.ndarray]]:
@@ -240,6 +270,19 @@ def _parts(*columns: np.ndarray) -> Iterator[list[np.ndarray]]:
         yield [c[i : i + AT_ONCE] for c in columns]
 
 
+def gathered(batches: Iterator[list[pa.Array]], rows: int = 10 * AT_ONCE) -> Iterator[list[pa.Array]]:
+    """The batches, put together to ``rows`` at least or all."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch[0])
+        if n >= rows:
+            yield [pa.concat_arrays(x) for x in zip(*held, strict=True)]
+            held, n = [], 0
+    if held:
+        yield [pa.concat_arrays(x) for x in zip(*held, strict=True)]
+
+
 def giving_back(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``fn`` which at its end returns the memory it has freed to the system: a worker lives on
     between tasks, and what it holds is not there for the others of its executor."""
@@ -277,6 +320,7 @@ def counted(texts: DataFrame, text: str, grams_of: Callable[[pa.Array], Iterator
     A task adds up one range after the other. As a run sends an n-gram once, none is hot. Over
     the network go at most 2^COARSE ranges a size; the task that one arrives at deals it
     into its finer ones, so that neither partitions nor rows grow with the corpus squared.
+    Two ranges are a task, as a task costs some time besides its rows.
     """
     bits = max(0, (max(room, 1) - 1) // RANGE_BYTES).bit_length()
     coarse = min(bits, COARSE)
@@ -320,7 +364,7 @@ def counted(texts: DataFrame, text: str, grams_of: Callable[[pa.Array], Iterator
             yield from total()
 
     dealt = map_batches(texts, [text], "size byte, at long, block binary", giving_back(deal))
-    dealt = dealt.repartition(2 << coarse, "size", "at")
+    dealt = dealt.repartition(max(1, (1 << coarse) // 2), "size", "at")
     if coarse < bits:
         dealt = map_batches(dealt, ["size", "at", "block"], "size byte, at long, block binary", giving_back(split))
     dealt = dealt.sortWithinPartitions("size", "at")
@@ -334,25 +378,55 @@ def _words(texts: pa.Array) -> Iterator[tuple]:
     yield 1, some.low[at], some.high[at], None
 
 
-def bitmap(grams: DataFrame) -> np.ndarray:
+def bitmap(grams: DataFrame, rows: int, column: str = "g", of: Callable[[pa.Array], np.ndarray] | None = None) -> np.ndarray:
     """64-bit words, a power of two of at most BITS bits, in which for each hash ``g`` those of
-    its bits are set that its lowest bits tell the word of."""
-    rows = grams.count()
+    its bits are set that its lowest bits tell the word of. ``of`` tells the hashes of a batch of
+    the column. They are dealt out by stretches of words, and a task sets the bits of its stretches."""
     size = min(BITS, 1 << max(6, (16 * rows).bit_length())) // 64
-    bits = " | ".join(f"shiftleft(1L, int(shiftrightunsigned(g, {k}) & 63))" for k in MARKS)
-    words = grams.select(F.col("g").bitwiseAND(F.lit(size - 1)).cast("int").alias("word"), F.expr(bits).alias("bits"))
-    words = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint64)
+    part = max(1, size >> (rows >> STRETCH).bit_length())
+    low = part.bit_length() - 1
+
+    def deal(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
+        for (values,) in gathered(batches) if of is None else batches:
+            g = values.to_numpy().view(np.uint64) if of is None else of(values)
+            at = ((g & np.uint64(size - 1)) >> np.uint64(low)).astype(np.uint16)
+            order = np.argsort(at, kind="stable")
+            full, first = np.unique(at[order], return_index=True)
+            edges = [*first.tolist(), len(g)]
+            yield [full.astype(np.int32), [g[order[i:j]].tobytes() for i, j in zip(edges, edges[1:], strict=False)]]
+
+    def mark(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
+        held = {}
+        for stretches, blocks in batches:
+            for at in pc.unique(stretches).to_pylist():
+                flags = held[at] if at in held else held.setdefault(at, np.zeros(64 * part, bool))
+                grams = np.frombuffer(b"".join(blocks.filter(pc.equal(stretches, at)).to_pylist()), np.uint64)
+                for i in range(0, len(grams), CACHED):
+                    g = grams[i : i + CACHED]
+                    word = (g & np.uint64(part - 1)) << np.uint64(6)
+                    for k in MARKS:
+                        flags[(word | g >> np.uint64(k) & np.uint64(63)).view(np.int64)] = True
+        for at, flags in held.items():
+            yield [[at], [np.packbits(flags, bitorder="little").tobytes()]]
+
+    with batches_by_rows(grams.sparkSession) if of is None else nullcontext():
+        dealt = map_batches(grams, [column], "at int, block binary", deal).repartition(size // part, "at")
+        marked = map_batches(dealt, ["at", "block"], "at int, bits binary", giving_back(mark)).collect()
+    out = np.zeros(size, np.uint64)
+    for at, block in marked:
+        out[at * part : (at + 1) * part] = np.frombuffer(block, np.uint64)
+    return out
 
 
 def _may(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    of = bits[(grams & np.uint64(len(bits) - 1)).astype(np.int64)]
-    out = np.uint64(1)
-    for k in MARKS:
-        out = out & of >> (grams >> np.uint64(k) & np.uint64(63))
-    return out.astype(bool)
+    """Which of the hashes may be in the bitmap."""
+    out = np.empty(len(grams), bool)
+    for i in range(0, len(grams), CACHED):
+        g = grams[i : i + CACHED]
+        of = bits[(g & np.uint64(len(bits) - 1)).view(np.int64)]
+        marks = [of >> (g >> np.uint64(k) & np.uint64(63)) for k in MARKS]
+        out[i : i + CACHED] = marks[0] & marks[1] & marks[2] & np.uint64(1)
+    return out
 
 
 def _found(texts: DataFrame, text: str, size: int, sent: Broadcast, room: int) -> DataFrame:
@@ -392,73 +466,163 @@ def _states(candidates: DataFrame, steps: DataFrame) -> DataFrame:
     return sums.join(candidates, "prefix").select("prefix", "total", F.when(stays, 1 - F.col("shared") / total).alias("rest"))
 
 
-def grow(texts: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[int, float, DataFrame]:
-    """The model of the training texts: the number of tokens, the root's denominator, and
-    (g, h, words, n, w), what each word (h not 0) and n-gram (h = 0) adds to the score of a
-    text, a word's root aside; words is how often it occurs if it is a word. An n-gram may
-    have two rows, one as a step and one as a state."""
-    room = texts.agg(F.coalesce(F.sum(F.octet_length(quoted(text))), F.lit(0))).first()[0]
-    words = keep(counted(texts, text, _words, room).select(F.col("a").alias("g"), F.col("b").alias("h"), "n"), "words")
+def grow(texts: DataFrame, text: str, depth: int, room: int, bits: int) -> tuple[int, float, DataFrame]:
+    """The model of the training texts, of ``room`` bytes: the number of tokens, the root's
+    denominator, and its weights, a row (at, held, words, grams, adds, top) or two for each of 2^bits
+    ranges of hashes: what each word (g, h, n, w) and each of ``held`` n-grams (g, and w in adds) adds
+    to the score of a text, a word's root aside, by rising g; n is how often it occurs. Of the most
+    frequent of them top has (g, h, n, w), n-grams with an h of 0."""
+    words = _keep(counted(texts, text, _words, room).select(F.col("a").alias("g"), F.col("b").alias("h"), "n"), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = total + ALPHA * (kinds + 1)
     level = words.select("g", "n", ((F.col("n") + ALPHA) / floor).alias("p"))
-    weights, kept = None, [words]
+    weights, kept = [], [words]
     for size in range(2, depth + 2):
         candidates = level.where(F.col("n") >= LEAST_STATE)
         known = level.where(F.col("n") >= LEAST_STEP)
-        sent = texts.sparkSession.sparkContext.broadcast((bitmap(candidates), bitmap(known)))
+        rows = level.agg(*[F.count_if(F.col("n") >= least) for least in (LEAST_STATE, LEAST_STEP)]).first()
+        sent = texts.sparkSession.sparkContext.broadcast(tuple(bitmap(some, n) for some, n in zip((candidates, known), rows, strict=True)))
         found = _found(texts, text, size, sent, room)
         below = known.select(F.col("g").alias("suffix"), F.col("p").alias("below"))
-        steps = keep(found.join(below, "suffix"), "steps")
-        states = keep(_states(candidates.select(F.col("g").alias("prefix"), F.col("n").alias("total")), steps), "states")
+        steps = _keep(found.join(below, "suffix"), "steps")
+        del found
+        release_shuffles(texts.sparkSession)
+        states = _keep(_states(candidates.select(F.col("g").alias("prefix"), F.col("n").alias("total")), steps), "states")
         leaves = states.where("rest is not null").select(F.col("prefix").alias("g"), F.col("total").alias("n"), F.log10("rest").alias("w"))
-        if weights is None:
-            weights = words.join(leaves.drop("n"), "g", "left").select("g", "h", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+        if size == 2:
+            of_words = words.join(leaves.drop("n"), "g", "left").select("g", "h", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
         else:
-            weights = weights.unionAll(leaves.select("g", F.lit(0).cast("long"), "n", "w"))
+            weights.append(leaves)
         stays = F.col("rest").isNotNull()
         p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + F.col("rest") * F.col("below")
-        e = F.log10("p") - F.log10("below") - F.log10("rest")
+        e = F.log10(F.col("p") / (F.col("below") * F.col("rest")))
         level = steps.join(states, "prefix").withColumn("p", F.when(stays, p).otherwise(F.col("below")))
-        level = keep(level.select(F.xxhash64("prefix", "suffix").alias("g"), "n", "p", F.when(stays, e).alias("e")), "level")
-        weights = weights.unionAll(level.where("e is not null").select("g", F.lit(0).cast("long"), "n", "e"))
+        level = _keep(level.select(F.xxhash64("prefix", "suffix").alias("g"), "n", "p", F.when(stays, e).alias("e")), "level")
+        weights.append(level.where("e is not null").select("g", "n", F.col("e").alias("w")))
         sent.destroy()
         forget(steps)
         kept += [states, level]
-    weights = keep(weights.select("g", "h", F.when(F.col("h") != 0, F.col("n")).alias("words"), "n", "w"), "weights")
+    with batches_by_rows(texts.sparkSession):
+        packs = _packed(of_words, ["g", "h", "n", "w"], "words", bits).unionAll(_packed(reduce(DataFrame.unionAll, weights), ["g", "n", "w"], "grams", bits))
+        weights = keep(packs, "weights")
     forget(*kept)
     release_shuffles(texts.sparkSession)
     return total, floor, weights
 
 
-def most_frequent(weights: DataFrame, most: int | None = None) -> pa.Table:
-    """Weights by falling n, ``most`` at most: those above a number that few sums tell."""
-    most = HOT if most is None else most
-    step = F.floor(8 * F.log2("n")).cast("int")
-    least, held = None, 0
-    for r in weights.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        held += r["count"]
-        if held > most:
-            break
-        least = r["step"]
-    found = weights.where(step >= least if least is not None else F.lit(False)).toArrow()
-    found = found.group_by(["g", "h"]).aggregate([("n", "max"), ("words", "max"), ("w", "sum")])
-    return found.sort_by([("n_max", "descending"), ("g", "ascending"), ("h", "ascending")])
-
-
-def _slots(hot: pa.Table, floor: float) -> tuple[np.ndarray, ...]:
-    """The hot weights by the lowest bits of their hash: the place of what is on a slot, and
-    there hash, second hash, whether it is a word, root and weight. Of those that fall on one
-    slot the most frequent is there; an empty slot has a place that fits no hash."""
-    g, h = (hot[c].to_numpy().view(np.uint64) for c in ("g", "h"))
-    size = 1 << (2 * len(g)).bit_length()
-    slot, first = np.unique(g & np.uint64(size - 1), return_index=True)
-    slots = np.full(size, len(g), np.int32)
-    slots[slot.astype(np.int64)] = first
-    words = hot["words_max"].fill_null(0).to_numpy()
-    root = np.where(words > 0, np.log10((words + ALPHA) / (floor or 1.0)), 0.0)
-    # a hash of 0 with a second one of 2 is of no n-gram (0) and of no word (odd)
-    return slots, np.r_[g, np.uint64(0)], np.r_[h, np.uint64(2)], np.r_[words > 0, False], np.r_[root, 0.0], np.r_[hot["w_sum"].to_numpy(), 0.0]
+def _packed(weights: DataFrame, columns: list[str], kind: str, bits: int) -> DataFrame:
+    """A row for each range of what ``grow`` tells of words, or of n-grams; the weights of one
+    n-gram, which is there as a step and as a state, become one."""
+
+    # hashes fall evenly on ranges, and it alters no result which n-grams are sent to tasks
+    most = (HOT >> bits) + 4 * math.isqrt(HOT >> bits) + 1
+
+    def pack(batches: Iterator[list[pa.Array]]) -> Iterator[list]:
+        parts = list(zip(*batches, strict=True))
+        if not parts:
+            return
+        parts = [np.concatenate([c.to_numpy() for c in x]) for x in parts]
+        order, g = _sorted(parts[0].view(np.uint64))
+        parts = [x[order] for x in parts[1:]]
+        if kind == "grams":
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            g, n, w = g[first], np.maximum.reduceat(parts[0], first), np.add.reduceat(parts[1], first)
+            h = np.zeros(len(g), np.int64)
+        else:
+            h, n, w = parts
+        at = g >> np.uint64(64 - bits) if bits else np.zeros(len(g), np.uint64)
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        edges = [*first.tolist(), len(g)]
+        for i, j in zip(edges, edges[1:], strict=False):
+            columns = [x[i:j] for x in (g, h, n, w)]
+            often = np.argsort(-columns[2], kind="stable")[:most]
+            top, block = (b"".join(x.tobytes() for x in some) for some in ([x[often] for x in columns], columns))
+            words, grams, adds = (b"", columns[0].tobytes(), columns[3].tobytes()) if kind == "grams" else (block, b"", b"")
+            yield [at[i : i + 1].astype(np.int64), [len(grams) // 8], [words], [grams], [adds], [top]]
+
+    place = F.shiftrightunsigned("g", 64 - bits) if bits else F.lit(0)
+    # tasks of some ranges each, whatever number of partitions is set
+    dealt = weights.repartition(max(1, (1 << bits) // 2), place)
+    return map_batches(dealt, columns, "at long, held long, words binary, grams binary, adds binary, top binary", giving_back(pack))
+
+
+def _table(block: bytes, *kinds: type) -> list[np.ndarray]:
+    return _columns(block, len(block) // (8 * len(kinds)), *kinds)
+
+
+#: The columns of words.
+_WORDS = (np.uint64, np.uint64, np.int64, np.float64)
+
+
+def most_frequent(weights: DataFrame, most: int | None = None) -> list[np.ndarray]:
+    """(g, h, n, w) by falling n, ``most`` at most, of those that a range's tasks have told of."""
+    rows = weights.select("top").toArrow()["top"]
+    columns = [np.concatenate(x) for x in zip(*[_table(b"", *_WORDS), *[_table(x.as_py(), *_WORDS) for x in rows]], strict=True)]
+    order = np.lexsort((columns[1], columns[0], -columns[2]))[: HOT if most is None else most]
+    return [c[order] for c in columns]
+
+
+@dataclass
+class Slots:
+    """Hot weights by the lowest bits of their hash; of those that fall on one slot the most frequent is there."""
+
+    codes: np.ndarray  # an empty slot has a hash that belongs on another
+    high: np.ndarray | None  # of words: the second hash, 0 on an empty slot as no word's is
+    weight: np.ndarray
+    root: np.ndarray | None
+
+    def places(self, g: np.ndarray, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each hash, and whether it is there."""
+        place = (g & np.uint64(len(self.codes) - 1)).view(np.int64)
+        here = self.codes[place] == g
+        return place, here if h is None else here & (self.high[place] == h)
+
+
+def _slots(hot: list[np.ndarray], floor: float) -> tuple[Slots, Slots]:
+    """Those of the hot weights, by falling n, that are of words, and of n-grams."""
+    g, h, n, w = hot
+    out = []
+    for some in (np.flatnonzero(h != 0), np.flatnonzero(h == 0)):
+        size = 1 << (2 * len(some)).bit_length()
+        slot, first = np.unique(g[some] & np.uint64(size - 1), return_index=True)
+        slot, some = slot.astype(np.int64), some[first]
+        codes, weight = ~np.arange(size, dtype=np.uint64), np.zeros(size)
+        codes[slot], weight[slot] = g[some], w[some]
+        high = root = None
+        if not out:
+            high, root = np.zeros(size, np.uint64), np.zeros(size)
+            high[slot], root[slot] = h[some], np.log10((n[some] + ALPHA) / (floor or 1.0))
+        out.append(Slots(codes, high, weight, root))
+    return tuple(out)
+
+
+class Index:
+    """Where hashes are in a rising array of some of one range, by the bits that follow the range's."""
+
+    def __init__(self, codes: np.ndarray, bits: int) -> None:
+        self.codes, self.bits, self.low = codes, np.uint64(bits), np.uint64(64 - max(1, len(codes).bit_length()))
+        sizes = np.bincount(self.bucket(codes), minlength=1 << max(1, len(codes).bit_length()))
+        self.start = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+
+    def bucket(self, g: np.ndarray) -> np.ndarray:
+        return (g << self.bits >> self.low).astype(np.int64)
+
+    def places(self, g: np.ndarray, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """The place of each hash, the number of codes if it has none; of some places of one hash, that which ``fits``."""
+        bucket = self.bucket(g)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        out = np.full(len(g), len(self.codes))
+        open_ = np.flatnonzero(at < end)
+        at, end, g = at[open_], end[open_], g[open_]
+        while len(open_):
+            met = self.codes[at] == g
+            if fits is not None:
+                met[met] = fits(open_[met], at[met])
+            out[open_[met]] = at[met]
+            at = at + 1
+            more = np.flatnonzero(~met & (at < end))
+            open_, at, end, g = open_[more], at[more], end[more], g[more]
+        return out
 
 
 #: What is known of a text before its n-grams that are not hot have met their weights.
@@ -476,12 +640,14 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
     last pass leave a table of sums, so that the n-grams of one pass are on the disks at a time.
     """
     docs = df.select(F.col(quoted(key)).alias("id"), F.col(quoted(text)).alias("text"))
-    training = docs.where(F.col("id").isNotNull() & ~held_out("id"))
-    total, floor, table = grow(training, depth=depth)
-    hot = _slots(most_frequent(table), floor)
-    room = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    learned = F.col("id").isNotNull() & ~held_out("id")
+    room, learned_room = docs.agg(*[F.coalesce(F.sum(F.when(c, F.octet_length("text"))), F.lit(0)) for c in (F.lit(True), learned)]).first()
     bits = max(0, (max(room, 1) - 1) // WEIGH_BYTES).bit_length()
-    sent = docs.sparkSession.sparkContext.broadcast((*hot, bitmap(table.where("h = 0"))))
+    total, floor, weights = grow(docs.where(learned), "text", depth, learned_room, bits)
+    hot = _slots(most_frequent(weights), floor)
+    grams = weights.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    known_grams = bitmap(weights, grams, "grams", lambda blocks: np.frombuffer(b"".join(blocks.to_pylist()), np.uint64))
+    sent = docs.sparkSession.sparkContext.broadcast((*hot, known_grams))
     kind = docs.schema["id"].dataType
     told = f"array<struct<id:{kind.simpleString()},{_TOLD}>>"
     told_type = to_arrow_type(StructType.fromDDL(f"docs {told}")["docs"].dataType)
@@ -493,8 +659,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
     def deal(batches: Iterator[list[pa.Array]], turn: int) -> Iterator[list]:
         from xxhash import xxh3_128_digest
 
-        slots, codes, high, is_word, root, weight, known_grams = sent.value
-        mask = np.uint64(len(slots) - 1)
+        hot_words, hot_grams, known_grams = sent.value
         mine = lambda g: g >> np.uint64(64 - shift) == turn if shift else np.ones(len(g), bool)
         for keys, idents, values in batches:
             for begin, end in runs(values, SCORE_BYTES):
@@ -507,28 +672,32 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
                 for size in range(1, depth + 2):
                     if size > 1:
                         grams = longer(grams)
-                        at = np.flatnonzero(owner[: len(grams)] == owner[size - 1 :])
-                        at = at[mine(grams[at])] if turn else at
-                        at = at[_may(known_grams, grams[at])]
-                        h = np.zeros(len(at), np.uint64)
+                        may = owner[: len(grams)] == owner[size - 1 :]
+                        if turn:
+                            may &= mine(grams)
+                            at = np.flatnonzero(may)
+                            at = at[_may(known_grams, grams[at])]
+                        else:
+                            at = np.flatnonzero(may & _may(known_grams, grams))
+                        hot, second = hot_grams, None
                     else:
                         at = some.inside()
                         at = at[mine(grams[at])] if turn else at
-                        h = some.high[at]
+                        hot, second = hot_words, some.high[at]
                     g, of = grams[at], owner[at]
-                    place = slots[(g & mask).astype(np.int64)]
-                    here = (codes[place] == g) & (high[place] == h)
-                    place, to = place[here], of[here]
-                    away = ~here if turn else ~here & mine(g)
-                    rows.append((of[away].astype(np.uint16), g[away], h[away]))
+                    place, here = hot.places(g, second)
+                    away = np.flatnonzero(~here if turn else ~here & mine(g))
+                    rows.append((of[away].astype(np.uint16), g[away], *([] if second is None else [second[away]])))
                     if turn:  # the first pass tells what is known of hot ones
                         continue
-                    score += np.bincount(to, weight[place], texts)
+                    here = np.flatnonzero(here)
+                    place, to = place[here], of[here]
+                    score += np.bincount(to, hot.weight[place], texts)
                     if size == 1:
-                        known += np.bincount(to, is_word[place], texts)
-                        base += np.bincount(to, root[place], texts)
+                        known += np.bincount(to, minlength=texts)
+                        base += np.bincount(to, hot.root[place], texts)
                 words, others = rows[0], [np.concatenate(x) for x in zip(*rows[1:], strict=True)]
-                one, two = dict(_ranged(bits, *words)), dict(_ranged(bits, *others[:2]))
+                one, two = dict(_ranged(bits, *words)), dict(_ranged(bits, *others))
                 if turn:
                     ranges = sorted({*one, *two})
                     yield [[run] * len(ranges), ranges, [one.get(at, b"") for at in ranges], [two.get(at, b"") for at in ranges], pa.nulls(len(ranges), told_type)]
@@ -542,36 +711,22 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
                 yield [[run] * len(ranges), ranges, [one.get(at, b"") for at in ranges], [two.get(at, b"") for at in ranges], pa.array([own if at == first else None for at in ranges], told_type)]
 
     def weigh(texts: pa.Table, weights: pa.Table) -> pa.Table:
-        g, h, w = (weights[c].to_numpy().view(t) for c, t in (("g", np.uint64), ("h", np.uint64), ("w", np.float64)))
-        n = weights["words"].fill_null(0).to_numpy()
-        words, others = np.flatnonzero(h != 0), np.flatnonzero(h == 0)
-        words = words[np.argsort(g[words])]
-        codes, code = np.unique(g[others], return_inverse=True)
-        weight = np.r_[np.bincount(code, w[others], len(codes)), 0.0]
+        one, two, three = (b"".join(weights[c].to_pylist()) for c in ("words", "grams", "adds"))
+        (g, high, n, w), codes, weight = _table(one, *_WORDS), np.frombuffer(two, np.uint64), np.frombuffer(three)
+        root, w, weight = np.r_[np.log10((n + ALPHA) / (floor or 1.0)), never], np.r_[w, 0.0], np.r_[weight, 0.0]
+        words, grams = Index(g, bits), Index(codes, bits)
         sums = []
         for one, two in zip(texts["words"], texts["grams"], strict=True):
-            some, of, wanted, high = _unranged(one.as_py(), 2)
-            place = np.full(len(wanted), -1)
-            at = np.searchsorted(g[words], wanted)
-            while len(words):  # one step, but for words of which one hash is equal
-                open_ = np.flatnonzero((at < len(words)) & (place < 0))
-                open_ = open_[g[words[at[open_]]] == wanted[open_]]
-                if not len(open_):
-                    break
-                fits = open_[h[words[at[open_]]] == high[open_]]
-                place[fits] = words[at[fits]]
-                at[open_] += 1
-            met = place >= 0
-            root = np.where(met, np.log10((n[place] + ALPHA) / (floor or 1.0)) if len(n) else never, never)
+            some, of, wanted, second = _unranged(one.as_py(), 2)
+            place = words.places(wanted, lambda i, at: high[at] == second[i])  # noqa: B023
             size = len(some)
-            known = np.bincount(of[met], n[place[met]] > 0, size)
-            base = np.bincount(of, root, size)
-            score = np.bincount(of, root + (np.where(met, w[place], 0.0) if len(w) else 0.0), size)
+            known = np.bincount(of[place < len(g)], minlength=size)
+            base = np.bincount(of, root[place], size)
+            score = np.bincount(of, root[place] + w[place], size)
             told = [np.array([size], np.uint32), some, known.astype(np.uint32), base, score]
-            some, of, grams = _unranged(two.as_py(), 1)
-            if len(codes) and len(grams):
-                at = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
-                told += [some, np.bincount(of, weight[np.where(codes[at] == grams, at, len(codes))], len(some))]
+            some, of, wanted = _unranged(two.as_py(), 1)
+            if len(wanted):
+                told += [some, np.bincount(of, weight[grams.places(wanted)], len(some))]
             sums.append(b"".join(x.tobytes() for x in told))
         return pa.Table.from_arrays([texts["run"], texts["docs"], pa.array(sums, pa.binary())], ["run", "docs", "sums"])
 
@@ -595,12 +750,10 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", depth: i
 
     names = ["id", "n_tokens", "n_known", "base_score", "score"]
     read = docs.select(F.xxhash64("id", "text").alias("k"), "id", "text")
-    place = F.shiftrightunsigned("g", 64 - bits) if bits else F.lit(0).cast("long")
-    weights = table.select(place.alias("at"), "g", "h", "words", "w")
     parts = None
     for turn in range(passes):
         dealt = map_batches(read, ["k", "id", "text"], f"run binary, at long, words binary, grams binary, docs {told}", giving_back(partial(deal, turn=turn)))
-        some = weights.where(F.floor(F.col("at") * passes / (1 << bits)) == turn)
+        some = weights.drop("held", "top").where(F.floor(F.col("at") * passes / (1 << bits)) == turn)
         met = dealt.groupBy("at").cogroup(some.groupBy("at")).applyInArrow(weigh, f"run binary, docs {told}, sums binary")
         if turn < passes - 1:
             met = keep(met, "sums")

@@ -19,6 +19,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from flowloom.llm import main_text as main_text_module, media, url_rules, warc
+from flowloom.llm.batches import BATCH_BYTES
 from flowloom.llm.main_text import extract_main_text, main_text
 from flowloom.llm import suffix_tree_lm as lm
 from flowloom.llm.suffix_tree_lm import END, score_texts
@@ -197,6 +198,73 @@ def test_pairs_of_rare_words_are_not_sent(spark, monkeypatch):
     assert 0 < sum(r.n for r in sent[0].collect()) == 4 * (len(rows) - held)
 
 
+def test_weights_reach_tasks_by_ranges_not_by_rows(spark, monkeypatch):
+    """A weight crosses to Python once, where its range is packed; from then on a range is a row of each kind."""
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    plain, packed, bounds = lm.keep, [], []
+    monkeypatch.setattr(lm, "WEIGH_BYTES", 1 << 16)
+    monkeypatch.setattr(lm, "HOT", 64)
+
+    def keep(df, name):
+        if name == "weights":
+            bounds.append(spark.conf.get(BATCH_BYTES))
+            kept = plain(df, name)
+            packed.extend(kept.collect())
+            return kept
+        return plain(df, name)
+
+    monkeypatch.setattr(lm, "keep", keep)
+    before = spark.conf.get(BATCH_BYTES)
+    score_texts(docs)
+    ranges = [(r.at, bool(r.words)) for r in packed]
+    assert len(ranges) == len(set(ranges)) and 2 < len({at for at, _ in ranges}) <= 1 << 10
+    assert int(bounds[0]) == (1 << 31) - 1 and spark.conf.get(BATCH_BYTES) == before
+    for r in packed:
+        g = np.frombuffer(r.grams, np.uint64)
+        assert (np.diff(g.astype(object)) > 0).all() and len(g) == r.held == len(r.adds) // 8 and bool(r.words) != bool(len(g))
+    assert sum(len(r.top) // 32 for r in packed) < sum(r.held for r in packed)
+
+
+@pytest.mark.parametrize("stretch", [5, 8, 20])
+def test_bitmap_has_the_bits_of_its_hashes(spark, monkeypatch, stretch):
+    monkeypatch.setattr(lm, "STRETCH", stretch)
+    g = np.random.default_rng(3).integers(0, 2**64, 700, dtype=np.uint64)
+    words = lm.bitmap(spark.createDataFrame([(x,) for x in g[:600].view(np.int64).tolist()], "g long").repartition(3), 600)
+    want = np.zeros(len(words), np.uint64)
+    for x in g[:600]:
+        for k in lm.MARKS:
+            want[int(x) % len(words)] |= np.uint64(1 << (int(x) >> k & 63))
+    assert len(words) == 256 and (words == want).all()
+    assert lm._may(words, g[:600]).all() and lm._may(words, g[600:]).sum() < 20
+    assert not lm.bitmap(spark.createDataFrame([], "g long"), 0).any()
+
+
+@pytest.mark.parametrize("bits", [0, 4])
+def test_hashes_are_found_in_their_range(bits):
+    rng = np.random.default_rng(4)
+    codes = np.sort(rng.integers(0, 2**64, 500, dtype=np.uint64) >> np.uint64(bits))
+    codes[1:6] = codes[0]  # words of which one hash is equal
+    high = np.arange(500, dtype=np.uint64)
+    asked = np.r_[codes, codes + np.uint64(1), np.uint64(0)]
+    second = np.r_[high, high, np.uint64(7)]
+    got = lm.Index(codes, bits).places(asked, lambda i, at: high[at] == second[i])
+    rows = {x: i for i, x in enumerate(zip(codes.tolist(), high.tolist(), strict=True))}
+    assert got.tolist() == [rows.get(x, 500) for x in zip(asked.tolist(), second.tolist(), strict=True)]
+    assert lm.Index(codes[:0], bits).places(asked).tolist() == [0] * len(asked)
+    words, grams = lm._slots([asked[:500], np.r_[high[:250] * np.uint64(2) + np.uint64(1), np.zeros(250, np.uint64)], high.view(np.int64)[::-1] + 1, high / 7], 9.0)
+    for hot, g, h in ((words, codes[:250], high[:250] * np.uint64(2) + np.uint64(1)), (grams, codes[250:], None)):
+        place, here = hot.places(g, h)
+        assert here.sum() > 150 and (hot.weight[place][here] == (high / 7)[(0 if h is not None else 250) :][:250][here]).all()
+        assert not hot.places(g + np.uint64(1 << 40), h)[1].any()
+
+
+def test_hashes_of_equal_first_bits_are_sorted():
+    g = np.r_[np.random.default_rng(5).integers(0, 2**64, 2000, dtype=np.uint64), np.arange(50, 0, -1, dtype=np.uint64)]
+    for some in (g, g[:2000], g[:1], g[:0]):
+        order, rising = lm._sorted(some)
+        assert (rising == np.sort(some)).all() and (some[order] == rising).all()
+
+
 @pytest.mark.parametrize(("bits", "most"), [(0, 65535), (3, 65535), (3, 7)])
 def test_blocks_of_a_range_tell_all_rows(monkeypatch, bits, most):
     monkeypatch.setattr(lm, "MOST", most)
