@@ -170,7 +170,7 @@ def capture_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decoded_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ("pkt_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "ip_len", "ip_hdr_len", "payload_len", "tcp_flags", "tcp_win")
-    return pk.decode(pk.frame_bytes(pk.event_packets(spark, sf_dir))).select(*fields)
+    return pk.whole_ports(pk.decode(pk.frame_bytes(pk.event_packets(spark, sf_dir)))).select(*fields)
 
 
 def ip_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,3 +22,7 @@ def odd_rows(spark, folder, name):
 @pytest.mark.parametrize("name", ["flows_first_wins", "security_alerts", "alerts_page", "flows_page", "soc_stats_filtered"])
 def test_addresses_of_stored_flows(spark, folder, name):
     assert odd_rows(spark, folder, name) == ""
+
+
+def test_ports_of_decoded_packets(spark, folder):
+    assert odd_rows(spark, folder, "decoded_packets") == ""
