@@ -27,7 +27,7 @@ def _mixed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What frames of all kinds are: their number and what can be read of them."""
-    return pk.decode(_mixed_frames(spark, sf_dir)).groupBy("outcome").agg(
+    return pk.whole_ports(pk.decode(_mixed_frames(spark, sf_dir))).groupBy("outcome").agg(
         F.count("*").alias("n"), F.count("protocol").alias("with_ip"), F.count("src_port").alias("with_ports"),
         F.sum("src_port").alias("src_ports"), F.sum("payload_len").alias("payload"), F.sum("tcp_win").alias("windows"))
 

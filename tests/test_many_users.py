@@ -26,3 +26,7 @@ def test_addresses_of_stored_flows(spark, folder, name):
 
 def test_ports_of_decoded_packets(spark, folder):
     assert odd_rows(spark, folder, "decoded_packets") == ""
+
+
+def test_ports_of_frames_of_all_kinds(spark, folder):
+    assert odd_rows(spark, folder, "frame_outcomes") == ""
