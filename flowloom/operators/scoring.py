@@ -73,14 +73,15 @@ def vector_of(flows: DataFrame, names: tuple[str, ...]) -> Column:
     return feature_vector(F.col("features"), list(names), fallback)
 
 
-def score(flows: DataFrame, bundle: Bundle) -> DataFrame:
+def score(flows: DataFrame, bundle: Bundle, made: str | None = None) -> DataFrame:
     """``flows`` with class_id, confidence, is_malicious, attack_type, severity and probabilities
     (a map by label): expressions only. Confidence and probabilities have 4 decimals.
 
-    A scaler that does not fit the names leaves the vector as it is.
+    A scaler that does not fit the names leaves the vector as it is. ``made`` names a column that
+    has the vectors already.
     """
     fits = len(bundle.means) == len(bundle.deviations) == len(bundle.names)
-    vector = vector_of(flows, bundle.names)
+    vector = F.col(made) if made else vector_of(flows, bundle.names)
     ready = scaled(vector, bundle.means, bundle.deviations) if fits else vector.cast("array<double>")
     margins = boosting.margins(bundle.ensemble, ready)
     out = flows.withColumn("__p", bound(margins, softmax)).withColumn("class_id", argmax(F.col("__p")))
