@@ -63,14 +63,20 @@ class BucketStore:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def merge(self, rows: DataFrame, batch: int, replace: bool = True) -> list[int]:
+    def has(self, spark: SparkSession, batch: int) -> bool:
+        """Whether a batch, or a later one, was merged."""
+        return batch <= self._manifest(spark)["batch"]
+
+    def merge(self, rows: DataFrame, batch: int, replace: bool = True, kept: bool = False) -> list[int]:
         """Takes a batch's rows in; the buckets that were rewritten. Of equal keys the last by
-        ``order`` stays if ``replace``, else what is there, or the batch's first."""
+        ``order`` stays if ``replace``, else what is there, or the batch's first. ``kept`` says that
+        the rows come from a kept table, and need not be written before they are read twice."""
         spark = rows.sparkSession
         now = self._manifest(spark)
         if batch <= now["batch"]:
             return []
-        new = keep(rows.where(F.col(self.key).isNotNull()).withColumns({"__bucket": self.bucket(), "__new": F.lit(1)}), "batch")
+        new = rows.where(F.col(self.key).isNotNull()).withColumns({"__bucket": self.bucket(), "__new": F.lit(1)})
+        new = new if kept else keep(new, "batch")
         touched = sorted(r[0] for r in new.select("__bucket").distinct().collect())
         old = self._read(spark, [self._place(str(b), now["buckets"][str(b)]) for b in touched if str(b) in now["buckets"]])
         both = old.withColumns({"__bucket": self.bucket(), "__new": F.lit(0)}).unionByName(new)
@@ -78,9 +84,10 @@ class BucketStore:
         chosen = F.max_by(F.struct("*"), order) if replace else F.min_by(F.struct("*"), order)
         one = both.repartition("__bucket").groupBy("__bucket", F.col(self.key).alias("__key")).agg(chosen.alias("__row"))
         number = now["number"] + 1
-        kept = [f for f in old.columns]
-        one.select("__row.*", F.col("__bucket").alias("bucket")).select(*kept, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/version={number}")
-        forget(new)
+        columns = [f for f in old.columns]
+        one.select("__row.*", F.col("__bucket").alias("bucket")).select(*columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/version={number}")
+        if not kept:
+            forget(new)
         self._commit(spark, {"number": number, "batch": batch, "buckets": now["buckets"] | {str(b): number for b in touched}})
         self.vacuum(spark)
         return touched

@@ -13,6 +13,7 @@ from flowloom.functions.vectors import argmax, bound, feature_vector, scaled, so
 from flowloom.operators import boosting
 from flowloom.operators.bucket_store import BucketStore
 from flowloom.operators.features import FEATURES
+from flowloom.session import forget, keep
 from flowloom.sources.files import parse_flow_lines
 
 
@@ -135,13 +136,19 @@ class ScoringJob:
         self.acknowledge(lines, batch)
 
     def store(self, lines: DataFrame, batch: int) -> None:
+        """Lines are parsed and scored once, and kept for the three tables. The detections are the
+        last of these: a batch that they have is in all."""
+        if self.detections.has(lines.sparkSession, batch):
+            return
         parsed = parse_flow_lines(lines.withColumn("value", F.col("flow_json")), keep=["id"], all_lines=True)
-        bad = parsed.where("malformed is not null")
+        scored = keep(score(parsed.withColumn("seq", F.col("id")), self.bundle), "scored")
+        bad = scored.where("malformed is not null")
         bad.select("id", F.col("malformed").alias("flow_json")).write.mode("overwrite").parquet(f"{self.folder}/poison/batch={batch}")
-        good = parsed.where("malformed is null").withColumn("seq", F.col("id")).drop("malformed", "id")
+        good = scored.where("malformed is null")
         columns = lambda schema: [x.split()[0] for x in schema.split(", ")]
-        self.flows.merge(good.select(*columns(FLOWS)), batch, replace=False)
-        self.detections.merge(score(good, self.bundle).select(*columns(DETECTIONS)), batch)
+        self.flows.merge(good.select(*columns(FLOWS)), batch, replace=False, kept=True)
+        self.detections.merge(good.select(*columns(DETECTIONS)), batch, kept=True)
+        forget(scored)
 
     def acknowledge(self, lines: DataFrame, batch: int) -> None:
         lines.select("id").write.mode("overwrite").parquet(f"{self.folder}/processed/batch={batch}")
